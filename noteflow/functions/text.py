@@ -27,22 +27,28 @@ def split_text(
     chunks of up to ``size`` characters; a piece of ``size`` or more is cut with
     the finer separators, and stays whole when none is left.
     """
+    return list(_split(text, size, overlap, tuple(separators)))
+
+
+def _split(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
     level = next((i for i, s in enumerate(separators) if s in text), None)
     if level is None:
         pieces, finer = [text] if text else [], ()
     else:
         pieces, finer = _pieces(text, separators[level]), separators[level + 1 :]
-    chunks: list[str] = []
     short: list[str] = []
     for piece in pieces:
         if len(piece) < size:
             short.append(piece)
             continue
-        chunks += _pack(short, size, overlap)
+        yield from _pack(short, size, overlap)
         short = []
-        # A whole oversized piece keeps its leading separator.
-        chunks += split_text(piece, size, overlap, finer) if finer else [piece]
-    return chunks + _pack(short, size, overlap)
+        if finer:
+            yield from _split(piece, size, overlap, finer)
+        else:
+            # A piece no separator can cut keeps the one it begins with.
+            yield piece
+    yield from _pack(short, size, overlap)
 
 
 def _pieces(text: str, separator: str) -> list[str]:

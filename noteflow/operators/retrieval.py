@@ -44,7 +44,10 @@ def embed(df: DataFrame, text: str, embedder=None, out: str = "embedding") -> Da
         for texts in batches:
             yield pd.Series(list(model(texts)), index=texts.index)
 
-    return df.withColumn(out, encode(F.coalesce(F.col(text), F.lit(""))))
+    # Marked so that the optimizer never runs a costly model a second time in a
+    # filter it derives from the vector.
+    once = encode.asNondeterministic()
+    return df.withColumn(out, once(F.coalesce(F.col(text), F.lit(""))))
 
 
 def vector_table(documents: DataFrame, embedder=None) -> DataFrame:

@@ -42,7 +42,7 @@ def _query_id():
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector table of all document chunks, written once per application."""
     path = _own_path(spark, sf_dir, "vectors")
-    documents = tables.table(spark, sf_dir, "documents")
+    documents = tables.documents(spark, sf_dir)
     sinks.materialise_once(
         spark, path, lambda: sinks.write_vectors(retrieval.vector_table(documents), path)
     )
@@ -255,12 +255,11 @@ def context_assembly(spark, sf_dir):
 
 
 def chunk_documents(spark, sf_dir):
-    return retrieval.chunk_documents(tables.table(spark, sf_dir, "documents"))
+    return retrieval.chunk_documents(tables.documents(spark, sf_dir))
 
 
 def hashed_embeddings(spark, sf_dir):
-    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors_ = retrieval.embed(documents, "text")
+    vectors_ = retrieval.embed(tables.documents(spark, sf_dir), "text")
     long = vectors_.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
     return long.filter("weight > 0").withColumn("weight", F.round("weight", 6))
 

@@ -26,7 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _r(i: int) -> Column:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that would leave most cores idle, by hash of ``key``.
+
+    A small file has one row group and so keeps one core busy, however much work
+    each row is. A scan with a partition per core, as any large one has, stays as
+    it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+def _r(i: int) -> str:
     """floor(((k + 1) * C_i mod 2^32) / 2^16), over ``m = (k + 1) mod 2^32``.
 
     C_i is split into two 16-bit halves so the product stays within a bigint
@@ -34,11 +47,12 @@ def _r(i: int) -> Column:
     """
     low, high = MULTIPLIERS[i - 1] % 65536, MULTIPLIERS[i - 1] // 65536
     mixed = f"m * {low} + shiftleft(m * {high} & 65535, 16)"
-    return F.expr(f"shiftright(({mixed}) & {2**32 - 1}, 16)")
+    return f"shiftright(({mixed}) & {2**32 - 1}, 16)"
 
 
-def _pick(i: int, values) -> Column:
-    return F.get(F.array(*map(F.lit, values)), (_r(i) % len(values)).cast("int"))
+def _pick(i: int, values) -> str:
+    listed = ", ".join(f"'{value}'" for value in values)
+    return f"get(array({listed}), int({_r(i)} % {len(values)}))"
 
 
 def patient_number(number: Column) -> Column:
@@ -47,58 +61,49 @@ def patient_number(number: Column) -> Column:
     return F.when(number < 10000, F.lpad(digits, 4, "0")).otherwise(digits)
 
 
+def _note_lines() -> list[str]:
+    """SQL of each line of a note, over ``k``, ``m`` and ``number``."""
+    low_row = "k % 211 = 11"
+    return [
+        "'DISCHARGE SUMMARY'",
+        "if(k % 89 <> 3, concat('Patient ID: PAT-', number), null)",
+        f"concat('Age: ', if({_r(2)} % 10 = 0 OR {low_row}, 'Unknown', string({_r(1)} % 45 + 45)))",
+        f"concat('Gender: ', if({_r(3)} % 2 = 0, 'Male', 'Female'))",
+        f"concat('Primary Diagnosis: ', if({_r(5)} % 20 = 0 OR {low_row}, 'Not documented', "
+        f"{_pick(4, rules.DIAGNOSES)}))",
+        f"if(k % 97 <> 5, concat('Length of Stay: ', {_r(6)} % 14 + 1, ' days'), null)",
+        f"if(k % 101 <> 7, concat('Prior Admissions (past 12 months): ', {_r(7)} % 6), null)",
+        f"concat('Medications at Discharge: ', if({_r(10)} % 12 = 0 OR {low_row}, "
+        f"'See pharmacy notes', {_pick(8, MEDICATION_LINES)}))",
+        f"if({_r(11)} % 5 = 0, '{rules.NON_COMPLIANCE_SENTENCE}', null)",
+        f"if({_r(12)} % 4 = 0, '{rules.ALONE_SENTENCE}', '{rules.FAMILY_SENTENCE}')",
+        _pick(13, rules.FOLLOW_UP_SENTENCES),
+        f"concat('Signed: ', {_pick(9, rules.PHYSICIANS)})",
+    ]
+
+
 def notes_from_orders(orders: DataFrame) -> DataFrame:
-    """``(raw_text, file_name)``, one note per order; row-local and pushed into the scan.
+    """``(raw_text, file_name)``, one note per order; row-local, reads the key only.
 
     Every note is a function of its order key alone, so it is the same on each
     retry and in each engine. See FIXTURES.md section 2 for the formulas.
     """
-    k = F.col("k")
-    low_row = k % 211 == 11
-    number = F.col("number")
-
-    def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(label), value.cast("string"))
-
-    lines = [
-        F.lit("DISCHARGE SUMMARY"),
-        F.when(k % 89 != 3, line("Patient ID: PAT-", number)),
-        line(
-            "Age: ",
-            F.when((_r(2) % 10 == 0) | low_row, "Unknown").otherwise(
-                (_r(1) % 45 + 45).cast("string")
-            ),
-        ),
-        line("Gender: ", F.when(_r(3) % 2 == 0, "Male").otherwise("Female")),
-        line(
-            "Primary Diagnosis: ",
-            F.when((_r(5) % 20 == 0) | low_row, "Not documented").otherwise(
-                _pick(4, rules.DIAGNOSES)
-            ),
-        ),
-        F.when(k % 97 != 5, F.concat(line("Length of Stay: ", _r(6) % 14 + 1), F.lit(" days"))),
-        F.when(k % 101 != 7, line("Prior Admissions (past 12 months): ", _r(7) % 6)),
-        line(
-            "Medications at Discharge: ",
-            F.when((_r(10) % 12 == 0) | low_row, "See pharmacy notes").otherwise(
-                _pick(8, MEDICATION_LINES)
-            ),
-        ),
-        F.when(_r(11) % 5 == 0, rules.NON_COMPLIANCE_SENTENCE),
-        F.when(_r(12) % 4 == 0, rules.ALONE_SENTENCE).otherwise(rules.FAMILY_SENTENCE),
-        _pick(13, rules.FOLLOW_UP_SENTENCES),
-        line("Signed: ", _pick(9, rules.PHYSICIANS)),
-    ]
     keyed = orders.select(
         F.col("o_orderkey").alias("k"),
         (F.col("o_orderkey") + 1).bitwiseAND(2**32 - 1).alias("m"),
         patient_number(F.col("o_orderkey")).alias("number"),
     )
-    return keyed.select(
-        F.concat_ws("\n", *lines).alias("raw_text"),
-        F.concat(F.lit("patient_"), number, F.lit(".txt")).alias("file_name"),
+    return keyed.selectExpr(
+        f"concat_ws(chr(10), {', '.join(_note_lines())}) AS raw_text",
+        "concat('patient_', number, '.txt') AS file_name",
     )
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes_from_orders(table(spark, sf_dir, "orders"))
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    return notes_from_orders(spread(keys, "o_orderkey"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text`` of the documents table."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
