@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,28 +17,22 @@ def presence(records: DataFrame) -> dict[str, Column]:
     """One never-NULL flag per weighted field: neither NULL nor, for a string, blank."""
     flags = {}
     for field, _, _ in rules.FIELD_WEIGHTS:
-        column = F.col(field)
-        if isinstance(records.schema[field].dataType, StringType):
-            flag = F.coalesce(F.trim(column) != "", F.lit(False))
-        else:
-            flag = column.isNotNull()
-        flags[presence_name(field)] = flag
+        is_string = isinstance(records.schema[field].dataType, StringType)
+        test = f"coalesce(trim({field}) <> '', false)" if is_string else f"{field} IS NOT NULL"
+        flags[presence_name(field)] = F.expr(test)
     return flags
 
 
-def _has(field: str) -> Column:
-    return F.col(presence_name(field))
-
-
 def completeness() -> Column:
     """Sum of the weights of present fields, over the flags of :func:`presence`."""
-    parts = [F.when(_has(f), weight).otherwise(0.0) for f, weight, _ in rules.FIELD_WEIGHTS]
-    return F.round(reduce(add, parts), 1)
+    parts = [f"if({presence_name(f)}, {weight}D, 0D)" for f, weight, _ in rules.FIELD_WEIGHTS]
+    return F.expr(f"round({' + '.join(parts)}, 1)")
 
 
 def missing_labels() -> Column:
     """Labels of absent fields, comma-joined; ``''`` for a complete record."""
-    return F.concat_ws(", ", *[F.when(~_has(f), label) for f, _, label in rules.FIELD_WEIGHTS])
+    parts = [f"if({presence_name(f)}, null, '{label}')" for f, _, label in rules.FIELD_WEIGHTS]
+    return F.expr(f"concat_ws(', ', {', '.join(parts)})")
 
 
 def confidence(score: Column) -> Column:

@@ -9,57 +9,52 @@ Three rule sets exist and disagree on purpose; they are kept apart:
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
 
 
-def _number(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
-
-
-def _flag(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(False))
-
+def _diagnosis_in(names) -> str:
+    """SQL: the lower-cased diagnosis contains one of ``names``; NULL reads as no."""
+    tests = [f"contains(lower(diagnosis), '{name}')" for name in names]
+    return f"coalesce({' OR '.join(tests)}, false)"
 
-def diagnosis_in(names) -> Column:
-    """True when the lower-cased diagnosis contains one of ``names``; NULL reads as no."""
-    lowered = F.lower(F.coalesce(F.col("diagnosis"), F.lit("")))
-    return reduce(or_, [lowered.contains(n) for n in names])
 
+HIGH_RISK_DIAGNOSIS = _diagnosis_in(rules.HIGH_RISK_DIAGNOSES)
+MEDIUM_RISK_DIAGNOSIS = _diagnosis_in(rules.MEDIUM_RISK_DIAGNOSES)
 
-def factors() -> list[tuple[str, int, Column]]:
-    """(reason, points, condition) of each risk factor. Conditions are never NULL."""
-    return [
-        ("3+ prior admissions", 3, _number("prior_admissions") >= 3),
-        ("No follow-up appointment", 3, ~_flag("has_follow_up")),
-        ("Lives alone", 2, _flag("lives_alone")),
-        ("Medication non-compliance", 2, _flag("non_compliant")),
-        ("Length of stay over 7 days", 2, _number("length_of_stay") > 7),
-        ("Age over 75", 2, _number("age") > 75),
-        ("High-risk diagnosis", 3, diagnosis_in(rules.HIGH_RISK_DIAGNOSES)),
-    ]
+# Reason, points, and SQL condition of each risk factor. A missing value counts
+# as zero or false, so a record without follow-up information has no follow-up.
+FACTORS = (
+    ("3+ prior admissions", 3, "coalesce(prior_admissions, 0) >= 3"),
+    ("No follow-up appointment", 3, "NOT coalesce(has_follow_up, false)"),
+    ("Lives alone", 2, "coalesce(lives_alone, false)"),
+    ("Medication non-compliance", 2, "coalesce(non_compliant, false)"),
+    ("Length of stay over 7 days", 2, "coalesce(length_of_stay, 0) > 7"),
+    ("Age over 75", 2, "coalesce(age, 0) > 75"),
+    ("High-risk diagnosis", 3, HIGH_RISK_DIAGNOSIS),
+)
+GUIDELINE_FACTORS = (
+    ("Age 60 to 75", 1, "coalesce(age, 0) BETWEEN 60 AND 75"),
+    ("Medium-risk diagnosis", 1, MEDIUM_RISK_DIAGNOSIS),
+)
 
 
 def _total(weighted) -> Column:
-    return reduce(add, [F.when(cond, weight).otherwise(0) for weight, cond in weighted])
+    return F.expr(" + ".join(f"if({condition}, {weight}, 0)" for weight, condition in weighted))
 
 
 def points() -> Column:
-    return _total((p, cond) for _, p, cond in factors())
+    return _total((weight, condition) for _, weight, condition in FACTORS)
 
 
 def guideline_points() -> Column:
-    extra = [(1, _number("age").between(60, 75)), (1, diagnosis_in(rules.MEDIUM_RISK_DIAGNOSES))]
-    return _total([(p, cond) for _, p, cond in factors()] + extra)
+    return _total((weight, condition) for _, weight, condition in FACTORS + GUIDELINE_FACTORS)
 
 
 def signals() -> Column:
-    return _total((1, cond) for _, _, cond in factors())
+    return _total((1, condition) for _, _, condition in FACTORS)
 
 
 def _tier(score: Column, high: int, medium: int) -> Column:
@@ -76,7 +71,8 @@ def signals_tier(count: Column) -> Column:
 
 def reasons() -> Column:
     """Array of the risk factors that hold, in rule order."""
-    return F.array_compact(F.array(*[F.when(cond, reason) for reason, _, cond in factors()]))
+    held = ", ".join(f"if({condition}, '{reason}', null)" for reason, _, condition in FACTORS)
+    return F.expr(f"array_compact(array({held}))")
 
 
 def caveat(label: Column) -> Column:
@@ -92,17 +88,13 @@ def readmission_match() -> Column:
     The rate table is ten fixed rows, so it is a chain of conditions and not a
     join. Highest rate first, then name, decides when two names match.
     """
-    lowered = F.lower(F.col("diagnosis"))
     ordered = sorted(rules.READMISSION_RATES, key=lambda kr: (-kr[1], kr[0]))
-    return F.coalesce(
-        *[
-            F.when(
-                lowered.contains(key.lower()),
-                F.struct(F.lit(key).alias("dx_key"), F.lit(rate).alias("rate_pct")),
-            )
-            for key, rate in ordered
-        ]
+    branches = " ".join(
+        f"WHEN contains(lower(diagnosis), '{key.lower()}')"
+        f" THEN named_struct('dx_key', '{key}', 'rate_pct', {rate})"
+        for key, rate in ordered
     )
+    return F.expr(f"CASE {branches} END")
 
 
 def bands() -> dict[str, Column]:
@@ -116,7 +108,7 @@ def bands() -> dict[str, Column]:
         # A stay of exactly three days lies in no band of the guideline.
         "stay_band": F.when(stay > 7, "HIGH").when(stay >= 4, "MEDIUM").when(stay < 3, "LOW"),
         "age_band": F.when(age > 75, "HIGH").when(age >= 60, "MEDIUM").when(age < 60, "LOW"),
-        "diagnosis_band": F.when(diagnosis_in(rules.HIGH_RISK_DIAGNOSES), "HIGH").when(
-            diagnosis_in(rules.MEDIUM_RISK_DIAGNOSES), "MEDIUM"
+        "diagnosis_band": F.when(F.expr(HIGH_RISK_DIAGNOSIS), "HIGH").when(
+            F.expr(MEDIUM_RISK_DIAGNOSIS), "MEDIUM"
         ),
     }
