@@ -92,18 +92,24 @@ def words(text: str):
 
 
 def keywords(questions: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, keyword, rank``: the ``k`` terms of highest tf-idf per question.
+    """``query_id, keyword, score, rank``: the ``k`` terms of highest tf-idf per question.
 
-    Counts are folded before each shuffle. The repartition of the document
-    frequencies puts a plain shuffle on both sides of the join, so adaptive
-    execution can split a term that occurs in a large share of all questions.
+    Ids are unique. Document frequencies come from each question's distinct
+    words, folded before their only shuffle. The repartition puts a plain shuffle
+    on both sides of the join, so adaptive execution can split a term that occurs
+    in a large share of all questions.
     """
     terms = (
         questions.select("query_id", F.explode(words("text")).alias("keyword"))
         .groupBy("query_id", "keyword")
         .agg(F.count("*").alias("tf"))
     )
-    spread = terms.groupBy("keyword").agg(F.count("*").alias("df")).repartition("keyword")
+    spread = (
+        questions.select(F.explode(F.array_distinct(words("text"))).alias("keyword"))
+        .groupBy("keyword")
+        .agg(F.count("*").alias("df"))
+        .repartition("keyword")
+    )
     total = questions.agg(F.count("*").alias("n")).scalar()
     score = F.round(F.col("tf") * F.log(total / F.col("df")), 6)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "keyword")
