@@ -95,9 +95,10 @@ def keywords(questions: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, keyword, score, rank``: the ``k`` terms of highest tf-idf per question.
 
     Ids are unique. Document frequencies come from each question's distinct
-    words, folded before their only shuffle. The repartition puts a plain shuffle
-    on both sides of the join, so adaptive execution can split a term that occurs
-    in a large share of all questions.
+    words and are folded before they are shuffled. They are grouped by a hash
+    beside the word, so that the join shuffles them once more: with a plain
+    shuffle on both sides adaptive execution can split a word that occurs in a
+    large share of all questions.
     """
     terms = (
         questions.select("query_id", F.explode(words("text")).alias("keyword"))
@@ -106,9 +107,9 @@ def keywords(questions: DataFrame, k: int = 5) -> DataFrame:
     )
     spread = (
         questions.select(F.explode(F.array_distinct(words("text"))).alias("keyword"))
-        .groupBy("keyword")
+        .groupBy("keyword", F.xxhash64("keyword"))
         .agg(F.count("*").alias("df"))
-        .repartition("keyword")
+        .select("keyword", "df")
     )
     total = questions.agg(F.count("*").alias("n")).scalar()
     score = F.round(F.col("tf") * F.log(total / F.col("df")), 6)

@@ -39,9 +39,9 @@ def set_conf(spark):
     before = {}
 
     def change(name, value):
-        before.setdefault(name, spark.conf.get(name))
+        before.setdefault(name, spark.conf.get(name, None))
         spark.conf.set(name, value)
 
     yield change
     for name, value in before.items():
-        spark.conf.set(name, value)
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
