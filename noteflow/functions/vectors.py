@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-# Largest number of float64 values one intermediate array may hold (128 MB).
-BLOCK_VALUES = 2**24
+# Largest number of float64 values one intermediate array may hold (64 MB).
+BLOCK_VALUES = 2**23
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -39,8 +39,8 @@ def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
     only narrows down the candidates; their distances are computed anew from
     the differences, so nothing depends on its rounding.
     """
-    n, width = vectors.shape
-    step = max(1, BLOCK_VALUES // max(1, n * width))
+    n = len(vectors)
+    step = max(1, BLOCK_VALUES // max(1, n))
     found = []
     for start in range(0, len(queries), step):
         block = queries[start : start + step]
@@ -49,7 +49,7 @@ def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
         if n > k:
             limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + rounding_slack(block, vectors)
         rows, cols = np.nonzero(rough <= limit[:, None])
-        exact = ((block[rows] - vectors[cols]) ** 2).sum(1)
+        exact = _pair_distances(block, vectors, rows, cols)
         order = np.lexsort((cols, exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         first = np.searchsorted(rows, rows, side="left")
@@ -58,3 +58,13 @@ def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def _pair_distances(left: np.ndarray, right: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+    """Squared distances of the named pairs, a bounded number of them at a time."""
+    square = np.empty(len(rows))
+    step = max(1, BLOCK_VALUES // max(1, left.shape[1]))
+    for start in range(0, len(rows), step):
+        part = slice(start, start + step)
+        square[part] = ((left[rows[part]] - right[cols[part]]) ** 2).sum(1)
+    return square
