@@ -129,24 +129,24 @@ def prompts(turns: DataFrame, serving: DataFrame) -> DataFrame:
     and used by every turn. Both kinds of turn state the true count.
     """
     records = records_json(serving).scalar()
-    total = serving.agg(F.count("*").alias("n")).scalar().cast("string")
-    shown = F.lit(str(rules.RECORDS_IN_PROMPT))
-
-    def prompt(records_title: str, context_title: str, question_title: str, closing: str) -> Column:
-        return F.concat(
-            F.lit(f"{records_title}, "), total, F.lit(" in all, first "), shown, F.lit(" shown:\n"),
-            records,
-            F.lit(f"\n\n{context_title}:\n"), F.col("context"),
-            F.lit(f"\n\n{question_title}:\n"), F.col("text"),
-            F.lit(f"\n\n{closing}"),
-        )
-
-    first = prompt(
-        "Patient records", "Guideline passages", "Question",
-        "Answer from the records. Apply the risk rules. Point out incomplete records.",
-    )
-    later = prompt(
-        "Patient records for reference", "Further guideline passages", "Follow-up question",
-        "Answer in the light of the conversation so far. Name patient ids and values.",
-    )
-    return turns.withColumn("prompt", F.when(F.col("route") == "analyze", first).otherwise(later))
+    total = serving.agg(F.count("*").alias("n")).scalar()
+    is_first = F.col("route") == "analyze"
+
+    def by_route(first: str, later: str) -> Column:
+        return F.when(is_first, first).otherwise(later)
+
+    prompt = F.concat(
+        by_route("Patient records, ", "Patient records for reference, "),
+        total.cast("string"),
+        F.lit(f" in all, first {rules.RECORDS_IN_PROMPT} shown:\n"),
+        records,
+        by_route("\n\nGuideline passages:\n", "\n\nFurther guideline passages:\n"),
+        F.col("context"),
+        by_route("\n\nQuestion:\n", "\n\nFollow-up question:\n"),
+        F.col("text"),
+        by_route(
+            "\n\nAnswer from the records. Apply the risk rules. Point out incomplete records.",
+            "\n\nAnswer in the light of the conversation so far. Name patient ids and values.",
+        ),
+    )
+    return turns.withColumn("prompt", prompt)

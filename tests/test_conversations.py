@@ -9,6 +9,7 @@ import pytest
 from helpers import note, notes, plan
 
 from noteflow.operators import conversations, records, reports
+from noteflow.plans import driver_queries
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
@@ -100,6 +101,32 @@ def test_prompts(spark):
     assert "Follow-up question:\nAnd why?\n" in rows["followup"]
 
 
+def test_registered_prompts(spark, sf_dir):
+    """The whole-table query, put together anew from its parts."""
+    contexts = {r.query_id: r.context for r in driver_queries.retrieve_context(spark, sf_dir).collect()}
+    serving = driver_queries.serving_set(spark, sf_dir)
+    (shown,) = conversations.records_json(serving).first()
+    listed = [r.asDict() for r in reports.first_records(serving).collect()]
+    assert json.loads(shown) == listed
+    total = serving.count()
+    messages = driver_queries.messages(spark, sf_dir).collect()
+    first = {}
+    for m in messages:
+        if m.role == "user":
+            first[m.conv_id] = min(m.turn, first.get(m.conv_id, m.turn))
+    found = {(r.conv_id, r.turn): r for r in driver_queries.prompt_table(spark, sf_dir).collect()}
+    asked = [m for m in messages if m.role == "user"]
+    assert len(found) == len(asked)
+    for m in asked:
+        row = found[m.conv_id, m.turn]
+        assert row.route == ("analyze" if first[m.conv_id] == m.turn else "followup")
+        body = row.prompt.split(":\n", 1)
+        assert f"{total} in all" in body[0]
+        rest = body[1].removeprefix(shown)
+        assert f"passages:\n{contexts[f'{m.conv_id}:{m.turn}']}\n\n" in rest
+        assert f"uestion:\n{m.text}\n\nAnswer" in rest
+
+
 def test_prompt_keeps_null_fields(spark):
     few = conversations.records_json(served(spark, 1)).first().records
     assert [r["patient_id"] for r in json.loads(few)] == ["PAT-0001", None]
