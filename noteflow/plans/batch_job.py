@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records, retrieval
-from ..sources import readers, sinks
+from ..sources import generator, readers, sinks
 
 
 def _count(name: str):
@@ -78,3 +78,13 @@ def ensure_batch(spark: SparkSession, notes_folder: str, out_folder: str, **opti
         return False
     run_batch(spark, notes_folder, out_folder, **options)
     return True
+
+
+def ensure_notes(spark: SparkSession, notes_folder: str, count: int = 50, seed: int = 0) -> bool:
+    """Write ``count`` synthetic notes unless the folder holds notes; True when written."""
+    try:
+        readers.read_notes(spark, notes_folder)
+        return False
+    except (FileNotFoundError, ValueError):
+        generator.write_note_files(generator.generate_notes(spark, count, seed), notes_folder)
+        return True

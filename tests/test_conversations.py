@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from helpers import note, notes, plan
@@ -74,6 +75,32 @@ def test_no_task_orders_a_whole_conversation(spark):
                 and "segment#" not in line]
 
 
+def test_joins_spread_a_conversation(spark, set_conf):
+    """Messages are shuffled by conversation and turn, never by conversation alone."""
+    set_conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    messages = talk(spark, (1, 0, "user"))
+    for df in (conversations.routes(messages), conversations.history(messages)):
+        joins = re.findall(r"SortMergeJoin \[(\w+)#\d+L, (\w+)#\d+L\]", plan(df, "simple"))
+        assert joins and all(keys in (("conv_id", "turn"), ("conv_id", "segment")) for keys in joins)
+        assert re.search(r"Exchange hashpartitioning\(conv_id#\d+L, turn#\d+L, \d+\)", plan(df, "simple"))
+
+
+def test_one_conversation_holds_most_messages(spark):
+    messages = spark.range(60000).selectExpr(
+        "if(id % 3 = 0, id, -1) conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "'x' text"
+    )
+    rows = conversations.history(messages).filter("conv_id = -1").orderBy("turn").collect()
+    assert [r.position for r in rows] == list(range(1, 40001))
+    later = [r.turn for r in rows if r.role == "user"] + [None]
+    upcoming = 0
+    for r in rows:
+        while later[upcoming] is not None and later[upcoming] <= r.turn:
+            upcoming += 1
+        assert r.visible_from == later[upcoming]
+    routes = conversations.routes(messages).filter("conv_id = -1 AND route = 'analyze'").collect()
+    assert [r.turn for r in routes] == [min(r.turn for r in rows if r.role == "user")]
+
+
 def served(spark, count):
     texts = [note(id=f"Patient ID: PAT-{i:04d}") for i in range(count, 0, -1)]
     return records.serving_set(records.curate(notes(spark, *texts, note(drop=("id",)))))

@@ -43,6 +43,15 @@ def test_batch_job(spark, tmp_path):
     assert batch_job.ensure_batch(spark, raw, str(tmp_path / "other"))
 
 
+def test_notes_are_made_only_where_none_are(spark, tmp_path):
+    raw = str(tmp_path / "raw")
+    assert batch_job.ensure_notes(spark, raw)
+    assert readers.read_notes(spark, raw).count() == 50
+    (tmp_path / "raw" / "patient_0001.txt").write_text("kept")
+    assert not batch_job.ensure_notes(spark, raw)
+    assert (tmp_path / "raw" / "patient_0001.txt").read_text() == "kept"
+
+
 def test_batch_job_reads_the_notes_once(spark, tmp_path):
     """Counted by an accumulator: every note passes the job a single time."""
     seen = spark.sparkContext.accumulator(0)
