@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -31,48 +33,69 @@ def split_text(
 
 
 def _split(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
-    level = next((i for i, s in enumerate(separators) if s in text), None)
-    if level is None:
-        pieces, finer = [text] if text else [], ()
-    else:
-        pieces, finer = _pieces(text, separators[level]), separators[level + 1 :]
-    short: list[str] = []
-    for piece in pieces:
-        if len(piece) < size:
-            short.append(piece)
+    separator, *finer = _cut_at(text, separators)
+    bounds = _piece_bounds(text, separator)
+    packed = 0
+    for i, (start, end) in enumerate(pairwise(bounds)):
+        if end - start < size:
             continue
-        yield from _pack(short, size, overlap)
-        short = []
+        yield from _pack(text, bounds[packed : i + 1], size, overlap)
+        packed = i + 1
+        piece = text[start:end]
         if finer:
-            yield from _split(piece, size, overlap, finer)
+            yield from _split(piece, size, overlap, tuple(finer))
         else:
             # A piece no separator can cut keeps the one it begins with.
             yield piece
-    yield from _pack(short, size, overlap)
+    yield from _pack(text, bounds[packed:], size, overlap)
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    head, *tail = text.split(separator)
-    return [p for p in [head, *(separator + t for t in tail)] if p]
+def _cut_at(text: str, separators: tuple[str, ...]) -> tuple[str, ...]:
+    """The first separator that occurs, and the finer ones after it."""
+    for i, separator in enumerate(separators):
+        if separator in text:
+            return separators[i:]
+    return ("",)
 
 
-def _pack(pieces: Sequence[str], size: int, overlap: int) -> Iterator[str]:
-    """Join consecutive pieces greedily; carry up to ``overlap`` characters forward."""
-    start = length = 0
-    for end, piece in enumerate(pieces):
-        if length + len(piece) > size and length:
-            yield from _stripped(pieces[start:end])
-            while length > overlap or (length and length + len(piece) > size):
-                length -= len(pieces[start])
-                start += 1
-        length += len(piece)
-    yield from _stripped(pieces[start:])
+def _piece_bounds(text: str, separator: str) -> list[int]:
+    """Where the pieces of ``text`` begin, and where the last one ends."""
+    if not separator:
+        return [0, len(text)] if text else [0]
+    head, *tail = map(len, text.split(separator))
+    bounds = list(accumulate((n + len(separator) for n in tail), initial=head))
+    return [0, *bounds] if head else bounds
 
 
-def _stripped(pieces: Sequence[str]) -> Iterator[str]:
-    chunk = "".join(pieces).strip()
-    if chunk:
-        yield chunk
+def _pack(text: str, bounds: Sequence[int], size: int, overlap: int) -> Iterator[str]:
+    """Join consecutive short pieces greedily; carry up to ``overlap`` characters forward."""
+    start, last = 0, len(bounds) - 1
+    while start < last:
+        end = bisect_right(bounds, bounds[start] + size) - 1
+        chunk = text[bounds[start] : bounds[end]].strip()
+        if chunk:
+            yield chunk
+        if end == last:
+            return
+        # What is carried must be short, and must leave room for the next piece.
+        short = bisect_left(bounds, bounds[end] - overlap, start)
+        roomy = bisect_left(bounds, bounds[end + 1] - size, start)
+        start = min(end, max(short, roomy))
+
+
+class _Buckets(dict):
+    """Hash bucket of each word seen so far, started anew when it grows large."""
+
+    def __init__(self, width: int, limit: int = 2**20):
+        super().__init__()
+        self.width, self.limit = width, limit
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.width
+        self[word] = bucket
+        return bucket
 
 
 class HashedWords:
@@ -88,19 +111,15 @@ class HashedWords:
     def __init__(self, width: int = 64):
         self.width = width
 
-    def bucket(self, word: str) -> int:
-        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.width
-
     def __call__(self) -> Callable[[pd.Series], np.ndarray]:
+        buckets = _Buckets(self.width)
+
         def encode(texts: pd.Series) -> np.ndarray:
-            seen: dict[str, int] = {}
             vectors = np.zeros((len(texts), self.width))
             for row, text in enumerate(texts):
-                words = self.words.findall((text or "").lower())
-                for word in words:
-                    if word not in seen:
-                        seen[word] = self.bucket(word)
-                vectors[row] = np.bincount([seen[w] for w in words], minlength=self.width)
+                found = [buckets[word] for word in self.words.findall((text or "").lower())]
+                if found:
+                    vectors[row] = np.bincount(found, minlength=self.width)
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             return np.divide(vectors, norms, out=vectors, where=norms > 0)
 
