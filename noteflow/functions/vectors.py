@@ -32,6 +32,20 @@ def rounding_slack(left: np.ndarray, right: np.ndarray) -> float:
     return 1e-12 * (1.0 + (left**2).sum(1).max(initial=0.0) + (right**2).sum(1).max(initial=0.0))
 
 
+def first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows left when of equal rows only the first ``k`` are kept; the others can
+    never be among ``k`` nearest, with ties settled by order."""
+    n, width = vectors.shape
+    key = (vectors * np.cos(np.arange(width))).sum(1)  # equal for equal rows
+    order = np.argsort(key, kind="stable")
+    maybe = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
+    repeats = np.zeros(n, bool)
+    repeats[maybe] = (vectors[order[maybe]] == vectors[order[maybe - 1]]).all(1)
+    place = np.arange(n)
+    run = np.maximum.accumulate(np.where(repeats, 0, place))
+    return np.sort(order[place - run < k])
+
+
 def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
     """(query row, vector row, squared distance) of the ``k`` nearest per query.
 
@@ -39,6 +53,8 @@ def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
     only narrows down the candidates; their distances are computed anew from
     the differences, so nothing depends on its rounding.
     """
+    kept_rows = first_copies(vectors, k)
+    vectors = vectors[kept_rows]
     n = len(vectors)
     step = max(1, BLOCK_VALUES // max(1, n))
     found = []
@@ -54,7 +70,7 @@ def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
         rows, cols, exact = rows[order], cols[order], exact[order]
         first = np.searchsorted(rows, rows, side="left")
         kept = np.arange(len(rows)) - first < k
-        found.append((rows[kept] + start, cols[kept], exact[kept]))
+        found.append((rows[kept] + start, kept_rows[cols[kept]], exact[kept]))
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(parts) for parts in zip(*found))

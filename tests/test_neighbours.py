@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from noteflow.functions.vectors import top_k
+from noteflow.functions.vectors import first_copies, top_k
 from noteflow.operators import neighbours
 
 
@@ -116,3 +116,19 @@ def test_pivots_leave_out_far_groups(spark):
     cells = neighbours._cells(neighbours._placed(held, centres), len(centres), 3)
     visits = neighbours._visits(asked, centres, cells, 3).count()
     assert visits < 0.5 * len(queries) * len(centres)
+
+
+def test_copies_beyond_k_are_passed_over():
+    rows = np.array([[1.0, 2], [3, 4], [1, 2], [1, 2], [3, 4], [5, 6], [1, 2]])
+    assert first_copies(rows, 1).tolist() == [0, 1, 5]
+    assert first_copies(rows, 2).tolist() == [0, 1, 2, 4, 5]
+    assert first_copies(rows, 9).tolist() == list(range(7))
+
+
+@pytest.mark.parametrize("n_vectors, n_queries", [(1, 1), (10, 1), (1, 10**6), (10**9, 10**8), (10**12, 3)])
+def test_parts_hold_their_limits(n_vectors, n_queries):
+    vector_parts, query_parts = neighbours._parts(n_vectors, n_queries, 2**17)
+    held, asked = n_vectors / vector_parts, n_queries / query_parts
+    assert held <= 2**17 and asked <= 2**17
+    assert held * asked <= neighbours.BLOCK_PAIRS * 1.01
+    assert (vector_parts - 1) * (query_parts - 1) <= 4 * n_vectors * n_queries / neighbours.BLOCK_PAIRS
