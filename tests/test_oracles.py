@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+import oracles
+from noteflow.plans import driver_queries
 from tools.check_oracles import compare, connect
 
 WITHOUT_SQL = {"chunk_documents", "retrieve_context", "prompt_table"}
@@ -16,11 +18,11 @@ def con(sf_dir):
 
 
 def test_which_queries_have_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == WITHOUT_SQL
+    assert set(driver_queries.ALL) - set(oracles.all_sql()) == WITHOUT_SQL
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", driver.queries())
+@pytest.mark.parametrize("name", driver_queries.ALL)
 def test_query(spark, con, sf_dir, name):
     result = compare(spark, con, name, sf_dir)
     assert result.startswith(("equal", "rows only")), result
