@@ -28,7 +28,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 REMEMBERED = 400_000
 PART = 1 << 20
 #: White space as the pattern's ``\s`` knows it. A match never runs from another character into it.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "".join(
+    map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
 
 
 def byte_characters() -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
+from .language_id import op3_language_id
 
-ALL = {f.__name__: f for f in (op5_byte_bpe,)}
+ALL = {f.__name__: f for f in (op3_language_id, op5_byte_bpe)}
 SQL: dict[str, str] = {}
