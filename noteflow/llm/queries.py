@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from .byte_bpe import op5_byte_bpe
-from .language_id import op3_language_id
+from . import byte_bpe, language_id, line_dedup
 
-ALL = {f.__name__: f for f in (op3_language_id, op5_byte_bpe)}
-SQL: dict[str, str] = {}
+ALL = {
+    f.__name__: f
+    for f in (
+        language_id.op3_language_id,
+        byte_bpe.op5_byte_bpe,
+        line_dedup.op8_line_dedup,
+    )
+}
+SQL = {
+    "op8_line_dedup": line_dedup.OP8_SQL,
+}
