@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, line_dedup
+from . import byte_bpe, language_id, line_dedup, simhash_dedup
 
 ALL = {
     f.__name__: f
@@ -10,6 +10,7 @@ ALL = {
         language_id.op3_language_id,
         byte_bpe.op5_byte_bpe,
         line_dedup.op8_line_dedup,
+        simhash_dedup.op9_simhash_dedup,
     )
 }
 SQL = {
