@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, line_dedup, simhash_dedup
+from . import byte_bpe, decontamination, language_id, line_dedup, simhash_dedup
 
 ALL = {
     f.__name__: f
     for f in (
         language_id.op3_language_id,
+        decontamination.op4_decontamination,
         byte_bpe.op5_byte_bpe,
         line_dedup.op8_line_dedup,
         simhash_dedup.op9_simhash_dedup,
     )
 }
 SQL = {
+    "op4_decontamination": decontamination.OP4_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
