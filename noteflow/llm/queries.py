@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, language_id, line_dedup, simhash_dedup
+from . import byte_bpe, decontamination, language_id, line_dedup, simhash_dedup, substring_dedup
 
 ALL = {
     f.__name__: f
     for f in (
+        substring_dedup.op2_substring_dedup,
         language_id.op3_language_id,
         decontamination.op4_decontamination,
         byte_bpe.op5_byte_bpe,
@@ -15,6 +16,7 @@ ALL = {
     )
 }
 SQL = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
