@@ -35,6 +35,8 @@ LANDMARKS = 128
 RIDGE = 1e-3
 FOLDS, HELD_OUT = 5, 0
 UNDETERMINED = "und"
+#: Below it a text is taken for none of the learned languages (0.5: as near to one as to the rest).
+LEAST_SCORE = 0.3
 #: Documents scored by one matrix product.
 BLOCK = 64
 
@@ -141,39 +143,56 @@ def fit(docs: DataFrame) -> Model | None:
     return train(chosen)
 
 
+def _judged(batch: pa.RecordBatch, model: Model | None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch, ``BLOCK`` texts at a time."""
+    names, scores = [UNDETERMINED] * len(batch), np.zeros(len(batch))
+    at: list[int] = []
+    block: list[list[np.ndarray]] = []
+
+    def flush():
+        for place, own in zip(at, model.score(block)):
+            names[place], scores[place] = model.languages[own.argmax()], own.max()
+        at.clear()
+        block.clear()
+
+    for place, text in enumerate(common.texts(batch)):
+        kept = letters(text.decode()) if text and model else ""
+        if kept:
+            at.append(place)
+            block.append(grams(kept))
+            if len(block) == BLOCK:
+                flush()
+    if block:
+        flush()
+    return names, scores
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, lang_pred, score`` from the text alone."""
     held = docs.select("doc_id", "text")
 
     def run(stream):
-        def flush(block):
-            scores = model.score([g for _, g in block])
-            best = scores.argmax(1)
-            for (doc, _), b, own in zip(block, best, scores):
-                yield doc, model.languages[b], float(own[b])
-
-        def rows(batch):
-            block = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
-                kept = letters(text.decode()) if text and model else ""
-                if not kept:
-                    yield doc, UNDETERMINED, 0.0
-                    continue
-                block.append((doc, grams(kept)))
-                if len(block) == BLOCK:
-                    yield from flush(block)
-                    block = []
-            if block:
-                yield from flush(block)
-
         for batch in stream:
-            schema = pa.schema([batch.schema.field("doc_id"), ("lang_pred", pa.string()), ("score", pa.float64())])
-            yield from common.batches(rows(batch), schema, lambda r: 40)
+            names, scores = _judged(batch, model)
+            columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     kind = held.schema["doc_id"].dataType.simpleString()
     return held.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` whose language is one of the learned ones with a score of ``least`` or more."""
+
+    def run(stream):
+        for batch in stream:
+            names, scores = _judged(batch, model)
+            stays = (scores >= least) & np.array([n != UNDETERMINED for n in names], bool)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from the rows that are not held out."""
     docs = common.table(spark, sf_dir, "documents")
