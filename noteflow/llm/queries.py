@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, language_id, line_dedup, simhash_dedup, substring_dedup
+from . import byte_bpe, decontamination, language_id, line_dedup, simhash_dedup, substring_dedup, toxicity
 
 ALL = {
     f.__name__: f
@@ -13,6 +13,7 @@ ALL = {
         byte_bpe.op5_byte_bpe,
         line_dedup.op8_line_dedup,
         simhash_dedup.op9_simhash_dedup,
+        toxicity.op10_toxicity,
     )
 }
 SQL = {
