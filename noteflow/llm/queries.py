@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, language_id, line_dedup, simhash_dedup, substring_dedup, toxicity
+from . import byte_bpe, decontamination, fingerprints, language_id, line_dedup, simhash_dedup, substring_dedup, toxicity
 
 ALL = {
     f.__name__: f
@@ -11,6 +11,7 @@ ALL = {
         language_id.op3_language_id,
         decontamination.op4_decontamination,
         byte_bpe.op5_byte_bpe,
+        fingerprints.op7_fingerprints,
         line_dedup.op8_line_dedup,
         simhash_dedup.op9_simhash_dedup,
         toxicity.op10_toxicity,
