@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, language_id, line_dedup, simhash_dedup, substring_dedup, toxicity
+from . import byte_bpe, decontamination, fingerprints, language_id, license_scan, line_dedup, simhash_dedup, substring_dedup, toxicity
 
 ALL = {
     f.__name__: f
@@ -11,6 +11,7 @@ ALL = {
         language_id.op3_language_id,
         decontamination.op4_decontamination,
         byte_bpe.op5_byte_bpe,
+        license_scan.op6_license_scan,
         fingerprints.op7_fingerprints,
         line_dedup.op8_line_dedup,
         simhash_dedup.op9_simhash_dedup,
@@ -18,6 +19,7 @@ ALL = {
     )
 }
 SQL = {
+    "op6_license_scan": license_scan.OP6_SQL,
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
