@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, language_id, license_scan, line_dedup, simhash_dedup, substring_dedup, toxicity
+from . import byte_bpe, decontamination, fingerprints, language_id, license_scan, line_dedup, pii_surrogates, simhash_dedup, substring_dedup, toxicity
 
 ALL = {
     f.__name__: f
     for f in (
+        pii_surrogates.op1_pii_surrogates,
         substring_dedup.op2_substring_dedup,
         language_id.op3_language_id,
         decontamination.op4_decontamination,
