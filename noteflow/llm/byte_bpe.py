@@ -2,9 +2,9 @@
 
 A text's UTF-8 bytes are written as one printable character each (``byte_characters``);
 the library merges these. Each distinct piece of text is given to the library once per
-worker and its ids are remembered, up to ``REMEMBERED`` pieces. Decoding looks the ids
-up as strings of such characters and turns the characters back into bytes; bytes of all
-tokens are joined first, so a character that is split over tokens is whole again.
+worker and its ids are remembered, up to ``REMEMBERED`` pieces. For decoding, the byte table
+is reversed once for each token; the bytes of all tokens are joined before they are read
+as text, so a character that is split over tokens is whole again.
 
 Defined results: a NULL or empty text has no tokens; rows stay one to one whatever their
 ids are (NULL, repeated); other columns of the input do not matter. A text of any length
@@ -27,6 +27,8 @@ from . import common
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 REMEMBERED = 400_000
 PART = 1 << 20
+#: Rows decoded at a time.
+ROWS = 500
 #: White space as the pattern's ``\s`` knows it. A match never runs from another character into it.
 SPACE = "".join(
     map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -51,7 +53,6 @@ class Codec:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.to_characters = dict(enumerate(characters))
-        self.to_bytes = {ord(c): b for b, c in enumerate(characters)}
         written = {token: "".join(characters[b] for b in token) for token in ranks}
         # any two tokens that make up a third may be merged, earlier ranks first
         merges = [
@@ -64,10 +65,12 @@ class Codec:
             vocab={written[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True
         )
         self.pieces = regex.compile(pattern).findall
-        self.strings = {rank: written[token] for token, rank in ranks.items()}
+        to_bytes = {ord(c): b for b, c in enumerate(characters)}
+        self.bytes_of = {r: written[t].translate(to_bytes).encode("latin-1") for t, r in ranks.items()}
         self.lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
+        self.numbers = {rank: str(rank) for rank in self.bytes_of}
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
@@ -100,8 +103,7 @@ class Codec:
         return character[ends - self.lengths[ids]], character[ends - 1] + 1
 
     def decode(self, ids) -> bytes:
-        characters = "".join(map(self.strings.__getitem__, ids))
-        return characters.translate(self.to_bytes).encode("latin-1")
+        return b"".join([self.bytes_of[i] for i in ids])
 
 
 def _parts(text: str) -> list[str]:
@@ -136,48 +138,62 @@ def encode(
     def run(stream):
         codec = _codec(path, pattern)
 
-        def rows(batch):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
-                text = text or b""
-                ids = codec.ids(text.decode())
-                yield (doc, ids, *codec.spans(text, ids)) if offsets else (doc, ids)
+        def sent(batch, begin, arrays):
+            own = batch.column("doc_id").slice(begin, len(arrays[0]))
+            return pa.RecordBatch.from_arrays(
+                [own, *(common.lists(pa.int32(), a) for a in arrays)], ["doc_id", "ids", "starts", "ends"][: 1 + len(arrays)]
+            )
 
         for batch in stream:
-            lists = [pa.field(n, pa.list_(pa.int32())) for n in ("ids", "starts", "ends")[: 3 if offsets else 1]]
-            schema = pa.schema([batch.schema.field("doc_id"), *lists])
-            yield from common.batches(rows(batch), schema, lambda r: 16 + 12 * len(r[1]))
+            begin, size, arrays = 0, 0, [[] for _ in range(3 if offsets else 1)]
+            for at, text in enumerate(common.texts(batch)):
+                text = text or b""
+                ids = codec.ids(text.decode())
+                for array, values in zip(arrays, (ids, *codec.spans(text, ids)) if offsets else (ids,)):
+                    array.append(values)
+                size += len(ids)
+                if size > 1 << 20:
+                    yield sent(batch, begin, arrays)
+                    begin, size, arrays = at + 1, 0, [[] for _ in arrays]
+            if arrays[0]:
+                yield sent(batch, begin, arrays)
 
     return held.mapInArrow(run, f"doc_id {held.schema['doc_id'].dataType.simpleString()}, {kinds}")
 
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``doc_id, n_tokens, ids_text, decoded``: ids joined by commas, and their bytes."""
+    """``doc_id, n_tokens, ids, ids_text, decoded``: ids joined by commas, and their bytes."""
     path = path or public_tokenizers.path(VOCABULARY)
     held = tokens.select("doc_id", "ids")
 
     def run(stream):
         codec = _codec(path, pattern)
 
-        def rows(batch):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                ids = (ids.values.to_pylist() if ids.is_valid else None) or []
-                yield doc, len(ids), ",".join(map(str, ids)), codec.decode(ids)
-
-        for batch in stream:
-            schema = pa.schema(
-                [batch.schema.field("doc_id"), ("n_tokens", pa.int64()), ("ids_text", pa.string()), ("decoded", pa.binary())]
-            )
-            yield from common.batches(rows(batch), schema, lambda r: 16 + len(r[2]) + len(r[3]))
+        for whole in stream:
+            for begin in range(0, len(whole), ROWS):
+                batch = whole.slice(begin, ROWS)
+                counts, written, decoded = [], [], []
+                for ids in batch.column("ids"):
+                    own = ids.values.to_numpy().tolist() if ids.is_valid else []
+                    counts.append(len(own))
+                    written.append(",".join([codec.numbers[i] for i in own]))
+                    decoded.append(codec.decode(own))
+                columns = [pa.array(counts, pa.int64()), batch.column("ids"), pa.array(written, pa.string()), pa.array(decoded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids", "ids_text", "decoded"]
+                )
 
     kind = held.schema["doc_id"].dataType.simpleString()
-    return held.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_text string, decoded binary")
+    return held.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_text string, decoded binary")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, the ``ids``."""
     decoded = decode(encode(docs, offsets=False))
     return decoded.select(
         "doc_id",
         "n_tokens",
+        *(["ids"] if ids else []),
         F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,10 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, weigh: Callable[[tuple], i
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), schema)]
     return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def lists(kind: pa.DataType, arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of numbers as one list column."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values).cast(kind))
