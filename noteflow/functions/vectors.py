@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Largest number of float64 values one intermediate array may hold (64 MB).
 BLOCK_VALUES = 2**23
@@ -15,9 +16,9 @@ def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if flat.size % len(column):
+    if len(pc.unique(pc.list_value_length(column))) > 1:
         raise ValueError("vectors differ in length")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1)
 
 

@@ -245,6 +245,16 @@ def knn_top3_by_pivots(spark, sf_dir):
     return _rounded(neighbours.nearest(asked, held, small=0, pivots=32, block=512))
 
 
+def knn_with_bad_vectors(spark, sf_dir):
+    """The search where a share of the vectors is NULL or holds NULL, NaN or infinity."""
+    held = tables.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>"))
+    kind, whole = F.col("vec_id") % 50, F.col("embedding")
+    spoilt = lambda x: F.transform(whole, lambda v, i: F.when(i == 0, F.lit(x).cast("double")).otherwise(v))
+    vector = F.when(kind == 7, spoilt("NaN")).when(kind == 11, spoilt(None)).when(kind == 13, spoilt("Infinity"))
+    held = held.select("vec_id", vector.when(kind == 17, None).otherwise(whole).alias("embedding"))
+    return _rounded(neighbours.nearest(held.withColumnRenamed("vec_id", "query_id"), held))
+
+
 def context_assembly(spark, sf_dir):
     """Context of each embedding from the whole texts of its three nearest documents."""
     asked, held = _embeddings(spark, sf_dir)
@@ -294,7 +304,7 @@ ALL = {
         non_compliant, quality_issues, missing_field_records, chf_no_follow_up,
         patient_explain, patient_assessments, first_records,
         turn_routing, turn_positions, turn_history, turn_keywords,
-        knn_top3, knn_top3_by_pivots, context_assembly,
+        knn_top3, knn_top3_by_pivots, knn_with_bad_vectors, context_assembly,
         chunk_documents, hashed_embeddings, question_embeddings,
         retrieve_context, prompt_table,
     )

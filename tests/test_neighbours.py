@@ -90,6 +90,41 @@ def test_rows_without_a_vector_are_passed_over(spark):
     assert found(neighbours.nearest(queries, vectors)) == {(0, 0, 1, 1.0)}
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+@pytest.mark.parametrize("way", WAYS)
+def test_bad_vectors_have_no_neighbours_in_any_way(spark, way, partitions):
+    """One NaN, NULL or infinite element spoils its own row and no other's result."""
+    good = sample(400, seed=10)
+    expected = brute(good[:200], good, 3)
+    bad = {1000: [float("nan")] + [0.0] * 7, 1001: [None] + [0.0] * 7, 1002: [float("inf")] * 8, 1003: [], 1004: None}
+
+    def spoilt(key, matrix):
+        more = spark.createDataFrame(list(bad.items()), f"{key} bigint, embedding array<double>")
+        return frame(spark, key, matrix).union(more).repartition(partitions)
+
+    asked, held = spoilt("query_id", good[:200]), spoilt("vec_id", good)
+    small = {"vectors to queries": 10_000, "queries to vectors": 300, "by pivots": 0}[way]
+    assert found(neighbours.nearest(asked, held, small=small, pivots=12)) == expected
+    assert sorted(r.vec_id for r in neighbours.unusable(held).collect()) == sorted(bad)
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_other_length_is_an_error_in_every_way(spark, way):
+    held = frame(spark, "vec_id", sample(150, seed=11)).union(
+        spark.createDataFrame([(900, [1.0] * 3), (901, [1.0] * 13)], "vec_id bigint, embedding array<double>")
+    )
+    asked = frame(spark, "query_id", sample(110, seed=12))
+    with pytest.raises(Exception, match="vectors differ in length"):
+        neighbours.nearest(asked, held.coalesce(1), small={"vectors to queries": 10_000, "queries to vectors": 120, "by pivots": 0}[way]).collect()
+
+
+def test_pivots_are_few_on_the_driver(spark):
+    """With many partitions no task sends more than its share of the chosen rows."""
+    held = frame(spark, "vec_id", sample(3000, seed=13)).repartition(64)
+    assert 30 <= len(neighbours._pivots(held, None)) <= 60
+    assert len(neighbours._pivots(held, 40)) == 40
+
+
 def test_no_vectors(spark):
     none = frame(spark, "vec_id", np.zeros((0, 4)))
     assert neighbours.nearest(frame(spark, "query_id", sample(2, 4)), none).count() == 0
