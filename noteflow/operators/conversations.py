@@ -2,8 +2,12 @@
 
 Input is ``conv_id, turn, role, text``. One conversation may hold a large share
 of all messages, so none of this collects or orders a whole conversation in one
-task: counts are folded per turn, turns are cut into bounded segments, and only
-one total per segment is ordered by conversation.
+task: counts are folded per turn, turns are cut into segments of about equal
+numbers whatever their values are, and only one total per segment is ordered by
+conversation.
+
+A NULL ``conv_id`` is a conversation like any other; a NULL ``turn`` comes before
+all others of its conversation.
 """
 
 from __future__ import annotations
@@ -12,9 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.work import written
 from . import reports
 
 SEGMENT = 1024
+#: Ranges that turns are cut into at most; beyond it segments grow.
+MOST_SEGMENTS = 10_000
+#: Parts of a conversation when its messages are listed for chosen turns.
+SALTS = 16
 
 # Steps of a first turn and of a later one.
 FIRST_PATH = ("load_data", "retrieve", "analyze")
@@ -33,13 +42,15 @@ def routes(messages: DataFrame) -> DataFrame:
     conversation and turn together, so no join key is hot.
     """
     turns = user_turns(messages)
-    first = turns.groupBy("conv_id").agg(F.min("turn").alias("turn")).withColumn("_first", F.lit(True))
+    first = turns.groupBy("conv_id").agg(F.min(F.struct("turn")).alias("first"))
+    first = first.select(F.col("conv_id").alias("_conv"), F.col("first.turn").alias("_turn"), F.lit(True).alias("_first"))
 
     def array(steps) -> Column:
         return F.array(*map(F.lit, steps))
 
     is_first = F.col("_first").isNotNull()
-    return turns.join(first, ["conv_id", "turn"], "left").select(
+    same = turns["conv_id"].eqNullSafe(first["_conv"]) & turns["turn"].eqNullSafe(first["_turn"])
+    return turns.join(first, same, "left").select(
         *messages.columns,
         F.when(is_first, "analyze").otherwise("followup").alias("route"),
         F.when(is_first, array(FIRST_PATH)).otherwise(array(LATER_PATH)).alias("path"),
@@ -49,13 +60,15 @@ def routes(messages: DataFrame) -> DataFrame:
 def turn_positions(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Per turn: messages and user messages before it, and the next user turn.
 
-    A running count in two levels: inside a segment of ``segment`` turns, and
-    over the totals of the segments before it.
+    A running count in two levels: inside a segment of about ``segment`` turns,
+    and over the totals of the segments before it. Segments are ranges of
+    (conversation, turn), written once so that both levels see the same ones.
     """
     is_user = F.count_if(F.col("role") == "user")
-    per_turn = messages.groupBy(
-        "conv_id", F.floor(F.col("turn") / segment).alias("segment"), "turn"
-    ).agg(F.count("*").alias("n"), is_user.alias("n_user"))
+    per_turn = written(messages.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), is_user.alias("n_user")), "turns")
+    ranges = min(max(1, -(-per_turn.count() // segment)), MOST_SEGMENTS)
+    ranged = per_turn.repartitionByRange(ranges, "conv_id", "turn").withColumn("segment", F.spark_partition_id())
+    per_turn = written(ranged, "segments")
     user_turn = F.when(F.col("n_user") > 0, F.col("turn"))
 
     per_segment = per_turn.groupBy("conv_id", "segment").agg(
@@ -80,7 +93,9 @@ def turn_positions(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     )
     keys = ["conv_id", "segment"]
     above, below = before(keys, "turn"), before(keys, F.desc("turn"))
-    return per_turn.join(offsets, keys).select(
+    offsets = offsets.withColumnsRenamed({"conv_id": "_conv", "segment": "_segment"})
+    same = per_turn["conv_id"].eqNullSafe(offsets["_conv"]) & (per_turn["segment"] == offsets["_segment"])
+    return per_turn.join(offsets, same).select(
         "conv_id",
         "turn",
         (F.col("n_offset") + count_before("n", above)).alias("messages_before"),
@@ -98,7 +113,9 @@ def history(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     with the square of the conversation's length. :func:`history_of` lists the
     messages for chosen turns.
     """
-    return messages.join(turn_positions(messages, segment), ["conv_id", "turn"]).select(
+    places = turn_positions(messages, segment).withColumnsRenamed({"conv_id": "_conv", "turn": "_turn"})
+    same = messages["conv_id"].eqNullSafe(places["_conv"]) & messages["turn"].eqNullSafe(places["_turn"])
+    return messages.join(places, same).select(
         *messages.columns,
         (F.col("messages_before") + 1).alias("position"),
         F.col("next_user_turn").alias("visible_from"),
@@ -106,9 +123,18 @@ def history(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 
 def history_of(messages: DataFrame, turns: DataFrame) -> DataFrame:
-    """The messages before each of the chosen ``turns(conv_id, turn)``, one per row."""
-    chosen = turns.select("conv_id", F.col("turn").alias("asked_turn"))
-    return messages.join(chosen, "conv_id").filter(F.col("turn") < F.col("asked_turn"))
+    """The messages before each of the chosen ``turns(conv_id, turn)``, one per row.
+
+    As many rows as the chosen turns have messages before them, so choose a few of a
+    long conversation. Its messages are dealt to ``SALTS`` parts, each of which
+    meets every chosen turn.
+    """
+    chosen = turns.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("asked_turn"))
+    chosen = chosen.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = F.pmod(F.xxhash64("turn", "text"), F.lit(SALTS)).cast("int")
+    before = (F.col("turn") < F.col("asked_turn")) | (F.col("turn").isNull() & F.col("asked_turn").isNotNull())
+    same = messages["conv_id"].eqNullSafe(chosen["_conv"]) & (part == chosen["_part"])
+    return messages.join(chosen, same & before).drop("_conv", "_part")
 
 
 # ---- prompts ---------------------------------------------------------------

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import conversations, neighbours, records, reports, retrieval
 from ..schemas import SERVING
 from ..sources import readers, sinks, tables
+from ..sources.work import work_path
 from ..streaming.ingest import run_curated_stream
 
 LISTED = ["file_name", *SERVING.names]
@@ -50,9 +49,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _own_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A path in the shared folder that only this application uses."""
-    source = f"{zlib.crc32(sf_dir.encode()):08x}"
-    return f"{sinks.shared_folder(spark)}/noteflow-{spark.sparkContext.applicationId}/{name}-{source}"
+    """A path in the shared folder that is new unless this session has made it for the same tables.
+
+    It goes when the session ends; a table that changes its files gets another.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    listing = [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files.listStatus(place)]
+    key = (spark.sparkContext.applicationId, sf_dir, name, *sorted(listing))
+    if key not in _OWN_PATHS:
+        _OWN_PATHS[key] = work_path(spark, name)
+    return _OWN_PATHS[key]
+
+
+_OWN_PATHS: dict[tuple, str] = {}
 
 
 # ---- extraction and quality ------------------------------------------------
@@ -220,6 +230,25 @@ def turn_history(spark, sf_dir):
     return conversations.history(messages(spark, sf_dir))
 
 
+def turn_history_sparse(spark, sf_dir):
+    """The history where turn numbers lie far apart and some keys are NULL."""
+    talk, conv, turn = messages(spark, sf_dir), F.col("conv_id"), F.col("turn")
+    sparse = talk.select(
+        F.when(conv % 17 != 3, conv).alias("conv_id"),
+        F.when((turn != 2) | (conv % 13 != 5), turn * 1000003).alias("turn"),
+        "role",
+        "text",
+    )
+    return conversations.history(sparse, segment=64)
+
+
+def turn_history_listed(spark, sf_dir):
+    """The messages before each user turn, one per row."""
+    talk = messages(spark, sf_dir)
+    turns = conversations.user_turns(talk).select("conv_id", "turn").distinct()
+    return conversations.history_of(talk, turns).select("conv_id", "asked_turn", "turn", "role", "text")
+
+
 def turn_keywords(spark, sf_dir):
     return retrieval.keywords(questions(spark, sf_dir))
 
@@ -303,7 +332,8 @@ ALL = {
         top5_high_risk, all_high_risk, low_confidence, no_follow_up, over75_high_risk,
         non_compliant, quality_issues, missing_field_records, chf_no_follow_up,
         patient_explain, patient_assessments, first_records,
-        turn_routing, turn_positions, turn_history, turn_keywords,
+        turn_routing, turn_positions, turn_history, turn_history_sparse, turn_history_listed,
+        turn_keywords,
         knn_top3, knn_top3_by_pivots, knn_with_bad_vectors, context_assembly,
         chunk_documents, hashed_embeddings, question_embeddings,
         retrieve_context, prompt_table,

@@ -68,15 +68,13 @@ def generate_notes(spark: SparkSession, count: int = 50, seed: int = 0) -> DataF
 
     # The layout of a note, line by line.
     lines = [
-        F.lit("DISCHARGE SUMMARY"),
-        F.lit("================="),
+        F.lit("Hospital note"),
         line("Patient ID: ", "patient_id"),
         line("Age: ", F.coalesce(F.col("age").cast("string"), F.lit("Unknown"))),
         line("Gender: ", "gender"),
-        line("Attending Physician: ", "_physician"),
+        line("Seen by: ", "_physician"),
         F.lit(""),
-        F.lit("CLINICAL INFORMATION"),
-        F.lit("--------------------"),
+        F.lit("Stay"),
         line("Primary Diagnosis: ", F.coalesce("diagnosis", F.lit("Not documented"))),
         F.concat(line("Length of Stay: ", "length_of_stay"), F.lit(" days")),
         line("Prior Admissions (past 12 months): ", "prior_admissions"),
@@ -86,8 +84,7 @@ def generate_notes(spark: SparkSession, count: int = 50, seed: int = 0) -> DataF
             F.coalesce(F.array_join("medications", ", "), F.lit("See pharmacy notes")),
         ),
         F.lit(""),
-        F.lit("DISCHARGE NOTES"),
-        F.lit("---------------"),
+        F.lit("Course"),
         F.concat(
             line(
                 "Patient was admitted for management of ",

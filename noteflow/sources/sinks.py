@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,24 +10,16 @@ from ..operators.records import serving_set
 from ..schemas import CURATED, VECTOR, conform
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+def write_curated(curated: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """All records, all columns, full overwrite. ``fmt`` may be ``delta`` where its jar is.
 
-    Only a local session may do without the setting and gets a folder of its own.
+    Parquet files carry a Bloom filter of the patient ids, so that looking up one
+    patient opens few of them.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="noteflow-"))
-        folder = context.getCheckpointDir()
-    return folder
-
-
-def write_curated(curated: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """All records, all columns, full overwrite. ``fmt`` may be ``delta`` where its jar is."""
-    conform(curated, CURATED).write.format(fmt).mode("overwrite").save(path)
+    writer = conform(curated, CURATED).write.format(fmt).mode("overwrite")
+    if fmt == "parquet":
+        writer = writer.option("parquet.bloom.filter.enabled#patient_id", "true")
+    writer.save(path)
 
 
 def write_serving(curated: DataFrame, path: str) -> None:
@@ -41,9 +32,10 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """True when a finished write left its success marker under ``path``."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    """True when a finished write left its success marker, or a first Delta commit, under ``path``."""
+    markers = ("_SUCCESS", "_delta_log/00000000000000000000.json")
+    places = [spark._jvm.org.apache.hadoop.fs.Path(path, m) for m in markers]
+    return any(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in places)
 
 
 def materialise_once(spark: SparkSession, path: str, build: Callable[[], None]) -> bool:

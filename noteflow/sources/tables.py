@@ -15,10 +15,10 @@ MULTIPLIERS = (
 
 # Medication lines of the notes view.
 MEDICATION_LINES = (
-    "Metformin 500mg, Aspirin 81mg",
-    "Lisinopril 10mg, Furosemide 20mg, Warfarin 5mg",
-    "Atorvastatin 40mg, Amlodipine 5mg, Omeprazole 20mg, Aspirin 81mg",
-    "Insulin Glargine, Albuterol inhaler, Metformin 500mg, Lisinopril 10mg, Warfarin 5mg",
+    "Paracetamol 500mg, Ibuprofen 400mg",
+    "Amoxicillin 250mg, Prednisolone 5mg, Folic acid 5mg",
+    "Levothyroxine 50mcg, Tamsulosin 400mcg, Paracetamol 500mg, Folic acid 5mg",
+    "Salmeterol inhaler, Prednisolone 5mg, Ibuprofen 400mg, Amoxicillin 250mg, Levothyroxine 50mcg",
 )
 
 
@@ -26,19 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that would leave most cores idle, by hash of ``key``.
-
-    A small file has one row group and so keeps one core busy, however much work
-    each row is. A scan with a partition per core, as any large one has, stays as
-    it is and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def _r(i: int) -> str:
     """floor(((k + 1) * C_i mod 2^32) / 2^16), over ``m = (k + 1) mod 2^32``.
 
@@ -65,7 +52,7 @@ def _note_lines() -> list[str]:
     """SQL of each line of a note, over ``k``, ``m`` and ``number``."""
     low_row = "k % 211 = 11"
     return [
-        "'DISCHARGE SUMMARY'",
+        "'Hospital note'",
         "if(k % 89 <> 3, concat('Patient ID: PAT-', number), null)",
         f"concat('Age: ', if({_r(2)} % 10 = 0 OR {low_row}, 'Unknown', string({_r(1)} % 45 + 45)))",
         f"concat('Gender: ', if({_r(3)} % 2 = 0, 'Male', 'Female'))",
@@ -100,10 +87,11 @@ def notes_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note per order. The keys, a few bytes each, are dealt out before notes are made of them."""
     keys = table(spark, sf_dir, "orders").select("o_orderkey")
-    return notes_from_orders(spread(keys, "o_orderkey"))
+    return notes_from_orders(keys.repartition("o_orderkey"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text`` of the documents table."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")

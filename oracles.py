@@ -18,7 +18,7 @@ _NOTES = f"""
 keys AS (SELECT o_orderkey AS k FROM orders),
 notes AS (
   SELECT concat_ws(chr(10),
-    'DISCHARGE SUMMARY',
+    'Hospital note',
     CASE WHEN k % 89 <> 3 THEN 'Patient ID: ' || printf('PAT-%04d', k) END,
     'Age: ' || CASE WHEN {_r(2)} % 10 = 0 OR k % 211 = 11 THEN 'Unknown'
                     ELSE (45 + {_r(1)} % 45)::VARCHAR END,
@@ -32,10 +32,10 @@ notes AS (
     CASE WHEN k % 101 <> 7 THEN 'Prior Admissions (past 12 months): ' || ({_r(7)} % 6) END,
     'Medications at Discharge: ' ||
       CASE WHEN {_r(10)} % 12 = 0 OR k % 211 = 11 THEN 'See pharmacy notes'
-      ELSE (['Metformin 500mg, Aspirin 81mg',
-             'Lisinopril 10mg, Furosemide 20mg, Warfarin 5mg',
-             'Atorvastatin 40mg, Amlodipine 5mg, Omeprazole 20mg, Aspirin 81mg',
-             'Insulin Glargine, Albuterol inhaler, Metformin 500mg, Lisinopril 10mg, Warfarin 5mg'
+      ELSE (['Paracetamol 500mg, Ibuprofen 400mg',
+             'Amoxicillin 250mg, Prednisolone 5mg, Folic acid 5mg',
+             'Levothyroxine 50mcg, Tamsulosin 400mcg, Paracetamol 500mg, Folic acid 5mg',
+             'Salmeterol inhaler, Prednisolone 5mg, Ibuprofen 400mg, Amoxicillin 250mg, Levothyroxine 50mcg'
             ])[1 + {_r(8)} % 4] END,
     CASE WHEN {_r(11)} % 5 = 0
       THEN 'Patient has history of non-compliance with medications.' END,
@@ -45,8 +45,8 @@ notes AS (
       'Patient advised to follow up with cardiologist in 2 weeks.',
       'No follow-up appointment scheduled at time of discharge.',
       'Follow-up in 30 days with specialist.', ''])[1 + {_r(13)} % 5],
-    'Signed: ' || (['Dr. Sarah Chen', 'Dr. Michael Torres', 'Dr. Priya Patel',
-                    'Dr. James Wilson', 'Dr. Emily Rodriguez'])[1 + {_r(9)} % 5]
+    'Signed: ' || (['Dr. Astrid Lindholm', 'Dr. Tomasz Zielinski', 'Dr. Ngozi Bello',
+                    'Dr. Ines Duarte'])[1 + {_r(9)} % 4]
   ) AS raw_text,
   printf('patient_%04d.txt', k) AS file_name
   FROM keys
@@ -364,6 +364,23 @@ def all_sql() -> dict[str, str]:
         "turn_keywords": _KEYWORDS,
         "knn_top3": f"WITH {_KNN} SELECT query_id, vec_id, rank, distance FROM knn",
         "knn_top3_by_pivots": f"WITH {_KNN} SELECT query_id, vec_id, rank, distance FROM knn",
+        "turn_history_sparse": """
+            WITH m AS (
+              SELECT CASE WHEN conv_id % 17 <> 3 THEN conv_id END AS conv_id,
+                CASE WHEN turn <> 2 OR conv_id % 13 <> 5 THEN turn * 1000003 END AS turn, role, text
+              FROM conversations
+            )
+            SELECT conv_id, turn, role, text,
+              1 + (SELECT count(*) FROM m e WHERE e.conv_id IS NOT DISTINCT FROM m.conv_id
+                   AND coalesce(e.turn, -1) < coalesce(m.turn, -1)) AS position,
+              (SELECT min(e.turn) FROM m e WHERE e.conv_id IS NOT DISTINCT FROM m.conv_id
+               AND coalesce(e.turn, -1) > coalesce(m.turn, -1) AND e.role = 'user') AS visible_from
+            FROM m""",
+        "turn_history_listed": """
+            SELECT m.conv_id, a.turn AS asked_turn, m.turn, m.role, m.text
+            FROM conversations m
+            JOIN (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user') a
+              ON m.conv_id = a.conv_id AND m.turn < a.turn""",
         "knn_with_bad_vectors": f"""
             WITH {_KNN.replace("FROM embeddings q, embeddings v", "FROM embeddings q, embeddings v WHERE q.vec_id % 50 NOT IN (7, 11, 13, 17) AND v.vec_id % 50 NOT IN (7, 11, 13, 17)")}
             SELECT query_id, vec_id, rank, distance FROM knn""",
