@@ -152,7 +152,9 @@ def prompts(turns: DataFrame, serving: DataFrame) -> DataFrame:
     """Add ``prompt`` to routed turns that carry their ``context``.
 
     The shown records and the full count are single values, computed once each
-    and used by every turn. Both kinds of turn state the true count.
+    and used by every turn; ``serving`` is read for both, so write it first. Both
+    kinds of turn state the true count. A later turn's prompt follows its history:
+    the messages of :func:`history` in the first ``messages_before`` places.
     """
     records = records_json(serving).scalar()
     total = serving.agg(F.count("*").alias("n")).scalar()
@@ -171,8 +173,8 @@ def prompts(turns: DataFrame, serving: DataFrame) -> DataFrame:
         by_route("\n\nQuestion:\n", "\n\nFollow-up question:\n"),
         F.col("text"),
         by_route(
-            "\n\nAnswer from the records. Apply the risk rules. Point out incomplete records.",
-            "\n\nAnswer in the light of the conversation so far. Name patient ids and values.",
+            "\n\nAnswer for the patients at hand, give the points behind each tier and say where a record has gaps.",
+            "\n\nAnswer with the earlier turns in mind; give the ids and figures it rests on.",
         ),
     )
     return turns.withColumn("prompt", prompt)

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import HashedWords, split_text
+from ..sources.work import written
 from . import neighbours
 
+#: Hits (three short columns each) that may be broadcast: three for each of 4,096 questions, and some more.
+BROADCAST_HITS = 16_384
+
 
 def chunk_documents(
     documents: DataFrame,
@@ -58,11 +62,15 @@ def vector_table(documents: DataFrame, embedder=None) -> DataFrame:
 def context(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add ``context`` to each question: its hit chunks, best first, a blank line apart.
 
-    A question without hits (an empty one, say) gets an empty context. A chunk
-    that many questions hit makes a hot join key; both sides of that join are
-    plain shuffles, which adaptive execution can split.
+    A question without hits (an empty one, say) gets an empty context. ``hits`` are
+    written and counted: up to ``BROADCAST_HITS`` of them travel to the chunks, so that
+    the chunk table stays where it is. More of them meet it in a plain shuffle of both
+    sides, which adaptive execution can split where many questions hit one chunk.
     """
-    texts = hits.select("query_id", "vec_id", "rank").join(chunks.select("vec_id", "chunk"), "vec_id")
+    hits = written(hits.select("query_id", "vec_id", "rank"), "hits")
+    if hits.count() <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    texts = chunks.select("vec_id", "chunk").join(hits, "vec_id")
     joined = texts.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "chunk"))).alias("best")
     )
@@ -78,7 +86,8 @@ def retrieve_context(
 ) -> DataFrame:
     """Add ``context`` to ``questions(query_id, text)`` from a vector table."""
     asked = questions.filter(F.coalesce(F.col("text"), F.lit("")) != "")
-    wanted = embed(asked.select("query_id", "text"), "text", embedder)
+    # the search reads its questions more than once, the model shall not
+    wanted = written(embed(asked.select("query_id", "text"), "text", embedder), "questions")
     hits = neighbours.nearest(wanted, vectors, k)
     return context(questions, hits, vectors)
 

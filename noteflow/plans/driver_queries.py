@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import conversations, neighbours, records, reports, retrieval
 from ..schemas import SERVING
 from ..sources import readers, sinks, tables
-from ..sources.work import work_path
+from ..sources.work import work_path, written
 from ..streaming.ingest import run_curated_stream
 
 LISTED = ["file_name", *SERVING.names]
@@ -315,11 +315,14 @@ def retrieve_context(spark, sf_dir):
 
 
 def prompt_table(spark, sf_dir):
+    """Prompts with the number of messages that go before each; records are extracted once."""
     found = retrieve_context(spark, sf_dir).select("query_id", "context")
-    routed = conversations.routes(messages(spark, sf_dir)).withColumn("query_id", _query_id())
+    talk = messages(spark, sf_dir)
+    routed = conversations.routes(talk).withColumn("query_id", _query_id())
     turns = routed.join(found, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
-    asked = conversations.prompts(turns, serving_set(spark, sf_dir))
-    return asked.select("conv_id", "turn", "route", "prompt")
+    places = conversations.turn_positions(talk).select("conv_id", "turn", "messages_before")
+    asked = conversations.prompts(turns, written(serving_set(spark, sf_dir), "serving"))
+    return asked.join(places, ["conv_id", "turn"]).select("conv_id", "turn", "route", "messages_before", "prompt")
 
 
 ALL = {
