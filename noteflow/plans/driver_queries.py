@@ -10,6 +10,7 @@ from ..schemas import SERVING
 from ..sources import readers, sinks, tables
 from ..sources.work import work_path, written
 from ..streaming.ingest import run_curated_stream
+from . import batch_job
 
 LISTED = ["file_name", *SERVING.names]
 
@@ -109,6 +110,26 @@ def stream_curated(spark, sf_dir):
     return run_curated_stream(notes, f"{path}/table", f"{path}/checkpoint")
 
 
+def text_file_scan(spark, sf_dir):
+    """Documents written as one ``.txt`` file each, read by the note scan and cut to lines again.
+
+    The writer ends a file with a line end, which the text did not have.
+    """
+    folder = work_path(spark, "text-files")
+    texts = tables.table(spark, sf_dir, "documents").select("text").repartition("text")
+    texts.write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+    found = readers.read_notes(spark, folder)
+    return found.select(
+        F.regexp_replace("raw_text", r"\n\z", "").alias("raw_text"), F.col("file_name").endswith(".txt").alias("is_text_file")
+    )
+
+
+def batch_counts(spark, sf_dir):
+    """The counts that the batch job tells of its curated table and its serving set."""
+    counts = batch_job.run_batch_on(tables.notes(spark, sf_dir), work_path(spark, "batch"))
+    return spark.createDataFrame([counts], ", ".join(f"{name} long" for name in sorted(counts)))
+
+
 # ---- risk ------------------------------------------------------------------
 
 def risk_points(spark, sf_dir):
@@ -329,7 +350,7 @@ ALL = {
     f.__name__: f
     for f in (
         extract_fields, quality_scores, quality_counts, record_counts, serving_set,
-        serving_round_trip, stream_curated,
+        serving_round_trip, stream_curated, text_file_scan, batch_counts,
         risk_points, risk_points_guideline, risk_signals, risk_summary, risk_crosstab,
         risk_reasons, risk_bands, risk_caveat, intervention_plan, diagnosis_rates,
         top5_high_risk, all_high_risk, low_confidence, no_follow_up, over75_high_risk,

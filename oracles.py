@@ -267,6 +267,16 @@ def all_sql() -> dict[str, str]:
         "quality_counts": _from_curated(
             "SELECT confidence_label, count(*) AS n_records FROM curated GROUP BY 1"
         ),
+        "text_file_scan": """
+            SELECT replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS raw_text,
+              true AS is_text_file FROM documents""",
+        "batch_counts": _from_curated(
+            """SELECT count(*) AS n_notes, count(patient_id) AS n_with_id,
+              count(*) FILTER (confidence_label = 'HIGH') AS n_high,
+              count(*) FILTER (confidence_label = 'MEDIUM') AS n_medium,
+              count(*) FILTER (confidence_label = 'LOW') AS n_low,
+              count(*) FILTER (is_scoreable) AS n_serving FROM curated"""
+        ),
         "record_counts": _from_curated(
             """SELECT count(*) AS n_notes, count(patient_id) AS n_with_id,
               count(*) FILTER (is_scoreable) AS n_scoreable,
