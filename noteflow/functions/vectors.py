@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 
 # Largest number of float64 values one intermediate array may hold (64 MB).
 BLOCK_VALUES = 2**23
+# How much, at most, squares that are ties differ by, as a share of them.
+TIE = 2**-22
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -50,7 +52,8 @@ def first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
 def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
     """(query row, vector row, squared distance) of the ``k`` nearest per query.
 
-    ``vectors`` must come in id order, which settles ties. The matrix product
+    ``vectors`` must come in id order, which settles ties; squares that are equal as
+    32-bit floats are ties, so that no engine's last digits matter. The matrix product
     only narrows down the candidates; their distances are computed anew from
     the differences, so nothing depends on its rounding.
     """
@@ -64,10 +67,10 @@ def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
         rough = squared_distances(block, vectors)
         limit = np.full(len(block), np.inf)
         if n > k:
-            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + rounding_slack(block, vectors)
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] * (1 + TIE) + 2 * rounding_slack(block, vectors)
         rows, cols = np.nonzero(rough <= limit[:, None])
         exact = _pair_distances(block, vectors, rows, cols)
-        order = np.lexsort((cols, exact, rows))
+        order = np.lexsort((cols, exact.astype(np.float32), rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         first = np.searchsorted(rows, rows, side="left")
         kept = np.arange(len(rows)) - first < k

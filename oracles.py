@@ -250,6 +250,106 @@ ranked AS (
 SELECT query_id, keyword, score, rank FROM ranked WHERE rank <= 5"""
 
 
+# The splitter, for texts without blank lines: pieces at line ends, long ones at blanks,
+# short neighbours packed greedily, up to 50 characters carried forward.
+_CHUNKS = r"""
+pieces AS (
+  -- text cut at line ends; each piece begins with its line end
+  SELECT doc_id, n, CASE WHEN n = 0 THEN line ELSE chr(10) || line END AS piece
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), kept AS (
+  SELECT doc_id, n, piece, length(piece) >= 500 AS long FROM pieces WHERE piece <> ''
+), grouped AS (
+  -- long pieces stand alone, short neighbours belong together
+  SELECT *, sum(CASE WHEN long THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) * 2
+            - CASE WHEN long THEN 1 ELSE 0 END AS part
+  FROM kept
+), cut AS (
+  SELECT doc_id, part, 0 AS sub, n, piece FROM grouped WHERE NOT long
+  UNION ALL
+  SELECT doc_id, part, 0, i, CASE WHEN i = 0 THEN word ELSE ' ' || word END
+  FROM (SELECT doc_id, part, unnest(words) AS word, unnest(range(len(words))) AS i
+        FROM (SELECT doc_id, part, string_split(piece, ' ') AS words FROM grouped WHERE long))
+  WHERE NOT (i = 0 AND word = '')
+), runs AS (
+  SELECT doc_id, part, string_agg(piece, '' ORDER BY n) AS run,
+         list_prepend(0, list(upto ORDER BY n)) AS bounds
+  FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, part ORDER BY n) AS upto FROM cut)
+  GROUP BY doc_id, part
+), steps AS (
+  SELECT doc_id, part, run, bounds, 1 AS first,
+         list_max(list_transform(range(1, len(bounds) + 1), lambda i: CASE WHEN bounds[i] <= 500 THEN i END)) AS last
+  FROM runs
+  UNION ALL
+  SELECT doc_id, part, run, bounds, first,
+         list_max(list_transform(range(1, len(bounds) + 1), lambda i: CASE WHEN bounds[i] <= bounds[first] + 500 THEN i END))
+  FROM (
+    SELECT doc_id, part, run, bounds,
+      least(last, greatest(
+        list_min(list_transform(range(first, len(bounds) + 1), lambda i: CASE WHEN bounds[i] >= bounds[last] - 50 THEN i END)),
+        list_min(list_transform(range(first, len(bounds) + 1), lambda i: CASE WHEN bounds[i] >= bounds[last + 1] - 500 THEN i END)))) AS first
+    FROM steps WHERE last < len(bounds)
+  )
+), chunks AS (
+  SELECT doc_id, part, first, trim(substr(run, bounds[first]::BIGINT + 1, (bounds[last] - bounds[first])::BIGINT), E' \n') AS chunk
+  FROM steps
+), numbered AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, first) - 1)::INT AS chunk_ix, chunk
+  FROM chunks WHERE chunk <> ''
+), chunk_rows AS (
+  SELECT doc_id || ':' || chunk_ix AS vec_id, doc_id, chunk_ix, chunk FROM numbered
+)"""
+
+_CONTEXTS = r"""
+texts AS (
+  SELECT 'q' AS kind, conv_id || ':' || turn AS id, text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT 'c', vec_id, chunk FROM chunk_rows
+), text_words AS (
+  SELECT kind, id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM texts
+), buckets AS (
+  SELECT kind, id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INT AS bucket, count(*) AS n
+  FROM text_words WHERE w <> '' GROUP BY ALL
+), word_vectors AS (
+  SELECT kind, id, map(list(bucket), list(n::DOUBLE)) AS held, sqrt(sum(n * n)::DOUBLE) AS norm FROM buckets GROUP BY kind, id
+), text_vectors AS (
+  SELECT t.kind, t.id, t.text,
+    list_transform(range(64), lambda b: coalesce(v.held[b::INT] / v.norm, 0.0)) AS vector
+  FROM texts t LEFT JOIN word_vectors v USING (kind, id)
+), near AS (
+  SELECT q.id AS query_id, c.id AS vec_id, c.text AS chunk,
+    row_number() OVER (PARTITION BY q.id ORDER BY (list_distance(q.vector, c.vector) ** 2)::FLOAT, c.id) AS rank
+  FROM text_vectors q, text_vectors c WHERE q.kind = 'q' AND c.kind = 'c' AND coalesce(q.text, '') <> ''
+), contexts AS (
+  SELECT query_id, string_agg(chunk, chr(10) || chr(10) ORDER BY rank) AS context FROM near WHERE rank <= 3 GROUP BY query_id
+), asked AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS query_id, m.text, coalesce(context, '') AS context
+  FROM conversations m LEFT JOIN contexts c ON c.query_id = m.conv_id || ':' || m.turn WHERE role = 'user'
+)"""
+
+_PROMPTS = r"""
+shown AS (
+  SELECT to_json(list(s ORDER BY patient_id NULLS LAST))::VARCHAR AS records
+  FROM (SELECT SERVING FROM curated WHERE is_scoreable ORDER BY patient_id NULLS LAST LIMIT 20) s
+), total AS (
+  SELECT count(*) AS n FROM curated WHERE is_scoreable
+), placed AS (
+  SELECT a.*,
+    (SELECT count(*) FROM conversations e WHERE e.conv_id = a.conv_id AND e.turn < a.turn) AS messages_before,
+    (SELECT count(*) FROM conversations e WHERE e.conv_id = a.conv_id AND e.turn < a.turn AND e.role = 'user') = 0 AS is_first
+  FROM asked a
+)
+SELECT conv_id, turn, CASE WHEN is_first THEN 'analyze' ELSE 'followup' END AS route, messages_before,
+  CASE WHEN is_first THEN 'Patient records, ' ELSE 'Patient records for reference, ' END
+    || n || ' in all, first 20 shown:' || chr(10) || records || chr(10) || chr(10)
+    || CASE WHEN is_first THEN 'Guideline passages:' ELSE 'Further guideline passages:' END || chr(10) || context
+    || chr(10) || chr(10) || CASE WHEN is_first THEN 'Question:' ELSE 'Follow-up question:' END || chr(10) || text
+    || chr(10) || chr(10) || CASE WHEN is_first
+      THEN 'Answer for the patients at hand, give the points behind each tier and say where a record has gaps.'
+      ELSE 'Answer with the earlier turns in mind; give the ids and figures it rests on.' END AS prompt
+FROM placed, shown, total"""
+
+
 def all_sql() -> dict[str, str]:
     curated = """SELECT raw_text, file_name, patient_id, age, gender, diagnosis, length_of_stay,
         prior_admissions, has_follow_up, lives_alone, non_compliant, medications_raw,
@@ -402,6 +502,10 @@ def all_sql() -> dict[str, str]:
             )
             SELECT e.vec_id AS query_id, coalesce(context, '') AS context
             FROM embeddings e LEFT JOIN hits ON query_id = e.vec_id""",
+        "chunk_documents": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunk_rows",
+        "retrieve_context": f"WITH RECURSIVE {_CHUNKS}, {_CONTEXTS} SELECT query_id, text, context FROM asked",
+        "prompt_table": "WITH RECURSIVE "
+        + ",".join([_NOTES, _EXTRACTED, _CURATED, _CHUNKS, _CONTEXTS, _PROMPTS.replace("SERVING", _SERVING)]),
         "hashed_embeddings": _embedded("documents", "doc_id"),
         "question_embeddings": _embedded("benchmark", "item_id"),
     }

@@ -9,7 +9,7 @@ import oracles
 from noteflow.plans import driver_queries
 from tools.check_oracles import compare, connect
 
-WITHOUT_SQL = {"chunk_documents", "retrieve_context", "prompt_table"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")
