@@ -35,6 +35,16 @@ FEMALE_NAMES = ("Alma", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "H
 MALE_CYRILLIC = ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Илья")
 FEMALE_CYRILLIC = ("Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Инна", "Лидия")
 
+# Frequent given names, by which a name is known that has no title before it.
+KNOWN_MALE = (
+    "John", "James", "Robert", "Michael", "William", "Thomas", "Peter", "Daniel", "George", "Hans", "Klaus", "Jürgen",
+    "Pierre", "Jean", "Luis", "Carlos", "José", "Juan", "Antonio", "Miguel", "Сергей", "Дмитрий", "Александр",
+)
+KNOWN_FEMALE = (
+    "Mary", "Anna", "Elizabeth", "Jennifer", "Linda", "Susan", "Sarah", "Emma", "Sophie", "Ursula", "Monika", "Sabine",
+    "Marie", "Camille", "Carmen", "Lucía", "Isabel", "Ana", "Ольга", "Мария", "Наталья", "Татьяна",
+)
+
 # Letters that replace letters, by script and kind.
 LETTERS = (
     ("aeiou", "aeiou"),
@@ -55,6 +65,9 @@ _TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES))
 _NAME = rf"(?!(?:{_TITLES})[. ])\p{{Lu}}[\p{{L}}'’-]{{1,30}}"
 _TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.?[ ]"
 
+_KNOWN = "|".join((*MALE_NAMES, *FEMALE_NAMES, *MALE_CYRILLIC, *FEMALE_CYRILLIC, *KNOWN_MALE, *KNOWN_FEMALE))
+_GIVEN = rf"(?<![\p{{L}}\p{{N}}])(?:{_KNOWN})"
+
 # What is found, most specific first; each begins where no letter or digit goes before.
 KINDS = (
     ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"),
@@ -69,6 +82,7 @@ _ANY = (
     r"(?<![\p{L}\p{N}])(?:" + "|".join(p.replace("([ -])", "[ -]").replace(r"\1", "[ -]") for _, p in KINDS) + ")"
     # cheap conditions first: few capitals stand after a letter or a title's dot
     rf"|(?=\p{{Lu}})(?<=[\p{{L}}.][ ])(?<={_TITLE}){_NAME}|(?=\p{{Lu}})(?<=\p{{L}}[ ])(?<={_TITLE}{_NAME}[ ]){_NAME}"
+    rf"|(?=\p{{Lu}}){_GIVEN}(?=[ ]{_NAME})|(?=\p{{Lu}})(?<=\p{{L}}[ ])(?<={_GIVEN}[ ]){_NAME}"
 )
 
 
@@ -79,6 +93,8 @@ def _kind(value: Column, before: Column, after: Column, more: Column) -> Column:
     given = more & (after == " ")
     kind = F.when(~letter | value.rlike(r"[0-9@]"), _by_pattern(value))
     kind = kind.when(given & titled(MALE_TITLES), "male").when(given & titled(FEMALE_TITLES), "female")
+    kind = kind.when(given & value.isin(*MALE_NAMES, *MALE_CYRILLIC, *KNOWN_MALE), "male")
+    kind = kind.when(given & value.isin(*FEMALE_NAMES, *FEMALE_CYRILLIC, *KNOWN_FEMALE), "female")
     return kind.when(given & titled(NEUTRAL_TITLES), "given").otherwise("family")
 
 

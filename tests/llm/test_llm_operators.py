@@ -63,6 +63,12 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert sum(s - 9 * (s > 9) for s in sums) % 10 == 0
 
 
+def test_names_without_titles(spark):
+    (row,) = pii_surrogates.replace(docs(spark, "Then Anna Weber met Peter Weber. The Weber Dam, Paul and Emma left.")).collect()
+    she, one, he, two = re.match(r"Then (\w+) (\w+) met (\w+) (\w+)\. The Weber Dam, Paul and Emma left\.", row.text).groups()
+    assert she in pii_surrogates.FEMALE_NAMES and he in pii_surrogates.MALE_NAMES and one == two != "Weber"
+
+
 def test_surrogates_are_keyed_and_distinct(spark):
     names = [f"Mr. {a}{b}" for a in ("Li", "Wu", "Xu", "Bo", "Ka", "Fa", "Ra") for b in ("", "n", "m", "s", "k")]
     frame = docs(spark, *names)
