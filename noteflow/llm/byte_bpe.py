@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 PART = 1 << 20
 #: Rows decoded at a time.
 ROWS = 500
@@ -168,29 +168,49 @@ def decode(tokens: DataFrame, path: str | None = None, pattern: str = public_tok
 
     def run(stream):
         codec = _codec(path, pattern)
-
         for whole in stream:
             for begin in range(0, len(whole), ROWS):
                 batch = whole.slice(begin, ROWS)
-                counts, written, decoded = [], [], []
-                for ids in batch.column("ids"):
-                    own = ids.values.to_numpy().tolist() if ids.is_valid else []
-                    counts.append(len(own))
-                    written.append(",".join([codec.numbers[i] for i in own]))
-                    decoded.append(codec.decode(own))
-                columns = [pa.array(counts, pa.int64()), batch.column("ids"), pa.array(written, pa.string()), pa.array(decoded, pa.binary())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids", "ids_text", "decoded"]
-                )
+                yield _decoded(codec, batch.column("doc_id"), batch.column("ids"))
+
+    return held.mapInArrow(run, _decoded_kinds(held))
+
+
+def _decoded(codec: Codec, doc_ids: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+    counts, written, decoded = [], [], []
+    for each in ids:
+        own = each.values.to_numpy().tolist() if each.is_valid else []
+        counts.append(len(own))
+        written.append(",".join([codec.numbers[i] for i in own]))
+        decoded.append(codec.decode(own))
+    columns = [pa.array(counts, pa.int64()), ids, pa.array(written, pa.string()), pa.array(decoded, pa.binary())]
+    return pa.RecordBatch.from_arrays([doc_ids, *columns], ["doc_id", "n_tokens", "ids", "ids_text", "decoded"])
 
+
+def _decoded_kinds(held: DataFrame) -> str:
     kind = held.schema["doc_id"].dataType.simpleString()
-    return held.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_text string, decoded binary")
+    return f"doc_id {kind}, n_tokens long, ids array<int>, ids_text string, decoded binary"
+
+
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``doc_id, n_tokens, ids, ids_text, decoded``: encoded and decoded again by one Python worker."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    held = docs.select("doc_id", "text")
+
+    def run(stream):
+        codec = _codec(path, pattern)
+        for whole in stream:
+            for begin in range(0, len(whole), ROWS):
+                batch = whole.slice(begin, ROWS)
+                ids = [codec.ids((text or b"").decode()) for text in common.texts(batch)]
+                yield _decoded(codec, batch.column("doc_id"), common.lists(pa.int32(), ids))
+
+    return held.mapInArrow(run, _decoded_kinds(held))
 
 
 def digests(docs: DataFrame, ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, the ``ids``."""
-    decoded = decode(encode(docs, offsets=False))
-    return decoded.select(
+    return round_trip(docs).select(
         "doc_id",
         "n_tokens",
         *(["ids"] if ids else []),
