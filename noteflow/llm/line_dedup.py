@@ -128,7 +128,7 @@ def keep_bitmaps(
     # at most two rows per partition, whatever the keys are
     edges = decided.where(F.col("state") == EDGE).groupBy("high", "low")
     edges = edges.agg(F.sum("documents").alias("all_documents"), F.max("doc_id").alias("keeper"))
-    waiting = decided.where(F.col("state") == PENDING).drop("documents").join(edges, ["high", "low"])
+    waiting = decided.where(F.col("state") == PENDING).drop("documents").join(F.broadcast(edges), ["high", "low"])
     waiting = waiting.where((F.col("all_documents") >= min_documents) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
 
     columns = ["doc_id", "text_hash", "lines"]
