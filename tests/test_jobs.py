@@ -132,7 +132,7 @@ def test_notes_view(spark, sf_dir):
     view = tables.notes(spark, sf_dir)
     totals = view.agg(F.count("*"), F.sum(F.length("raw_text")), F.min(F.md5("raw_text"))).first()
     con = connect(sf_dir)
-    same = con.sql(f"WITH {oracles._NOTES} SELECT count(*), sum(length(raw_text)), min(md5(raw_text)) FROM notes")
+    same = con.execute(f"WITH {oracles._NOTES} SELECT count(*), sum(length(raw_text)), min(md5(raw_text)) FROM notes")
     assert tuple(totals) == same.fetchone() and totals[0] == 1500
     crosstab = {(r.risk_tier, r.signal_tier): r.n_patients
                 for r in reports.risk_crosstab(records.curate(view)).collect()}
