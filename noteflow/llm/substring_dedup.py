@@ -159,7 +159,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, text_hash, begins, ends``: word ranges that repeated windows cover, merged."""
     seeded = written(_seeds(docs, window).withColumn("row", F.monotonically_increasing_id()), "seeds")
     each = seeded.select("row", F.inline(F.arrays_zip("seeds", "places"))).toDF("row", "seed", "place")
-    twice = each.groupBy("seed").count().where("count > 1").select("seed")
+    # grouped by a hash beside the seed, so that the join deals both sides anew and a seed that
+    # very many documents share can be split
+    twice = each.groupBy("seed", F.xxhash64("seed")).count().where("count > 1").select("seed")
     found = each.join(twice, "seed").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
     named = found.join(seeded.select("row", "doc_id", "text_hash", "n_words"), "row")
     # rows equal in id and text have the same places
