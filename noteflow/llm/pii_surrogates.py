@@ -85,6 +85,10 @@ _ANY = (
     rf"|(?=\p{{Lu}}){_GIVEN}(?=[ ]{_NAME})|(?=\p{{Lu}})(?<=\p{{L}}[ ])(?<={_GIVEN}[ ]){_NAME}"
 )
 
+# What every text with an entity has: a digit, an at sign, a long or marked token, or a title or given
+# name before a capital. Few texts have any of it, and only these meet the costly pattern.
+_SIGNS = rf"[0-9@]|AKIA|[a-f]{{32}}|[A-F]{{32}}|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.?|{_KNOWN})[ ]\p{{Lu}}"
+
 
 def _kind(value: Column, before: Column, after: Column, more: Column) -> Column:
     """The type of a match, from itself and what stands around it."""
@@ -111,7 +115,8 @@ def with_entities(docs: DataFrame) -> DataFrame:
     The last part is the rest of the text; a text without entities has no parts.
     """
     # columns of their own, since a lambda evaluates what it holds for each element
-    found = docs.withColumn("_found", F.regexp_extract_all("text", F.lit(_ANY), 0))
+    signs = F.when(F.col("text").rlike(_SIGNS), F.regexp_extract_all("text", F.lit(_ANY), 0))
+    found = docs.withColumn("_found", signs)
     found = found.withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", _ANY, -1)))
     more = lambda i: i < F.size("_found")
     at = lambda name, i: F.get(F.col(name), i)
