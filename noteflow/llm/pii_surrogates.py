@@ -109,13 +109,15 @@ def _by_pattern(value: Column) -> Column:
     return kind
 
 
-def with_entities(docs: DataFrame) -> DataFrame:
+def with_entities(docs: DataFrame, where: Column | None = None) -> DataFrame:
     """``docs`` with ``_parts``: each entity's ``value`` and ``kind`` with the ``gap`` before it, in order.
 
-    The last part is the rest of the text; a text without entities has no parts.
+    The last part is the rest of the text; a text without entities has no parts. Only texts
+    ``where`` holds are looked at, by default those with a sign of an entity.
     """
     # columns of their own, since a lambda evaluates what it holds for each element
-    signs = F.when(F.col("text").rlike(_SIGNS), F.regexp_extract_all("text", F.lit(_ANY), 0))
+    where = F.col("text").rlike(_SIGNS) if where is None else where
+    signs = F.when(where, F.regexp_extract_all("text", F.lit(_ANY), 0))
     found = docs.withColumn("_found", signs)
     found = found.withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", _ANY, -1)))
     more = lambda i: i < F.size("_found")
@@ -219,19 +221,20 @@ def resolved(found: DataFrame, key: str) -> DataFrame:
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``_n_entities``."""
-    held = with_entities(docs)
     each = with_entities(docs.select("doc_id", "text"))
     each = each.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode("_parts").alias("p"))
     each = each.where("p.value IS NOT NULL")
     each = each.select("doc_id", "text_hash", F.col("p.kind").alias("kind"), canonical(F.col("p.value")).alias("form"), F.col("p.value").alias("value"))
     each = written(each.distinct(), "found")
     later = resolved(each.select("kind", "form", "value"), key)
-    named = each.select("doc_id", "text_hash", "kind", "form").distinct().join(later, ["kind", "form"])
+    # every document with an entity, so that the others are not searched again
+    named = each.select("doc_id", "text_hash", "kind", "form").distinct().join(later, ["kind", "form"], "left")
+    attempts = F.collect_set(F.when(F.col("attempt").isNotNull(), F.struct(F.concat_ws("|", "kind", "form").alias("k"), "attempt")))
     named = named.groupBy(F.col("doc_id").alias("_found_doc"), F.col("text_hash").alias("_found_text")).agg(
-        F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "form"), "attempt"))).alias("_attempts")
+        F.map_from_entries(attempts).alias("_attempts")
     )
-    same = held["doc_id"].eqNullSafe(named["_found_doc"]) & (F.xxhash64(held["text"]) == named["_found_text"])
-    joined = held.join(named, same, "left")
+    same = docs["doc_id"].eqNullSafe(named["_found_doc"]) & (F.xxhash64(docs["text"]) == named["_found_text"])
+    joined = with_entities(docs.join(named, same, "left"), F.col("_attempts").isNotNull())
 
     def rewritten(p: Column) -> Column:
         attempt = F.coalesce(F.try_element_at(F.col("_attempts"), F.concat_ws("|", p["kind"], canonical(p["value"]))), F.lit(0))
