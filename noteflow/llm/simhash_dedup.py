@@ -172,7 +172,10 @@ def _points(bits: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
-    """``doc_id, text_hash, bits, component_id``: every row with the smallest id it is linked to."""
+    """``doc_id, text_hash, bits, root, component_id``: every row with the smallest id it is linked to.
+
+    ``root``, the component's smallest fingerprint, tells components apart; ids need not.
+    """
     marked = written(fingerprints(docs), "fingerprints")
     distinct = marked.groupBy("bits").agg(F.min("doc_id").alias("smallest"))
     rooted = components(links(distinct.select("bits"), radius, bands))
@@ -180,16 +183,17 @@ def classes(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFr
     of = distinct.join(rooted.withColumnRenamed("node", "bits"), "bits", "left")
     of = of.select("bits", "smallest", F.coalesce("root", "bits").alias("root"))
     least = of.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = written(of.join(least, "root").select("bits", "component_id"), "components")
-    return marked.join(named, "bits").select("doc_id", "text_hash", "bits", "component_id")
+    named = written(of.join(least, "root").select("bits", "root", "component_id"), "components")
+    return marked.join(named, "bits").select("doc_id", "text_hash", "bits", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, the first of its texts."""
     found = classes(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.groupBy("component_id").agg(F.min("text_hash").alias("_stays_text"))
-    stays = stays.withColumnRenamed("component_id", "_stays_doc")
+    # by root: components may share an id, and rows without one go after all others
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    stays = found.groupBy("root").agg(first)
+    stays = stays.select(F.col("first.doc_id").alias("_stays_doc"), F.col("first.text_hash").alias("_stays_text"))
     same = docs["doc_id"].eqNullSafe(stays["_stays_doc"]) & (F.xxhash64(docs["text"]) == stays["_stays_text"])
     kept = docs.join(stays, same)
     # rows equal in id and text are one document

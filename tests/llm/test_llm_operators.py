@@ -306,6 +306,14 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([0, 3, 4] + [2] * (not near))
 
 
+def test_components_that_share_an_id_all_stay(spark):
+    rows = [(None, "first text of nobody"), (None, "quite another thing"), (None, "third one, unlike both"), (None, "first text of nobody")]
+    rows += [(18, "same same same"), (18, "other text of one id"), (19, "same same same"), (None, "other text of one id")]
+    kept = simhash_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({simhash(text) for _, text in rows}) == 5
+    assert sorted(map(tuple, kept), key=repr) == sorted({*rows[:3], *rows[4:6]}, key=repr)
+
+
 # ---- pipeline ----------------------------------------------------------------
 
 def test_pipeline_stages_keep_columns(spark, sf_dir):
