@@ -1,16 +1,17 @@
 """Surrogates for personal data: keyed, of the same type and format, distinct and consistent.
 
 Every entity is replaced by a made-up one of its type. The same entity has the same surrogate
-wherever it stands and however it is written (capitals, separators): letters and digits alone
-make its canonical form, and a keyed hash of that chooses the new ones. Letters keep their
-case, script and whether they are vowels, digits stay digits; an address keeps its last
+wherever it stands and however it is written: its canonical form has neither capitals nor, in
+numbers, separators (those of addresses and names carry meaning and stay). A keyed hash of the
+form chooses a new form, which is then laid into the format of each spelling. Letters keep
+their case, script and whether they are vowels, digits stay digits; an address keeps its last
 domain, a phone number its country code, a card number a valid check digit if it had one; an IP
 address stays one. Given names come from the gender's list in the name's script.
 
-Collisions: all distinct entities of the corpus are compared. Of entities with one surrogate
-the smallest keeps it, the others, and those whose surrogate is a real entity, are hashed anew
-with the next attempt, until none is left. Texts are rewritten row by row; only the few
-surrogates of later attempts are joined.
+Collisions: all distinct entities of the corpus are compared by form. Of entities with one new
+form the smallest keeps it, the others, and those whose new form is a real entity, are hashed
+anew with the next attempt, until none is left. Texts are rewritten row by row; only the few new forms of later
+attempts are joined.
 
 All of it is DataFrame functions. A NULL text stays NULL; a text without entities stays as it
 is; rows stay one to one; other columns pass through unchanged.
@@ -61,6 +62,10 @@ KEY = "surrogates"
 ATTEMPTS = 64
 OTHER = "other"
 
+# Country calling codes of one and two digits; all others have three.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_NAMED = ("male", "female", "given", "family")
+
 _TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES))
 _NAME = rf"(?!(?:{_TITLES})[. ])\p{{Lu}}[\p{{L}}'’-]{{1,30}}"
 _TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.?[ ]"
@@ -133,45 +138,82 @@ def with_entities(docs: DataFrame, where: Column | None = None) -> DataFrame:
     return found.withColumn("_parts", F.when(F.size("_found") > 0, parts)).drop("_found", "_gaps")
 
 
-def canonical(value: Column) -> Column:
-    """Letters and digits, in lower case: what is the same entity however it is written."""
-    return F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
+def canonical(kind: Column, value: Column) -> Column:
+    """What is the same entity however it is written: lower case, and no separators but those that carry meaning."""
+    bare = F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
+    name = F.regexp_replace(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}'’-]|['’-]+$", ""), "’", "'")
+    form = F.when(kind.isin("phone", "iban", "card", "ssn", "ip", OTHER), bare).when(kind.isin(*_NAMED), name).otherwise(F.lower(value))
+    # a number with its country's code is not the local number of the same digits
+    return F.when((kind == "phone") & value.startswith("+"), F.concat(F.lit("+"), form)).otherwise(form)
+
 
+def digest(kind: Column, form: Column, attempt: Column, key: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, form, attempt.cast("string")), 512)
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """A made-up value of the kind, in the format of ``value``."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical(value), attempt.cast("string")), 512)
+
+def surrogate(kind: Column, form: Column, attempt: Column, digest: Column) -> Column:
+    """A made-up canonical form of the kind, chosen by the digest."""
     byte = lambda k: F.conv(F.substring(digest, F.pmod(k, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, k: F.substring(F.lit(letters), F.pmod(byte(k), F.lit(len(letters))) + 1, F.lit(1))
 
     # what stays: an address' last domain, a number's country code
-    kept = F.when(kind == "email", F.regexp_extract(value, r"(\.[A-Za-z]{2,24})$", 1)).otherwise(F.lit(""))
-    ahead = F.when(kind == "phone", F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .-]))", 1)).when(
-        kind == "iban", F.substring(value, 1, 2)
+    kept = F.when(kind == "email", F.regexp_extract(form, r"(\.[a-z]{2,24})$", 1)).otherwise(F.lit(""))
+    ahead = F.when(kind == "phone", F.regexp_extract(form, _COUNTRY, 0)).when(
+        kind == "iban", F.substring(form, 1, 2)
     ).otherwise(F.lit(""))
-    middle = F.substring(value, F.length(ahead) + 1, F.length(value) - F.length(ahead) - F.length(kept))
+    middle = F.substring(form, F.length(ahead) + 1, F.length(form) - F.length(ahead) - F.length(kept))
 
-    def replaced(c: Column, i: Column) -> Column:
-        k = F.length(F.regexp_replace(F.substring(middle, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
-        low = F.lower(c)
+    def replaced(c: Column, k: Column) -> Column:
         new = F.when(c.rlike("[0-9]"), F.pmod(byte(k), F.lit(10)).cast("string"))
-        new = new.when((kind == "token") & low.between("a", "f"), pick("abcdef", k))
+        new = new.when((kind == "token") & c.between("a", "f"), pick("abcdef", k))
         for letters, others in LETTERS:
-            new = new.when(F.instr(F.lit(letters), low) > 0, pick(others, k))
-        new = new.when(c.rlike(r"\p{L}"), pick("的一是在不了有和人这中大为上个国我以要他", k)).otherwise(c)
-        return F.when(c == low, new).otherwise(F.upper(new))
-
-    spelled = F.concat(ahead, F.array_join(F.transform(F.split(middle, ""), replaced), ""), kept)
-    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.pmod(byte(k), F.lit(254)) + 1).cast("array<string>"), ".")
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
-    listed = lambda latin, other: F.when(cyrillic, _from(other, byte)).otherwise(_from(latin, byte))
-    again = lambda ending: F.concat(spelled, F.when(cyrillic, F.lit(ending[1])).otherwise(F.lit(ending[0])))
+            new = new.when(F.instr(F.lit(letters), c) > 0, pick(others, k))
+        return new.when(c.rlike(r"\p{L}"), pick("的一是在不了有和人这中大为上个国我以要他", k)).otherwise(c)
+
+    def more(letters: str) -> Column:
+        # short words have few likenesses: later attempts grow
+        n = F.when(attempt > 2, 1).otherwise(0)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda j: F.when(j > 0, pick(letters, -j)).otherwise("")), "")
+
+    spelled = F.when(F.length(middle) > 0, F.array_join(F.transform(F.split(middle, ""), replaced), "")).otherwise(F.lit(""))
+    spelled = F.concat(ahead, spelled, kept)
+    number = lambda k: F.conv(F.substring(digest, k * 4 - 3, F.lit(4)), 16, 10).cast("int")
+    octet = lambda k: F.pmod(number(k), F.lit(254)) + 1
+    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), octet).cast("array<string>"), ".")
+    cyrillic = form.rlike(r"\p{IsCyrillic}")
+    listed = lambda latin, other: F.lower(F.when(cyrillic, _from(other, byte)).otherwise(_from(latin, byte)))
+    again = lambda ending: F.concat(spelled, F.when(cyrillic, F.lit(ending[1])).otherwise(F.lit(ending[0])), vowels)
+    vowels = F.when(cyrillic, more("аеиоу")).otherwise(more("aeiou"))
     male = F.when(attempt == 0, listed(MALE_NAMES, MALE_CYRILLIC)).otherwise(again(("n", "н")))
     female = F.when(attempt == 0, listed(FEMALE_NAMES, FEMALE_CYRILLIC)).otherwise(again(("a", "а")))
-    # short words have few likenesses: later attempts grow
-    grown = F.concat(spelled, F.when((attempt > 2) & kind.isin("family", "given"), pick("aeiou", F.lit(60))).otherwise(F.lit("")))
     new = F.when(kind == "male", male).when(kind == "female", female).when(kind == "ip", octets)
-    return new.when(kind == "card", _checked(value, spelled)).otherwise(grown)
+    new = new.when(kind.isin("family", "given"), F.concat(spelled, vowels))
+    new = new.when(kind == "email", spelled)
+    new = new.when(kind == "token", spelled)
+    return new.when(kind == "card", _checked(form, spelled)).otherwise(spelled)
+
+
+def laid(kind: Column, value: Column, attempt: Column, made: Column, letters: Column) -> Column:
+    """The new form ``made``, whose letters and digits are ``letters``, in the format of ``value``."""
+    alike = lambda c, new: F.when(c == F.lower(c), new).otherwise(F.upper(new))
+    tail = F.regexp_extract(value, r"[^\p{L}\p{N}]*$", 0)
+    body = F.split(F.substring(value, F.lit(1), F.length(value) - F.length(tail)), "")
+    held = F.size(F.filter(body, lambda c: c.rlike(r"[\p{L}\p{N}]")))
+    spare = F.greatest(F.size(letters) - held, F.lit(0))
+    # what has grown stands before an address, else at the end, in the case of the last letter
+    grown = lambda start: F.array_join(F.slice(letters, start, spare), "")
+    front = F.when(kind == "email", grown(F.lit(1))).otherwise(F.lit(""))
+    back = F.when(kind == "email", F.lit("")).otherwise(alike(F.element_at(body, -1), grown(F.size(letters) - spare + 1)))
+    begin = F.struct(F.lit("").alias("text"), F.when(kind == "email", spare).otherwise(F.lit(0)).alias("n"))
+
+    def step(done: Column, c: Column) -> Column:
+        own = c.rlike(r"[\p{L}\p{N}]")
+        new = F.when(own, alike(c, F.get(letters, done["n"]))).otherwise(c)
+        return F.struct(F.concat(done["text"], new).alias("text"), (done["n"] + own.cast("int")).alias("n"))
+
+    spelled = F.concat(front, F.aggregate(body, begin, step, lambda done: done["text"]), back, tail)
+    listed = kind.isin("male", "female") & (attempt == 0)
+    return F.when(listed, F.initcap(made)).when(kind == "ip", made).otherwise(spelled)
 
 
 def _from(names: tuple[str, ...], byte) -> Column:
@@ -193,30 +235,34 @@ def _checked(value: Column, new: Column) -> Column:
 
 
 def resolved(found: DataFrame, key: str) -> DataFrame:
-    """``kind, form, attempt`` of the entities ``found(kind, form, value)`` that need a later attempt.
+    """``kind, form, attempt`` of the entities ``found(kind, form)`` that need a later attempt.
 
-    Ends when all surrogates differ from each other and from all entities.
+    Ends when all new forms differ from each other and from all entities.
     """
-    made = lambda: canonical(surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)).alias("made")
-    group = F.when(F.col("kind").isin("male", "female", "given", "family"), "name").otherwise(F.col("kind")).alias("type")
-    known = written(found.groupBy("kind", "form").agg(F.min("value").alias("value")), "entities")
-    settled = known.select("kind", group, "form", "value", F.lit(0).alias("attempt")).select("*", made())
-    real = known.select(group, F.col("form").alias("made")).distinct()
-    for _ in range(ATTEMPTS):
-        settled = written(settled, "surrogates")
-        # earlier attempts stay, then smaller forms
-        keeper = settled.groupBy("type", "made").agg(F.min(F.struct("attempt", "form", "kind")).alias("keeper"), F.count("*").alias("n"))
+    group = F.when(F.col("kind").isin(*_NAMED), "name").otherwise(F.col("kind")).alias("type")
+    known = written(found.distinct().select("kind", group, "form"), "entities")
+    # forms that are not to be had: the entities themselves, then what each round settles
+    barred = known.select("type", F.col("form").alias("made")).distinct()
+    pending, later = known, None
+    for attempt in range(ATTEMPTS):
+        now = F.lit(attempt)
+        drawn = pending.withColumn("digest", digest(F.col("kind"), F.col("form"), now, key))
+        drawn = drawn.select("kind", "type", "form", surrogate(F.col("kind"), F.col("form"), now, F.col("digest")).alias("made"))
+        drawn = written(drawn, "surrogates")
+        keeper = drawn.groupBy("type", "made").agg(F.min(F.struct("form", "kind")).alias("keeper"), F.count("*").alias("n"))
         crowded = keeper.where("n > 1").select("type", "made", "keeper")
-        taken = real.join(settled.select("type", "made").distinct(), ["type", "made"], "left_semi").select("type", "made", F.lit(True).alias("taken"))
-        judged = settled.join(crowded, ["type", "made"], "left").join(taken, ["type", "made"], "left")
-        own = F.struct("attempt", "form", "kind")
-        clash = F.coalesce("taken", F.lit(False)) | (F.col("keeper").isNotNull() & (F.col("keeper") != own))
-        judged = written(judged.withColumn("clash", clash).select(*settled.columns, "clash"), "judged")
-        if judged.where("clash").isEmpty():
+        taken = barred.join(drawn.select("type", "made").distinct(), ["type", "made"], "left_semi").select("type", "made", F.lit(True).alias("taken"))
+        judged = drawn.join(crowded, ["type", "made"], "left").join(taken.distinct(), ["type", "made"], "left")
+        clash = F.coalesce("taken", F.lit(False)) | (F.col("keeper").isNotNull() & (F.col("keeper") != F.struct("form", "kind")))
+        judged = written(judged.select(*drawn.columns, clash.alias("clash")), "judged")
+        settled, pending = judged.where("NOT clash"), judged.where("clash").select("kind", "type", "form")
+        barred = barred.unionByName(settled.select("type", "made"))
+        if attempt > 0:
+            own = settled.select("kind", "form", now.alias("attempt"))
+            later = own if later is None else later.unionByName(own)
+        if pending.isEmpty():
             break
-        moved = judged.where("clash").withColumn("attempt", F.col("attempt") + 1).select("kind", "type", "form", "value", "attempt", made())
-        settled = judged.where("NOT clash").drop("clash").unionByName(moved)
-    return settled.where("attempt > 0").select("kind", "form", "attempt")
+    return known.select("kind", "form", F.lit(0).alias("attempt")).limit(0) if later is None else later
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -224,11 +270,11 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     each = with_entities(docs.select("doc_id", "text"))
     each = each.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode("_parts").alias("p"))
     each = each.where("p.value IS NOT NULL")
-    each = each.select("doc_id", "text_hash", F.col("p.kind").alias("kind"), canonical(F.col("p.value")).alias("form"), F.col("p.value").alias("value"))
+    each = each.select("doc_id", "text_hash", F.col("p.kind").alias("kind"), canonical(F.col("p.kind"), F.col("p.value")).alias("form"))
     each = written(each.distinct(), "found")
-    later = resolved(each.select("kind", "form", "value"), key)
+    later = resolved(each.select("kind", "form"), key)
     # every document with an entity, so that the others are not searched again
-    named = each.select("doc_id", "text_hash", "kind", "form").distinct().join(later, ["kind", "form"], "left")
+    named = each.join(later, ["kind", "form"], "left")
     attempts = F.collect_set(F.when(F.col("attempt").isNotNull(), F.struct(F.concat_ws("|", "kind", "form").alias("k"), "attempt")))
     named = named.groupBy(F.col("doc_id").alias("_found_doc"), F.col("text_hash").alias("_found_text")).agg(
         F.map_from_entries(attempts).alias("_attempts")
@@ -236,11 +282,26 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     same = docs["doc_id"].eqNullSafe(named["_found_doc"]) & (F.xxhash64(docs["text"]) == named["_found_text"])
     joined = with_entities(docs.join(named, same, "left"), F.col("_attempts").isNotNull())
 
+    # each step is a field of its own for the next one's lambdas, which evaluate what they hold for each element
+    held = lambda p, *more: F.struct(*[p[c].alias(c) for c in ("gap", "value", "kind")], *more)
+    attempt = lambda p: F.coalesce(F.try_element_at(F.col("_attempts"), F.concat_ws("|", p["kind"], p["form"])), F.lit(0)).alias("attempt")
+    parts = F.transform("_parts", lambda p: held(p, canonical(p["kind"], p["value"]).alias("form")))
+    parts = F.transform(parts, lambda p: held(p, p["form"].alias("form"), attempt(p)))
+    parts = F.transform(parts, lambda p: held(
+        p, p["form"].alias("form"), p["attempt"].alias("attempt"), digest(p["kind"], p["form"], p["attempt"], key).alias("digest")
+    ))
+    parts = F.transform(parts, lambda p: held(
+        p, p["attempt"].alias("attempt"), surrogate(p["kind"], p["form"], p["attempt"], p["digest"]).alias("made")
+    ))
+    parts = F.transform(parts, lambda p: held(
+        p, p["attempt"].alias("attempt"), p["made"].alias("made"), F.split(F.regexp_replace(p["made"], r"[^\p{L}\p{N}]", ""), "").alias("letters")
+    ))
+
     def rewritten(p: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(F.col("_attempts"), F.concat_ws("|", p["kind"], canonical(p["value"]))), F.lit(0))
-        return F.concat(p["gap"], F.when(p["value"].isNull(), "").otherwise(surrogate(p["kind"], p["value"], attempt, key)))
+        new = laid(p["kind"], p["value"], p["attempt"], p["made"], p["letters"])
+        return F.concat(p["gap"], F.when(p["value"].isNull(), "").otherwise(new))
 
-    text = F.when(F.col("_parts").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_parts", rewritten), ""))
+    text = F.when(F.col("_parts").isNull(), F.col("text")).otherwise(F.array_join(F.transform(parts, rewritten), ""))
     own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     count = F.coalesce(F.size("_parts") - 1, F.lit(0)).cast("long")
     return joined.select(*own, count.alias("_n_entities"))

@@ -78,6 +78,14 @@ def test_surrogates_are_keyed_and_distinct(spark):
     assert one != other
 
 
+def test_surrogate_of_one_number_in_all_spellings(spark):
+    spellings = ("+1 212 555 7713", "+12125557713", "+1(212)5557713", "+1-212-555.7713")
+    found = [r.text for r in pii_surrogates.replace(docs(spark, *spellings, "(212) 555-7713")).orderBy("doc_id").collect()]
+    bare = [re.sub(r"\D", "", t) for t in found]
+    assert len(set(bare[:4])) == 1 and bare[0][0] == "1" and bare[0] != "12125557713" and bare[4] != bare[0][1:]
+    assert [re.sub(r"\d", "9", t) for t in found[:4]] == [re.sub(r"\d", "9", t) for t in spellings]
+
+
 def test_entities_in_the_driver_documents_go(spark, sf_dir):
     held = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     before = "\n".join(r.text for r in held.collect())
