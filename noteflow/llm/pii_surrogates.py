@@ -142,7 +142,7 @@ def canonical(kind: Column, value: Column) -> Column:
     """What is the same entity however it is written: lower case, and no separators but those that carry meaning."""
     bare = F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
     name = F.regexp_replace(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}'’-]|['’-]+$", ""), "’", "'")
-    form = F.when(kind.isin("phone", "iban", "card", "ssn", "ip", OTHER), bare).when(kind.isin(*_NAMED), name).otherwise(F.lower(value))
+    form = F.when(kind.isin("phone", "iban", "card", "ssn", OTHER), bare).when(kind.isin(*_NAMED), name).otherwise(F.lower(value))
     # a number with its country's code is not the local number of the same digits
     return F.when((kind == "phone") & value.startswith("+"), F.concat(F.lit("+"), form)).otherwise(form)
 

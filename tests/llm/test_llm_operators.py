@@ -86,6 +86,13 @@ def test_surrogate_of_one_number_in_all_spellings(spark):
     assert [re.sub(r"\d", "9", t) for t in found[:4]] == [re.sub(r"\d", "9", t) for t in spellings]
 
 
+def test_separators_that_carry_meaning(spark):
+    texts = ("10.1.1.11", "10.1.11.1", "10.11.1.1", "john@smith.com", "johns@mith.com", "JOHN@smith.com", "4111-1111-1111-1111", "4111111111111111")
+    found = [r.text for r in pii_surrogates.replace(docs(spark, *texts)).orderBy("doc_id").collect()]
+    assert len({t.lower().replace("-", "") for t in found}) == 6 and found[3] == found[5].lower()
+    assert found[6].replace("-", "") == found[7]
+
+
 def test_entities_in_the_driver_documents_go(spark, sf_dir):
     held = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     before = "\n".join(r.text for r in held.collect())
