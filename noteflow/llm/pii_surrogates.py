@@ -10,7 +10,9 @@ address stays one. Given names come from the gender's list in the name's script.
 
 Collisions: all distinct entities of the corpus are compared by form. Of entities with one new
 form the smallest keeps it, the others, and those whose new form is a real entity, are hashed
-anew with the next attempt, until none is left. Texts are rewritten row by row; only the few new forms of later
+anew with the next attempt, until none is left. From the third later attempt on new forms grow
+by one letter or digit each time (IP addresses: from the ninth on, octets up to 999), so that no
+kind runs out of values. Texts are rewritten row by row; only the few new forms of later
 attempts are joined.
 
 All of it is DataFrame functions. A NULL text stays NULL; a text without entities stays as it
@@ -59,7 +61,8 @@ LETTERS = (
 )
 
 KEY = "surrogates"
-ATTEMPTS = 64
+#: Attempts after which forms grow, and IP addresses leave their range.
+FIXED, IN_RANGE = 2, 8
 OTHER = "other"
 
 # Country calling codes of one and two digits; all others have three.
@@ -171,14 +174,14 @@ def surrogate(kind: Column, form: Column, attempt: Column, digest: Column) -> Co
         return new.when(c.rlike(r"\p{L}"), pick("的一是在不了有和人这中大为上个国我以要他", k)).otherwise(c)
 
     def more(letters: str) -> Column:
-        # short words have few likenesses: later attempts grow
-        n = F.when(attempt > 2, 1).otherwise(0)
+        # one more for each attempt after the first few, from the digest's end
+        n = F.greatest(attempt - FIXED, F.lit(0))
         return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda j: F.when(j > 0, pick(letters, -j)).otherwise("")), "")
 
     spelled = F.when(F.length(middle) > 0, F.array_join(F.transform(F.split(middle, ""), replaced), "")).otherwise(F.lit(""))
     spelled = F.concat(ahead, spelled, kept)
     number = lambda k: F.conv(F.substring(digest, k * 4 - 3, F.lit(4)), 16, 10).cast("int")
-    octet = lambda k: F.pmod(number(k), F.lit(254)) + 1
+    octet = lambda k: F.when(attempt > IN_RANGE, F.pmod(number(k), F.lit(1000))).otherwise(F.pmod(number(k), F.lit(254)) + 1)
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), octet).cast("array<string>"), ".")
     cyrillic = form.rlike(r"\p{IsCyrillic}")
     listed = lambda latin, other: F.lower(F.when(cyrillic, _from(other, byte)).otherwise(_from(latin, byte)))
@@ -188,9 +191,10 @@ def surrogate(kind: Column, form: Column, attempt: Column, digest: Column) -> Co
     female = F.when(attempt == 0, listed(FEMALE_NAMES, FEMALE_CYRILLIC)).otherwise(again(("a", "а")))
     new = F.when(kind == "male", male).when(kind == "female", female).when(kind == "ip", octets)
     new = new.when(kind.isin("family", "given"), F.concat(spelled, vowels))
-    new = new.when(kind == "email", spelled)
-    new = new.when(kind == "token", spelled)
-    return new.when(kind == "card", _checked(form, spelled)).otherwise(spelled)
+    new = new.when(kind == "email", F.concat(more("bcdfghjklmnpqrstvwxyz"), spelled))
+    new = new.when(kind == "token", F.concat(spelled, more("abcdef")))
+    grown = F.concat(spelled, more("0123456789"))
+    return new.when(kind == "card", _checked(form, grown)).otherwise(grown)
 
 
 def laid(kind: Column, value: Column, attempt: Column, made: Column, letters: Column) -> Column:
@@ -243,8 +247,8 @@ def resolved(found: DataFrame, key: str) -> DataFrame:
     known = written(found.distinct().select("kind", group, "form"), "entities")
     # forms that are not to be had: the entities themselves, then what each round settles
     barred = known.select("type", F.col("form").alias("made")).distinct()
-    pending, later = known, None
-    for attempt in range(ATTEMPTS):
+    pending, later, attempt = known, None, 0
+    while True:
         now = F.lit(attempt)
         drawn = pending.withColumn("digest", digest(F.col("kind"), F.col("form"), now, key))
         drawn = drawn.select("kind", "type", "form", surrogate(F.col("kind"), F.col("form"), now, F.col("digest")).alias("made"))
@@ -261,8 +265,8 @@ def resolved(found: DataFrame, key: str) -> DataFrame:
             own = settled.select("kind", "form", now.alias("attempt"))
             later = own if later is None else later.unionByName(own)
         if pending.isEmpty():
-            break
-    return known.select("kind", "form", F.lit(0).alias("attempt")).limit(0) if later is None else later
+            return known.select("kind", "form", now.alias("attempt")).limit(0) if later is None else later
+        attempt += 1
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -78,12 +78,25 @@ def test_surrogates_are_keyed_and_distinct(spark):
     assert one != other
 
 
+def test_surrogates_where_room_is_little(spark):
+    """All short numbers of a country code, short addresses, and addresses without a letter."""
+    texts = [f"+1{n:03}" for n in range(1000)] + [f"{a}@b.io" for a in "abcdefghijklm"] + ["_@-.com", "__@-.com"]
+    frame = docs(spark, *texts)
+    found = [r.text for r in pii_surrogates.replace(frame).collect()]
+    assert len(set(found)) == len(texts) and not set(found) & set(texts)
+    assert all(re.fullmatch(r"\+1\d+|\w+@[\w-]\.(io|com)", t) for t in found)
+
+
 def test_surrogate_of_one_number_in_all_spellings(spark):
     spellings = ("+1 212 555 7713", "+12125557713", "+1(212)5557713", "+1-212-555.7713")
     found = [r.text for r in pii_surrogates.replace(docs(spark, *spellings, "(212) 555-7713")).orderBy("doc_id").collect()]
     bare = [re.sub(r"\D", "", t) for t in found]
     assert len(set(bare[:4])) == 1 and bare[0][0] == "1" and bare[0] != "12125557713" and bare[4] != bare[0][1:]
     assert [re.sub(r"\d", "9", t) for t in found[:4]] == [re.sub(r"\d", "9", t) for t in spellings]
+    # what is written is what was compared: spellings of neighbouring numbers stay apart too
+    texts = [f"+1{n:03}" for n in range(0, 1000, 2)] + [f"+1 {n:03}" for n in range(1, 1000, 2)] + [f"+1 {n:03}" for n in range(0, 1000, 2)]
+    found = [re.sub(r" ", "", r.text) for r in pii_surrogates.replace(docs(spark, *texts)).orderBy("doc_id").collect()]
+    assert found[:500] == found[1000:] and len(set(found)) == 1000
 
 
 def test_separators_that_carry_meaning(spark):
