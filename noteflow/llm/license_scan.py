@@ -6,7 +6,10 @@ p - t. A phrase template (base) is found where one diagonal has all its votes, s
 consecutively. Of longer templates, diagonals with ``VOTES`` votes or more are kept;
 neighbouring ones (shifted by ``SHIFT`` words or fewer, ``GAP`` words or fewer apart) are
 merged, since an inserted or missing word only moves the diagonal. A span is verified when
-it holds ``COVERAGE`` of the template's pairs. The join compares the words, not just hashes.
+it holds ``COVERAGE`` of the template's pairs and, on the text itself, what tells the license
+from its likes (``TELLING``): a pair that only it has must be held, and a diagonal does not count
+if the words after one of its pairs name another license. The join compares the words, not just
+hashes.
 
 All of it is DataFrame functions. The templates are fixed values, a few hundred pairs, so they
 are broadcast; documents are never shuffled.
@@ -46,6 +49,39 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 
+# What tells a template's license from others, by the template's text. Of the pairs one must be
+# held, where a pattern is given before words that match it; words that match ``refused`` after a pair name
+# another license. The sentences of BSD (Apache 1.1) and "you may not use this file" (CDDL) are shared word for word.
+_OTHER_CC = r"(?:share ?alike|no ?deriv)"
+TELLING = {
+    TEMPLATES[0][0]: {"held": {"the mit": "", "mit license": ""}},
+    TEMPLATES[1][0]: {"held": {"documentation files": ""}},
+    TEMPLATES[2][0]: {"held": {"the apache": "", "apache license": ""}},
+    TEMPLATES[3][0]: {"held": {"this file": "", "file except": ""}},
+    TEMPLATES[4][0]: {"held": {"gnu general": ""}},
+    TEMPLATES[5][0]: {"held": {"gnu general": ""}},
+    TEMPLATES[6][0]: {
+        "held": {"by nc": "", "nc 4": ""},
+        "refused": {"cc by": r"^(?:nc )?(?:sa|nd)\b", "by nc": r"^(?:sa|nd)\b"},
+    },
+    TEMPLATES[7][0]: {
+        "held": {"commons attribution": r"^non ?commercial\b", "attribution noncommercial": "", "noncommercial 4": ""},
+        "refused": {"commons attribution": rf"^(?:non ?commercial )?{_OTHER_CC}", "attribution noncommercial": rf"^{_OTHER_CC}"},
+    },
+    TEMPLATES[8][0]: {
+        "held": {"commons attribution": "", "attribution 4": ""},
+        "refused": {"commons attribution": rf"^(?:non ?commercial\b|{_OTHER_CC})"},
+    },
+    TEMPLATES[10][0]: {"held": {"with or": "", "or without": ""}},
+    TEMPLATES[11][0]: {"held": {"the mozilla": "", "mozilla public": ""}},
+    TEMPLATES[12][0]: {"held": {"and unencumbered": "", "unencumbered software": ""}},
+}
+#: Second words of the pairs whose following words are looked at, and how many of these.
+_LOOKED_AT = sorted(
+    {pair.split()[1] for own in TELLING.values() for pair in [*own.get("refused", {}), *[p for p, c in own["held"].items() if c]]}
+)
+AFTER = 4
+
 VOTES = 2
 SHIFT, GAP = 5, 5
 COVERAGE = 0.6
@@ -61,29 +97,43 @@ def words(text: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """``template, label, base, pairs, place, first, second``: every pair of every template."""
+    """``template, label, base, pairs, place, first, second, held, refused``: every pair of every template."""
     rows = []
     for n, (text, label) in enumerate([*PHRASES, *TEMPLATES]):
         own = text.split()
         for at, (a, b) in enumerate(zip(own, own[1:])):
-            rows.append((n, label, n < len(PHRASES), len(own) - 1, at, a, b))
-    shape = "template int, label string, base boolean, pairs int, place int, first string, second string"
+            telling = TELLING.get(text)
+            held = telling["held"].get(f"{a} {b}") if telling else ""
+            refused = telling.get("refused", {}).get(f"{a} {b}") if telling else None
+            rows.append((n, label, n < len(PHRASES), len(own) - 1, at, a, b, held, refused))
+    shape = "template int, label string, base boolean, pairs int, place int, first string, second string, held string, refused string"
     return spark.createDataFrame(rows, shape)
 
 
 def diagonals(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, template, label, base, pairs, diagonal, places``: who votes for which diagonal."""
+    """``doc_id, text_hash, template, label, base, pairs, diagonal, places, tells, refused``: who votes for which diagonal.
+
+    ``tells``: one of the votes tells the license from others; ``refused``: the words after one name another.
+    """
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     following = F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("v")
-    each = split.where(F.size("w") > 1).select("doc_id", "text_hash", F.posexplode(F.arrays_zip("w", following)).alias("at", "pair"))
-    each = each.select("doc_id", "text_hash", "at", F.col("pair.w").alias("a"), F.col("pair.v").alias("b"))
+    named = lambda v, i: F.when(v.isin(_LOOKED_AT), F.array_join(F.slice("w", i + 3, AFTER), " "))
+    split = split.where(F.size("w") > 1).withColumn("v", following)
+    split = split.withColumn("after", F.when(F.arrays_overlap("w", F.lit(_LOOKED_AT)), F.transform("v", named)))
+    each = split.select("doc_id", "text_hash", "after", F.posexplode(F.arrays_zip("w", "v")).alias("at", "pair"))
+    each = each.select("doc_id", "text_hash", "at", F.col("pair.w").alias("a"), F.col("pair.v").alias("b"), F.get("after", "at").alias("after"))
     each = each.withColumn("hash", F.xxhash64("a", "b"))
     known = templates(docs.sparkSession).withColumn("known", F.xxhash64("first", "second"))
     same = (each["hash"] == known["known"]) & (each["a"] == known["first"]) & (each["b"] == known["second"])
     hits = each.join(F.broadcast(known), same)
+    matches = lambda pattern: F.coalesce(F.rlike(F.coalesce("after", F.lit("")), F.col(pattern)), F.lit(False))
     key = ["doc_id", "text_hash", "template", "label", "base", "pairs"]
     votes = hits.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal"))
-    return votes.agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return votes.agg(
+        F.sort_array(F.collect_set("place")).alias("places"),
+        F.max(matches("held")).alias("tells"),
+        F.max(matches("refused")).alias("refused"),
+    )
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -93,7 +143,7 @@ def spans(docs: DataFrame) -> DataFrame:
     base = found.where(F.col("base") & (F.size("places") == F.col("pairs")))
     base = base.select(*key, F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("pairs")).alias("last_word"), F.lit(1.0).alias("coverage"))
 
-    voted = found.where(~F.col("base") & (F.size("places") >= VOTES))
+    voted = found.where(~F.col("base") & (F.size("places") >= VOTES) & ~F.col("refused"))
     voted = voted.withColumn("begin", F.col("diagonal") + F.element_at("places", 1))
     voted = voted.withColumn("end", F.col("diagonal") + F.element_at("places", -1) + 1)
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("begin", "diagonal")
@@ -104,8 +154,9 @@ def spans(docs: DataFrame) -> DataFrame:
         F.min("begin").alias("first_word"),
         F.max("end").alias("last_word"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"),
+        F.max("tells").alias("tells"),
     )
-    merged = merged.withColumn("coverage", F.col("held") / F.col("pairs")).where(F.col("coverage") >= COVERAGE)
+    merged = merged.withColumn("coverage", F.col("held") / F.col("pairs")).where((F.col("coverage") >= COVERAGE) & F.col("tells"))
     return base.union(merged.select(base.columns))
 
 

@@ -232,6 +232,34 @@ def test_edited_license_texts_are_found(spark):
     assert row.label == "mit" and not row.base and row.first_word == 2 and row.coverage > 0.8
 
 
+NEAR_LICENSES = (
+    ("Licensed under CC BY-SA 4.0", ""),
+    ("Licensed under CC BY-ND 4.0", ""),
+    ("Licensed under CC BY-NC-SA 4.0", ""),
+    ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("Licensed under CC BY-NC 3.0", "cc-by-nc"),
+    ("Licensed under CC BY-SA 4.0 or CC BY-NC 4.0", "cc-by-nc"),
+    ("licensed under the Mozilla Public License, version 2.0", ""),
+    ("licensed under the GNU General Public License version 2.0", "gpl"),
+    ("licensed under the very Apache License, version 2.0", "apache"),
+    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License", "cc-by-nc"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ""),
+    ("licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", ""),
+    ("This work is licensed under the GNU Lesser General Public License version 3", "gpl"),  # by its phrase alone
+    ("You may not use this work except in compliance with the Licence", ""),
+)
+
+
+def test_near_licenses_are_told_apart(spark):
+    held = docs(spark, *[text for text, _ in NEAR_LICENSES])
+    found = {r.doc_id: r.labels for r in license_scan.scanned(held).collect()}
+    assert [found[i] for i in range(len(found))] == [label for _, label in NEAR_LICENSES]
+    gpl = license_scan.spans(held).where("label = 'gpl' AND NOT base").collect()
+    assert {r.doc_id for r in gpl} == {7}  # the lesser license is none
+
+
 # ---- 7 -----------------------------------------------------------------------
 
 def test_search_by_blocks_finds_all_in_the_radius(spark):
