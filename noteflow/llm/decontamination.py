@@ -1,12 +1,12 @@
-"""Benchmark decontamination: MinHash containment search in partitions by item size.
+"""Benchmark decontamination: MinHash containment search.
 
 An item with n distinct shingles is contained in a document at ``CONTAINMENT`` when at least
 c = ceil(CONTAINMENT * n) of them occur there. Its sketch is its n - c + 1 smallest shingle
 hashes (min-hashes): such a document must hold one of these, however long it is, so the
-search misses nothing. The number of min-hashes follows the item's size; items are put into
-partitions by powers of two of their size, and the largest min-hash of any partition bounds
-what documents need to send, each hash once per document. Candidates that share a min-hash
-are verified by the exact words of every shingle.
+search misses nothing. The number of min-hashes follows the item's size. The search is not
+partitioned by size: the largest min-hash of all items bounds what documents send, each hash
+once per document, so an item of a few shingles has them send nearly all. Candidates that share
+a min-hash are verified by the exact words of every shingle.
 
 Words are runs of ASCII letters and digits and all other non-ASCII characters, A-Z in lower
 case. Shingles are five words.
