@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, language_id, license_scan, line_dedup, pii_surrogates, simhash_dedup, substring_dedup, toxicity
+from . import byte_bpe, decontamination, fingerprints, language_id, license_scan, line_dedup, pii_surrogates, prefix_trie, simhash_dedup, substring_dedup, toxicity
 
 ALL = {
     f.__name__: f
@@ -17,6 +17,7 @@ ALL = {
         line_dedup.op8_line_dedup,
         simhash_dedup.op9_simhash_dedup,
         toxicity.op10_toxicity,
+        prefix_trie.op13_prefix_trie,
     )
 }
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
