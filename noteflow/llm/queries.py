@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, language_id, license_scan, line_dedup, pii_surrogates, prefix_trie, simhash_dedup, substring_dedup, toxicity
+from . import byte_bpe, decontamination, fingerprints, hard_negatives, language_id, license_scan, line_dedup, pii_surrogates, prefix_trie, projection_forest, simhash_dedup, substring_dedup, toxicity
 
 ALL = {
     f.__name__: f
@@ -17,6 +17,8 @@ ALL = {
         line_dedup.op8_line_dedup,
         simhash_dedup.op9_simhash_dedup,
         toxicity.op10_toxicity,
+        projection_forest.op11_projection_forest,
+        hard_negatives.op12_hard_negatives,
         prefix_trie.op13_prefix_trie,
     )
 }
@@ -25,5 +27,6 @@ SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
     "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

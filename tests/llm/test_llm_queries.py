@@ -48,6 +48,11 @@ def awkward(spark, tmp_path_factory):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     labels = [(d, 1, i % 2) for i, (d, _) in enumerate(rows)] + [(3, None, None), (99, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    vectors = [(i, [float(i % 3), -1.0, 0.5], i % 4, 1) for i in range(60)] + [(None, [1.0, 2.0, 3.0], 1, 1), (7, None, 2, 1), (8, [0.0, 0.0, 0.0], 3, 1)]
+    vectors += [(100, [1.0], 1, 1), (200, [float("nan"), 1.0, 1.0], 1, 1), (300, [float("inf"), 1.0, 1.0], 1, 1), (400, [None, 1.0, 1.0], 1, 1), (0, [0.0, -1.0, 0.5], 0, 1), (500, [], 1, 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, score int").write.parquet(f"{folder}/embeddings.parquet")
+    turns = [(1, 0, "user", None), (1, None, None, "x"), (None, 1, "user", "y"), (20, 0, "user", "z")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder, rows, items
 
 
@@ -61,7 +66,7 @@ def distinct_ids(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory, sf_dir):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "benchmark", "labels"):
+    for name in ("documents", "benchmark", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
@@ -79,7 +84,7 @@ def test_empty_tables(spark, empty, name):
 def test_awkward_tables_run(spark, awkward, name):
     folder, rows, _ = awkward
     found = driver.queries()[name](spark, folder).collect()
-    if name not in ("op4_decontamination", "pipeline"):
+    if name not in ("op4_decontamination", "pipeline") and "doc_id" in found[0]:
         assert sorted((r.doc_id for r in found), key=repr) == sorted((d for d, _ in rows), key=repr)
 
 
