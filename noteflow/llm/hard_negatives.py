@@ -244,7 +244,7 @@ class _Shards:
         sample = chosen(rows, wanted, n, "vec_id", "label", "vector").toArrow()
         sample = sample.sort_by([("vec_id", "ascending"), ("label", "ascending")])
         self.sample, self.sample_labels = matrix(sample["vector"], np.int64), sample["label"].to_numpy()
-        self.cuts = _Cuts(self.sample, self.sample_labels, -(-n // shard_rows))
+        self.cuts = _Cuts(self.sample, self.sample_labels, max(1, -(-n // shard_rows)))
         cuts = self.cuts
         schema = "vec_id long, label long, vector array<int>, shard int"
 
