@@ -271,8 +271,8 @@ class _Shards:
         found = sorted(boxes.collect(), key=lambda r: r.shard)
         self.names = np.array([r.shard for r in found], np.int64)
         self.box = {
-            "low": np.array([r.low for r in found], np.int64).reshape(len(found), -1),
-            "high": np.array([r.high for r in found], np.int64).reshape(len(found), -1),
+            "low": np.array([r.low for r in found], np.int64).reshape(len(found), self.sample.shape[1]),
+            "high": np.array([r.high for r in found], np.int64).reshape(len(found), self.sample.shape[1]),
             **{c: np.array([r[c] for r in found], np.int64) for c in ("label_low", "label_high", "id")},
         }
         # a shard that many rows with the same coordinates fall in is cut by a hash of the id
