@@ -8,8 +8,6 @@ import pyarrow.compute as pc
 
 # Largest number of float64 values one intermediate array may hold (64 MB).
 BLOCK_VALUES = 2**23
-# How much, at most, squares that are ties differ by, as a share of them.
-TIE = 2**-22
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -24,15 +22,22 @@ def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """All squared distances by matrix product; fast, with a small rounding error."""
+def unit_of(*matrices: np.ndarray) -> float:
+    """A power of two near the largest element; dividing by it is exact and keeps squares in range."""
+    largest = max((float(np.abs(m).max(initial=0.0)) for m in matrices), default=0.0)
+    return 2.0 ** int(np.clip(np.frexp(largest)[1], -1000, 1000)) if largest else 1.0
+
+
+def squared_distances(left: np.ndarray, right: np.ndarray, unit: float = 1.0) -> np.ndarray:
+    """All squared distances, in ``unit`` squared, by matrix product; fast, with a small rounding error."""
+    left, right = left / unit, right / unit
     square = (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2.0 * left @ right.T
     return np.maximum(square, 0.0)
 
 
-def rounding_slack(left: np.ndarray, right: np.ndarray) -> float:
-    """Bound, with room to spare, on the error of :func:`squared_distances`."""
-    return 1e-12 * (1.0 + (left**2).sum(1).max(initial=0.0) + (right**2).sum(1).max(initial=0.0))
+def rounding_slack(left: np.ndarray, right: np.ndarray, unit: float = 1.0) -> float:
+    """Bound, with room to spare, on the error of :func:`squared_distances`, in ``unit`` squared."""
+    return 1e-12 * (((left / unit) ** 2).sum(1).max(initial=0.0) + ((right / unit) ** 2).sum(1).max(initial=0.0))
 
 
 def first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -52,25 +57,25 @@ def first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
 def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
     """(query row, vector row, squared distance) of the ``k`` nearest per query.
 
-    ``vectors`` must come in id order, which settles ties; squares that are equal as
-    32-bit floats are ties, so that no engine's last digits matter. The matrix product
-    only narrows down the candidates; their distances are computed anew from
-    the differences, so nothing depends on its rounding.
+    ``vectors`` must come in id order, which settles ties. The matrix product only narrows
+    down the candidates; their distances are computed anew from the differences, added up
+    in the order of the elements, so nothing depends on its rounding or on the block.
     """
     kept_rows = first_copies(vectors, k)
     vectors = vectors[kept_rows]
     n = len(vectors)
     step = max(1, BLOCK_VALUES // max(1, n))
+    unit = unit_of(queries, vectors)
     found = []
     for start in range(0, len(queries), step):
         block = queries[start : start + step]
-        rough = squared_distances(block, vectors)
+        rough = squared_distances(block, vectors, unit)
         limit = np.full(len(block), np.inf)
         if n > k:
-            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] * (1 + TIE) + 2 * rounding_slack(block, vectors)
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * rounding_slack(block, vectors, unit)
         rows, cols = np.nonzero(rough <= limit[:, None])
         exact = _pair_distances(block, vectors, rows, cols)
-        order = np.lexsort((cols, exact.astype(np.float32), rows))
+        order = np.lexsort((cols, exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         first = np.searchsorted(rows, rows, side="left")
         kept = np.arange(len(rows)) - first < k
@@ -81,10 +86,15 @@ def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
 
 
 def _pair_distances(left: np.ndarray, right: np.ndarray, rows: np.ndarray, cols: np.ndarray):
-    """Squared distances of the named pairs, a bounded number of them at a time."""
-    square = np.empty(len(rows))
+    """Squared distances of the named pairs, a bounded number of them at a time.
+
+    Squares are added up element after element, as the SQL of the same search does.
+    """
+    square = np.zeros(len(rows))
     step = max(1, BLOCK_VALUES // max(1, left.shape[1]))
     for start in range(0, len(rows), step):
         part = slice(start, start + step)
-        square[part] = ((left[rows[part]] - right[cols[part]]) ** 2).sum(1)
+        apart = np.ascontiguousarray(((left[rows[part]] - right[cols[part]]) ** 2).T)
+        for column in apart:
+            square[part] += column
     return square

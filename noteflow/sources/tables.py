@@ -22,6 +22,11 @@ MEDICATION_LINES = (
 )
 
 
+#: Bytes of a note, about, and of the rows that one task makes or takes in.
+NOTE_BYTES = 500
+TASK_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,12 +91,33 @@ def notes_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, *keys: str, bytes_a_row: int) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as its work asks for.
+
+    A number given by name is one that adaptive execution leaves alone: rows of few bytes that much
+    is made of would else meet in one task. Tasks make ``TASK_BYTES`` each, by the optimizer's
+    estimate of the rows, and are no fewer than the cores.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    rows = int(plan.stats().sizeInBytes()) // (int(plan.schema().defaultSize()) + 8)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, rows * bytes_a_row // TASK_BYTES), *keys)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note per order. The keys, a few bytes each, are dealt out before notes are made of them."""
     keys = table(spark, sf_dir, "orders").select("o_orderkey")
-    return notes_from_orders(keys.repartition("o_orderkey"))
+    return notes_from_orders(spread(keys, "o_orderkey", bytes_a_row=NOTE_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text`` of the documents table."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """``doc_id, text`` of the documents table, on all cores where the scan would use few.
+
+    A table of few large row groups is read by as few tasks; texts of a large one stay where they are.
+    """
+    found = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * TASK_BYTES:
+        # by a hash of the row: a source or an id that many rows share is dealt out as well
+        return found.repartition(cores, F.xxhash64("doc_id", "text"))
+    return found

@@ -316,10 +316,19 @@ texts AS (
   SELECT t.kind, t.id, t.text,
     list_transform(range(64), lambda b: coalesce(v.held[b::INT] / v.norm, 0.0)) AS vector
   FROM texts t LEFT JOIN word_vectors v USING (kind, id)
-), near AS (
-  SELECT q.id AS query_id, c.id AS vec_id, c.text AS chunk,
-    row_number() OVER (PARTITION BY q.id ORDER BY (list_distance(q.vector, c.vector) ** 2)::FLOAT, c.id) AS rank
+), apart AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_distance(q.vector, c.vector) AS d
   FROM text_vectors q, text_vectors c WHERE q.kind = 'q' AND c.kind = 'c' AND coalesce(q.text, '') <> ''
+), thirds AS (
+  SELECT query_id, list_max(min(d, 3)) AS third FROM apart GROUP BY query_id
+), near AS (
+  -- squares of the few that may be among three, added up element after element
+  SELECT query_id, vec_id, c.text AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY
+    list_reduce(list_concat([0.0::DOUBLE], list_transform(list_zip(q.vector, c.vector), lambda z: (z[1] - z[2]) * (z[1] - z[2]))),
+                lambda total, x: total + x), vec_id) AS rank
+  FROM apart JOIN thirds USING (query_id)
+  JOIN text_vectors q ON q.kind = 'q' AND q.id = query_id JOIN text_vectors c ON c.kind = 'c' AND c.id = vec_id
+  WHERE d <= third * 1.000001
 ), contexts AS (
   SELECT query_id, string_agg(chunk, chr(10) || chr(10) ORDER BY rank) AS context FROM near WHERE rank <= 3 GROUP BY query_id
 ), asked AS (

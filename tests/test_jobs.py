@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import oracles
 from noteflow.operators import records, reports
-from noteflow.plans import batch_job
+from noteflow.plans import batch_job, driver_queries
 from noteflow.schemas import SERVING
 from noteflow.sources import generator, readers, sinks, tables
 from noteflow.streaming.ingest import run_curated_stream
@@ -159,3 +159,13 @@ def test_serving_lines_are_valid_json(spark, tmp_path):
     sinks.write_serving(records.curate(notes(spark, note(drop=("age",)))), str(tmp_path / "s"))
     (line,) = [x for f in (tmp_path / "s").glob("*.json") for x in f.read_text().splitlines()]
     assert list(json.loads(line)) == SERVING.names
+
+
+def test_notes_and_documents_are_spread_over_the_cores(spark):
+    """Keys are small and notes are not: adaptive execution must not merge them into one task."""
+    sf_dir = "/root/testdata/sf0.01"
+    for df in (driver_queries.extract_fields(spark, sf_dir), tables.documents(spark, sf_dir)):
+        counts = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        total = sum(r["count"] for r in counts)
+        assert len(counts) == spark.sparkContext.defaultParallelism
+        assert max(r["count"] for r in counts) < 2 * total / len(counts)

@@ -125,6 +125,17 @@ def test_pivots_are_few_on_the_driver(spark):
     assert len(neighbours._pivots(held, 40)) == 40
 
 
+@pytest.mark.parametrize("way", WAYS)
+@pytest.mark.parametrize("values", [(1e20, 2e20, 3e20, 4e20), (1e-24, 2e-24, 3e-24, 4e-24), (1.0, 1.00000005, 1.00000008, 1.5), (1e-7, 1e150, 2e150, 3e150)])
+def test_large_small_and_close_squares_keep_their_order(spark, way, values):
+    vectors = np.array([[v, 0.0] for v in (values[3], values[1], values[0], values[2])])
+    far = np.vstack([vectors, 5 * vectors + values[3]] * 1)
+    hits = neighbours.nearest(
+        frame(spark, "query_id", np.zeros((120, 2))), frame(spark, "vec_id", far), 3, small=WAYS[way] and max(WAYS[way], 119), pivots=3
+    )
+    assert [(r.vec_id, r["rank"]) for r in hits.where("query_id = 7").orderBy("rank").collect()] == [(2, 1), (1, 2), (3, 3)]
+
+
 def test_no_vectors(spark):
     none = frame(spark, "vec_id", np.zeros((0, 4)))
     assert neighbours.nearest(frame(spark, "query_id", sample(2, 4)), none).count() == 0
