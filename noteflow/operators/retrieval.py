@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import HashedWords, split_text
 from ..sources.work import written
-from . import neighbours
+from . import neighbours, vector_index
 
 #: Hits (three short columns each) that may be broadcast: three for each of 4,096 questions, and some more.
 BROADCAST_HITS = 16_384
@@ -92,6 +92,17 @@ def retrieve_context(
     return context(questions, hits, vectors)
 
 
+def retrieve_from_index(questions: DataFrame, path: str, k: int = rules.NEIGHBOURS, embedder=None) -> DataFrame:
+    """Add ``context`` to ``questions(query_id, text)`` from a kept index of ``vec_id, chunk, embedding``.
+
+    Nothing is placed and only the cells that a question may have a neighbour in are read for the search.
+    """
+    asked = questions.filter(F.coalesce(F.col("text"), F.lit("")) != "")
+    wanted = written(embed(asked.select("query_id", "text"), "text", embedder), "questions")
+    hits = vector_index.search(wanted.select("query_id", "embedding"), path, k)
+    return context(questions, hits, vector_index.vectors(questions.sparkSession, path))
+
+
 # ---- keywords --------------------------------------------------------------
 
 def words(text: str):

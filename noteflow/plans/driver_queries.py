@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import conversations, neighbours, records, reports, retrieval
+from ..operators import conversations, neighbours, records, reports, retrieval, vector_index
 from ..schemas import SERVING
 from ..sources import readers, sinks, tables
 from ..sources.work import work_path, written
@@ -39,14 +39,14 @@ def _query_id():
     return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector table of all document chunks, written once per application."""
-    path = _own_path(spark, sf_dir, "vectors")
-    documents = tables.documents(spark, sf_dir)
-    sinks.materialise_once(
-        spark, path, lambda: sinks.write_vectors(retrieval.vector_table(documents), path)
+def chunk_index(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the vector index of all document chunks, built once per application."""
+    path = _own_path(spark, sf_dir, "chunk-index")
+    # the model runs once: pivots and placement both read the vectors
+    vector_index.build_once(
+        spark, path, lambda: written(retrieval.vector_table(tables.documents(spark, sf_dir)), "chunk-vectors")
     )
-    return readers.read_vectors(spark, path)
+    return path
 
 
 def _own_path(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -305,6 +305,16 @@ def knn_with_bad_vectors(spark, sf_dir):
     return _rounded(neighbours.nearest(held.withColumnRenamed("vec_id", "query_id"), held))
 
 
+def knn_from_index(spark, sf_dir):
+    """Neighbours from a kept index that was built from some vectors, added to and partly deleted from."""
+    asked, held = _embeddings(spark, sf_dir)
+    path = _own_path(spark, sf_dir, "embedding-index")
+    if vector_index.build_once(spark, path, lambda: held.where("vec_id % 3 <> 0")):
+        vector_index.add(held.where("vec_id % 3 = 0"), path)
+        vector_index.delete(held.where("vec_id % 11 = 3"), path)
+    return _rounded(vector_index.search(asked, path))
+
+
 def context_assembly(spark, sf_dir):
     """Context of each embedding from the whole texts of its three nearest documents."""
     asked, held = _embeddings(spark, sf_dir)
@@ -332,7 +342,7 @@ def question_embeddings(spark, sf_dir):
 
 
 def retrieve_context(spark, sf_dir):
-    return retrieval.retrieve_context(questions(spark, sf_dir), vectors(spark, sf_dir))
+    return retrieval.retrieve_from_index(questions(spark, sf_dir), chunk_index(spark, sf_dir))
 
 
 def prompt_table(spark, sf_dir):
@@ -358,7 +368,7 @@ ALL = {
         patient_explain, patient_assessments, first_records,
         turn_routing, turn_positions, turn_history, turn_history_sparse, turn_history_listed,
         turn_keywords,
-        knn_top3, knn_top3_by_pivots, knn_with_bad_vectors, context_assembly,
+        knn_top3, knn_top3_by_pivots, knn_with_bad_vectors, knn_from_index, context_assembly,
         chunk_documents, hashed_embeddings, question_embeddings,
         retrieve_context, prompt_table,
     )

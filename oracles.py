@@ -503,6 +503,9 @@ def all_sql() -> dict[str, str]:
         "knn_with_bad_vectors": f"""
             WITH {_KNN.replace("FROM embeddings q, embeddings v", "FROM embeddings q, embeddings v WHERE q.vec_id % 50 NOT IN (7, 11, 13, 17) AND v.vec_id % 50 NOT IN (7, 11, 13, 17)")}
             SELECT query_id, vec_id, rank, distance FROM knn""",
+        "knn_from_index": f"""
+            WITH {_KNN.replace("FROM embeddings q, embeddings v", "FROM embeddings q, embeddings v WHERE v.vec_id % 11 <> 3")}
+            SELECT query_id, vec_id, rank, distance FROM knn""",
         "context_assembly": f"""
             WITH {_KNN},
             hits AS (
