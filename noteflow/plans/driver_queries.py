@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import conversations, neighbours, records, reports, retrieval, vector_index
+from ..operators import approximate, conversations, neighbours, records, reports, retrieval, vector_index
 from ..schemas import SERVING
 from ..sources import readers, sinks, tables
 from ..sources.work import work_path, written
@@ -305,6 +305,11 @@ def knn_with_bad_vectors(spark, sf_dir):
     return _rounded(neighbours.nearest(held.withColumnRenamed("vec_id", "query_id"), held))
 
 
+def knn_approximate(spark, sf_dir):
+    """Most of the three nearest of each embedding, by hash families."""
+    return _rounded(approximate.nearest_approximate(*_embeddings(spark, sf_dir)))
+
+
 def knn_from_index(spark, sf_dir):
     """Neighbours from a kept index that was built from some vectors, added to and partly deleted from."""
     asked, held = _embeddings(spark, sf_dir)
@@ -368,7 +373,7 @@ ALL = {
         patient_explain, patient_assessments, first_records,
         turn_routing, turn_positions, turn_history, turn_history_sparse, turn_history_listed,
         turn_keywords,
-        knn_top3, knn_top3_by_pivots, knn_with_bad_vectors, knn_from_index, context_assembly,
+        knn_top3, knn_top3_by_pivots, knn_with_bad_vectors, knn_from_index, knn_approximate, context_assembly,
         chunk_documents, hashed_embeddings, question_embeddings,
         retrieve_context, prompt_table,
     )

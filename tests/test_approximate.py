@@ -1,0 +1,78 @@
+"""Approximate search against the exact one."""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pytest
+from test_neighbours import brute, found, frame, sample
+
+from noteflow.operators import approximate, neighbours
+from noteflow.plans import driver_queries
+
+
+def share(hits, expected):
+    """How many of the true neighbours are among the hits."""
+    true = {(q, i) for q, i, *_ in expected}
+    return len({(q, i) for q, i, *_ in hits} & true) / len(true)
+
+
+@pytest.mark.parametrize("clusters", [60, 1])
+def test_recall_and_exact_distances(spark, clusters):
+    queries, vectors = sample(150, seed=1, clusters=clusters, width=16), sample(3000, seed=1, clusters=clusters, width=16)
+    hits = found(approximate.nearest_approximate(frame(spark, "query_id", queries), frame(spark, "vec_id", vectors), bucket=32))
+    assert share(hits, brute(queries, vectors, 3)) >= 0.9
+    assert all(d == round(float(np.sqrt(((vectors[i] - queries[q]) ** 2).sum())), 9) for q, i, _, d in hits)
+
+
+@pytest.mark.parametrize("block", [None, 25])
+def test_every_bucket_is_the_exact_search(spark, block):
+    queries, vectors = sample(40, seed=2), sample(500, seed=3)
+    vectors[::3] = vectors[0]  # a third of all are one vector
+    hits = approximate.nearest_approximate(
+        frame(spark, "query_id", queries), frame(spark, "vec_id", vectors), recall=1.0, bucket=16, block=block
+    )
+    assert found(hits) == brute(queries, vectors, 3)
+
+
+def test_visits_are_every_bucket_once_in_order_of_distance():
+    rows = sample(400, seed=4)
+    made = approximate.Families(8, 5, 2, rows)
+    for own, codes in zip(made.sizes, made.codes(rows).T):
+        own.update({int(c): int(n) for c, n in zip(*np.unique(codes, return_counts=True))})
+    query = rows[0]
+    given = list(made.visits(query))
+    assert sorted(given) == sorted((f, b) for f, own in enumerate(made.sizes) for b in own)
+    assert set(given[:2]) == {(f, int(c)) for f, c in enumerate(made.codes(rows[:1])[0])}
+    away = []
+    for f, b in given:
+        margin = query @ made.normals[f] - made.offsets[f]
+        crossed = [(margin[i] > 0) != bool(b >> i & 1) for i in range(5)]
+        away.append(sum(margin[i] ** 2 for i in range(5) if crossed[i]))
+    assert all(a <= b + 1e-12 for a, b in itertools.pairwise(away))
+
+
+def test_clear_groups_need_few_buckets(spark):
+    vectors = 20 * sample(4000, seed=5, clusters=80, width=16) / 4
+    held = neighbours._prepared(frame(spark, "vec_id", vectors), "vec_id")
+    asked = neighbours._prepared(frame(spark, "query_id", vectors[:200]), "query_id")
+    made = approximate._families(held, 4000, 16, 4, 64)
+    assert approximate._visits_needed(asked, held, made, 3, 0.95) < sum(map(len, made.sizes)) / 4
+
+
+def test_bad_and_no_vectors(spark):
+    kind = "bigint, embedding array<double>"
+    held = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, [])], f"vec_id {kind}")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [float("inf"), 0.0])], f"query_id {kind}")
+    assert found(approximate.nearest_approximate(asked, held)) == {(0, 1, 1, 0.0), (0, 4, 2, 1.0)}
+    assert approximate.nearest_approximate(asked, held.limit(0)).collect() == []
+    assert approximate.nearest_approximate(asked.limit(0), held).collect() == []
+
+
+def test_registered_query_has_recall(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    exact = {(r.query_id, r.vec_id): r.distance for r in driver_queries.knn_top3(spark, sf_dir).collect()}
+    hits = driver_queries.knn_approximate(spark, sf_dir).collect()
+    met = [exact[r.query_id, r.vec_id] == r.distance for r in hits if (r.query_id, r.vec_id) in exact]
+    assert all(met) and len(met) >= 0.9 * len(exact)
