@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction, quality, risk, rules
 from ..schemas import EXTRACTED, QUALITY, SERVING
+from .contains import best_contained
 
 
 def extract_fields(
@@ -121,6 +122,14 @@ def with_readmission_rate(records: DataFrame) -> DataFrame:
     )
 
 
+def with_rate_from(records: DataFrame, rates: DataFrame, text: str = "diagnosis") -> DataFrame:
+    """Add ``dx_key`` and ``rate_pct`` from a table of rates of any size: the highest rate whose key ``text`` contains.
+
+    Keys are found by their rarest gram, so nothing is compared with every row of ``rates``.
+    """
+    return best_contained(records, text, rates, "dx_key", "rate_pct")
+
+
 def interventions(spark) -> DataFrame:
     """The three fixed (risk_tier, action) rows, as a local relation."""
     rows = ", ".join(f"('{tier}', '{action}')" for tier, action in rules.INTERVENTIONS)

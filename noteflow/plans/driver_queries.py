@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import approximate, conversations, neighbours, records, reports, retrieval, vector_index
 from ..schemas import SERVING
 from ..sources import readers, sinks, tables
@@ -179,6 +180,18 @@ def diagnosis_rates(spark, sf_dir):
     return rated.select("file_name", "diagnosis", "dx_key", "rate_pct")
 
 
+def diagnosis_rates_from_table(spark, sf_dir):
+    """Rates from a table: the ten of the guideline, and one for every third patient, looked for in id and diagnosis."""
+    fixed = spark.createDataFrame(list(rules.READMISSION_RATES), "dx_key string, rate_pct int")
+    orders = tables.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    own = orders.select(
+        F.concat(F.lit("PAT-"), tables.patient_number(F.col("o_orderkey"))).alias("dx_key"),
+        (F.col("o_orderkey") % 31).cast("int").alias("rate_pct"),
+    )
+    named = curated(spark, sf_dir).withColumn("named", F.concat_ws(" ", "patient_id", "diagnosis"))
+    return records.with_rate_from(named, fixed.unionByName(own), "named").select("file_name", "named", "dx_key", "rate_pct")
+
+
 # ---- the users' questions --------------------------------------------------
 
 def top5_high_risk(spark, sf_dir):
@@ -367,7 +380,7 @@ ALL = {
         extract_fields, quality_scores, quality_counts, record_counts, serving_set,
         serving_round_trip, stream_curated, text_file_scan, batch_counts,
         risk_points, risk_points_guideline, risk_signals, risk_summary, risk_crosstab,
-        risk_reasons, risk_bands, risk_caveat, intervention_plan, diagnosis_rates,
+        risk_reasons, risk_bands, risk_caveat, intervention_plan, diagnosis_rates, diagnosis_rates_from_table,
         top5_high_risk, all_high_risk, low_confidence, no_follow_up, over75_high_risk,
         non_compliant, quality_issues, missing_field_records, chf_no_follow_up,
         patient_explain, patient_assessments, first_records,

@@ -439,6 +439,16 @@ def all_sql() -> dict[str, str]:
             _CURATED,
             _RATES,
         ),
+        "diagnosis_rates_from_table": _from_notes(
+            """SELECT file_name, concat_ws(' ', patient_id, diagnosis) AS named, dx_key, rate_pct::INT AS rate_pct
+            FROM curated LEFT JOIN (
+              SELECT dx_key, rate_pct FROM rates
+              UNION ALL SELECT printf('PAT-%04d', o_orderkey), o_orderkey % 31 FROM orders WHERE o_orderkey % 3 = 0
+            ) ON contains(lower(concat_ws(' ', patient_id, diagnosis)), lower(dx_key))
+            QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY rate_pct DESC, dx_key) = 1""",
+            _CURATED,
+            _RATES,
+        ),
         "top5_high_risk": _from_scored(
             high + " ORDER BY risk_points DESC, completeness_score DESC, patient_id NULLS LAST,"
             " file_name LIMIT 5"
