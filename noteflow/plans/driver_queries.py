@@ -10,6 +10,7 @@ from ..operators import approximate, conversations, neighbours, records, reports
 from ..schemas import SERVING
 from ..sources import readers, sinks, tables
 from ..sources.work import work_path, written
+from ..streaming import changes, ingest, turns
 from ..streaming.ingest import run_curated_stream
 from . import batch_job
 
@@ -111,6 +112,31 @@ def stream_curated(spark, sf_dir):
     return run_curated_stream(notes, f"{path}/table", f"{path}/checkpoint")
 
 
+def _note_folder(keys: DataFrame, folder: str) -> None:
+    """A note per key, each in a file below a folder that bears its number, the key's rest; others stay as they are."""
+    number = F.regexp_extract("file_name", "([0-9]+)", 1).cast("long") % REWRITTEN
+    made = tables.notes_from_orders(keys).select("raw_text", number.alias("name"))
+    made.repartition(8, "name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(folder)
+
+
+#: What is added to a key whose note is written anew.
+REWRITTEN = 1_000_000
+
+
+def changed_files(spark, sf_dir):
+    """A folder of one note per supplier, taken in twice: every third file is written anew between the two runs."""
+    table = _own_path(spark, sf_dir, "changes")
+    if not sinks.is_complete(spark, table):
+        folder = work_path(spark, "changing")
+        keys = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_orderkey"))
+        anew = keys.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") + REWRITTEN).alias("o_orderkey"))
+        name = lambda path: F.regexp_extract(path, "name=([^/]+)/", 1)
+        for version in (keys, anew):
+            _note_folder(version, folder)
+            changes.ingest_changes(spark, folder, table, nested=True, name=name)
+    return changes.current(spark, table)
+
+
 def text_file_scan(spark, sf_dir):
     """Documents written as one ``.txt`` file each, read by the note scan and cut to lines again.
 
@@ -125,6 +151,20 @@ def text_file_scan(spark, sf_dir):
     )
 
 
+def stream_counts(spark, sf_dir):
+    """The counts that a stream leaves per micro-batch, added up: those of the batch job but for the serving set."""
+    path = _own_path(spark, sf_dir, "counted-stream")
+    if not sinks.is_complete(spark, f"{path}/metrics"):
+        orders = spark.readStream.schema(tables.table(spark, sf_dir, "orders").schema)
+        # the table in four files, one micro-batch each
+        tables.table(spark, sf_dir, "orders").repartition(4, "o_orderkey").write.parquet(f"{path}/orders")
+        notes = tables.notes_from_orders(orders.option("maxFilesPerTrigger", 1).parquet(f"{path}/orders"))
+        ingest.run_counted_stream(notes, f"{path}/table", f"{path}/checkpoint", f"{path}/metrics")
+    counted = spark.read.parquet(f"{path}/metrics")
+    names = ("n_notes", "n_with_id", "n_high", "n_medium", "n_low", "n_serving")
+    return counted.agg(*[F.sum(n).alias(n) for n in names])
+
+
 def batch_counts(spark, sf_dir):
     """The counts that the batch job tells of its curated table and its serving set."""
     counts = batch_job.run_batch_on(tables.notes(spark, sf_dir), work_path(spark, "batch"))
@@ -256,6 +296,18 @@ def turn_routing(spark, sf_dir):
     return routed.select("conv_id", "turn", "route", F.array_join("path", " > ").alias("path"))
 
 
+def turn_routing_stream(spark, sf_dir):
+    """Routes and places of turns that arrive in three lots, each taken in by a stream started anew."""
+    path = _own_path(spark, sf_dir, "turns")
+    if not sinks.is_complete(spark, f"{path}/done"):
+        talk = messages(spark, sf_dir).select("conv_id", "turn", "role", "text")
+        for lot in ("turn < 2", "turn >= 2 AND turn < 4", "turn >= 4"):
+            talk.where(lot).write.mode("append").parquet(f"{path}/arriving")
+            turns.run(spark, f"{path}/arriving", f"{path}/routed", f"{path}/checkpoint")
+        spark.range(1).write.parquet(f"{path}/done")
+    return spark.read.schema(turns.ROUTED).parquet(f"{path}/routed")
+
+
 def turn_positions(spark, sf_dir):
     return conversations.turn_positions(messages(spark, sf_dir))
 
@@ -378,13 +430,13 @@ ALL = {
     f.__name__: f
     for f in (
         extract_fields, quality_scores, quality_counts, record_counts, serving_set,
-        serving_round_trip, stream_curated, text_file_scan, batch_counts,
+        serving_round_trip, stream_curated, stream_counts, changed_files, text_file_scan, batch_counts,
         risk_points, risk_points_guideline, risk_signals, risk_summary, risk_crosstab,
         risk_reasons, risk_bands, risk_caveat, intervention_plan, diagnosis_rates, diagnosis_rates_from_table,
         top5_high_risk, all_high_risk, low_confidence, no_follow_up, over75_high_risk,
         non_compliant, quality_issues, missing_field_records, chf_no_follow_up,
         patient_explain, patient_assessments, first_records,
-        turn_routing, turn_positions, turn_history, turn_history_sparse, turn_history_listed,
+        turn_routing, turn_routing_stream, turn_positions, turn_history, turn_history_sparse, turn_history_listed,
         turn_keywords,
         knn_top3, knn_top3_by_pivots, knn_with_bad_vectors, knn_from_index, knn_approximate, context_assembly,
         chunk_documents, hashed_embeddings, question_embeddings,

@@ -386,6 +386,20 @@ def all_sql() -> dict[str, str]:
               count(*) FILTER (confidence_label = 'LOW') AS n_low,
               count(*) FILTER (is_scoreable) AS n_serving FROM curated"""
         ),
+        "stream_counts": _from_curated(
+            """SELECT count(*) AS n_notes, count(patient_id) AS n_with_id,
+              count(*) FILTER (confidence_label = 'HIGH') AS n_high,
+              count(*) FILTER (confidence_label = 'MEDIUM') AS n_medium,
+              count(*) FILTER (confidence_label = 'LOW') AS n_low,
+              count(*) FILTER (is_scoreable) AS n_serving FROM curated"""
+        ),
+        "changed_files": _from_curated(
+            curated.replace("raw_text, file_name,", "raw_text || chr(10) AS raw_text, (regexp_extract(file_name, '([0-9]+)')::BIGINT % 1000000)::VARCHAR AS file_name,")
+        ).replace("SELECT o_orderkey AS k FROM orders", "SELECT s_suppkey + CASE WHEN s_suppkey % 3 = 0 THEN 1000000 ELSE 0 END AS k FROM supplier"),
+        "turn_routing_stream": f"""
+            SELECT m.conv_id, m.turn, p.messages_before, p.user_messages_before,
+              CASE WHEN m.role = 'user' THEN CASE WHEN p.user_messages_before = 0 THEN 'analyze' ELSE 'followup' END END AS route
+            FROM conversations m JOIN ({_POSITIONS}) p USING (conv_id, turn)""",
         "record_counts": _from_curated(
             """SELECT count(*) AS n_notes, count(patient_id) AS n_with_id,
               count(*) FILTER (is_scoreable) AS n_scoreable,
