@@ -143,8 +143,7 @@ def text_file_scan(spark, sf_dir):
     The writer ends a file with a line end, which the text did not have.
     """
     folder = work_path(spark, "text-files")
-    texts = tables.table(spark, sf_dir, "documents").select("text").repartition("text")
-    texts.write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+    tables.documents(spark, sf_dir).select("text").write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
     found = readers.read_notes(spark, folder)
     return found.select(
         F.regexp_replace("raw_text", r"\n\z", "").alias("raw_text"), F.col("file_name").endswith(".txt").alias("is_text_file")
@@ -165,6 +164,16 @@ def stream_counts(spark, sf_dir):
     return counted.agg(*[F.sum(n).alias(n) for n in names])
 
 
+def packed_note_scan(spark, sf_dir):
+    """A note file per supplier, packed with its name and length and read from the packed table."""
+    path = _own_path(spark, sf_dir, "packed-notes")
+    if not sinks.is_complete(spark, path):
+        folder = work_path(spark, "note-files")
+        _note_folder(tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_orderkey")), folder)
+        sinks.pack_notes(spark, path, lambda: readers.read_notes(spark, folder, nested=True, name=readers.folder_name()))
+    return readers.read_packed(spark, path).withColumn("file_name", F.regexp_replace("file_name", "^name=", ""))
+
+
 def batch_counts(spark, sf_dir):
     """The counts that the batch job tells of its curated table and its serving set."""
     counts = batch_job.run_batch_on(tables.notes(spark, sf_dir), work_path(spark, "batch"))
@@ -430,7 +439,7 @@ ALL = {
     f.__name__: f
     for f in (
         extract_fields, quality_scores, quality_counts, record_counts, serving_set,
-        serving_round_trip, stream_curated, stream_counts, changed_files, text_file_scan, batch_counts,
+        serving_round_trip, stream_curated, stream_counts, changed_files, text_file_scan, packed_note_scan, batch_counts,
         risk_points, risk_points_guideline, risk_signals, risk_summary, risk_crosstab,
         risk_reasons, risk_bands, risk_caveat, intervention_plan, diagnosis_rates, diagnosis_rates_from_table,
         top5_high_risk, all_high_risk, low_confidence, no_follow_up, over75_high_risk,

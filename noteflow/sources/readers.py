@@ -23,11 +23,14 @@ def base_name() -> Column:
     return F.url_decode(encoded)
 
 
-def _as_raw(files: DataFrame) -> DataFrame:
-    rows = files.select(
-        clean_text(F.col("value")).alias("raw_text"), base_name().alias("file_name")
-    )
-    return conform(rows, RAW)
+def folder_name() -> Column:
+    """Last folder of the path that a row came from, for files that are told apart by it."""
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+
+
+def _as_raw(files: DataFrame, name: Column | None = None) -> DataFrame:
+    named = base_name() if name is None else name
+    return conform(files.select(clean_text(F.col("value")).alias("raw_text"), named.alias("file_name")), RAW)
 
 
 def _missing(path: str, error: AnalysisException, hint: str) -> Exception:
@@ -36,20 +39,32 @@ def _missing(path: str, error: AnalysisException, hint: str) -> Exception:
     return error
 
 
-def read_notes(spark: SparkSession, folder: str, check: bool = True) -> DataFrame:
+def read_notes(
+    spark: SparkSession, folder: str, check: bool = True, nested: bool = False, name: Column | None = None
+) -> DataFrame:
     """One row per ``.txt`` file of ``folder``: ``raw_text``, ``file_name``.
 
+    ``nested`` looks into subfolders; ``name`` is another column than the base name, :func:`folder_name` say.
     Fails on a missing folder; with ``check`` also on one without ``.txt`` files,
     which reads a single file at most.
     """
     try:
         # wholetext must be an argument: the argument's default overrides an option.
-        files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+        reader = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", str(nested).lower())
+        files = reader.text(folder, wholetext=True)
     except AnalysisException as error:
         raise _missing(folder, error, "note folder") from error
     if check and files.isEmpty():
         raise ValueError(f"no .txt files in {folder}")
-    return _as_raw(files)
+    return _as_raw(files, name)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """Notes that :func:`sinks.pack_notes` has packed: as :func:`read_notes` gives them, from few files."""
+    try:
+        return conform(spark.read.parquet(path).select(*RAW.names), RAW)
+    except AnalysisException as error:
+        raise _missing(path, error, "packed notes") from error
 
 
 def stream_notes(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.records import serving_set
 from ..schemas import CURATED, VECTOR, conform
@@ -22,6 +23,20 @@ def write_curated(curated: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.save(path)
 
 
+def pack_notes(spark: SparkSession, path: str, notes: Callable[[], DataFrame]) -> bool:
+    """Pack ``notes()``, a scan of many small files, into few Parquet files of about equal size, once; True when packed.
+
+    Adaptive execution merges what is small and cuts what is large, so the files' sizes do not follow the
+    scan's tasks. Each note keeps its name and its length in characters.
+    """
+
+    def pack() -> None:
+        packed = notes().select("raw_text", "file_name", F.length("raw_text").cast("long").alias("length"))
+        packed.hint("rebalance").write.mode("overwrite").parquet(path)
+
+    return materialise_once(spark, path, pack)
+
+
 def write_serving(curated: DataFrame, path: str) -> None:
     """Scoreable records as JSON lines, NULL written out."""
     serving_set(curated).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -400,6 +400,9 @@ def all_sql() -> dict[str, str]:
             SELECT m.conv_id, m.turn, p.messages_before, p.user_messages_before,
               CASE WHEN m.role = 'user' THEN CASE WHEN p.user_messages_before = 0 THEN 'analyze' ELSE 'followup' END END AS route
             FROM conversations m JOIN ({_POSITIONS}) p USING (conv_id, turn)""",
+        "packed_note_scan": _from_notes("SELECT raw_text || chr(10) AS raw_text, regexp_extract(file_name, '([0-9]+)')::BIGINT::VARCHAR AS file_name FROM notes").replace(
+            "SELECT o_orderkey AS k FROM orders", "SELECT s_suppkey AS k FROM supplier"
+        ),
         "record_counts": _from_curated(
             """SELECT count(*) AS n_notes, count(patient_id) AS n_with_id,
               count(*) FILTER (is_scoreable) AS n_scoreable,

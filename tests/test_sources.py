@@ -169,3 +169,23 @@ def test_files_on_disk(spark, made, tmp_path):
     generator.write_note_files(some, str(tmp_path / "raw"))
     back = readers.read_notes(spark, str(tmp_path / "raw"))
     assert sorted(back.collect()) == sorted(some.select("raw_text", "file_name").collect())
+
+
+def test_packed_notes_are_read_from_few_files(spark, tmp_path):
+    raw, packed = tmp_path / "raw", str(tmp_path / "packed")
+    raw.mkdir()
+    for i in range(300):
+        (raw / f"note {i}+.txt").write_text(f"text {i}\n")
+    scans = []
+
+    def scan():
+        scans.append(1)
+        return readers.read_notes(spark, str(raw))
+
+    assert sinks.pack_notes(spark, packed, scan) and not sinks.pack_notes(spark, packed, scan) and scans == [1]
+    found = readers.read_packed(spark, packed)
+    assert sorted(found.collect()) == sorted(readers.read_notes(spark, str(raw)).collect()) and found.count() == 300
+    assert len(found.inputFiles()) < 10
+    assert {r.length for r in spark.read.parquet(packed).collect()} == {7, 8, 9}
+    with pytest.raises(FileNotFoundError, match="packed notes"):
+        readers.read_packed(spark, str(tmp_path / "none"))
