@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -65,8 +66,50 @@ def test_surrogates_keep_type_format_and_coreference(spark):
 
 def test_names_without_titles(spark):
     (row,) = pii_surrogates.replace(docs(spark, "Then Anna Weber met Peter Weber. The Weber Dam, Paul and Emma left.")).collect()
-    she, one, he, two = re.match(r"Then (\w+) (\w+) met (\w+) (\w+)\. The Weber Dam, Paul and Emma left\.", row.text).groups()
-    assert she in pii_surrogates.FEMALE_NAMES and he in pii_surrogates.MALE_NAMES and one == two != "Weber"
+    she, one, he, two, three = re.match(r"Then (\w+) (\w+) met (\w+) (\w+)\. The (\w+) Dam, Paul and Emma left\.", row.text).groups()
+    assert she in pii_surrogates.FEMALE_NAMES and he in pii_surrogates.MALE_NAMES and one == two == three != "Weber"
+
+
+def test_one_name_has_one_surrogate_whatever_stands_before_it(spark):
+    texts = ("Dr. Erik Weber saw Mr. Erik Weber.", "Mr. John Smith said. Smith agreed, SMITH'S dog and Smithson too. Prof. Smith left.", "Dr. Erik Holm")
+    first, second, third = [r.text for r in pii_surrogates.replace(docs(spark, *texts)).orderBy("doc_id").collect()]
+    one, name, again, same = re.match(r"Dr\. (\w+) (\w+) saw Mr\. (\w+) (\w+)\.", first).groups()
+    assert (one, name) == (again, same) and one != "Erik" and name != "Weber" and third.startswith(f"Dr. {one} ")
+    john, smith, bare, loud, last = re.match(r"Mr\. (\w+) (\w+) said\. (\w+) agreed, (\w+)'S dog and Smithson too\. Prof\. (\w+) left\.", second).groups()
+    assert smith == bare == last == loud.capitalize() and loud == smith.upper() and smith != "Smith" and john != "John"
+
+
+SCRIPTS = {
+    "Dvořák": "LATIN", "Yıldırım": "LATIN", "Wałęsa": "LATIN", "Їжак": "CYRILLIC", "Պետրոսյան": "ARMENIAN", "Γιώργος": "GREEK",
+    "Wolfeschlegelsteinhausenbergerdorffwelche" * 3: "LATIN", "O’Brien-Smith": "LATIN",
+}
+
+
+def test_script_is_kept(spark):
+    """Every letter of the new name is of the old one's script, and nothing of a long one is left."""
+    found = pii_surrogates.replace(docs(spark, *[f"Mr. Adam {name}, then." for name in SCRIPTS])).orderBy("doc_id").collect()
+    for (name, script), row in zip(SCRIPTS.items(), found):
+        new = re.match(r"Mr\. \S+ (\S+), then\.", row.text)[1]
+        assert new != name and len(new) == len(name)
+        assert all(unicodedata.name(c).startswith(script) for c in new if c.isalpha())
+        assert not any(new[i : i + 12] in name for i in range(len(name) - 11))
+
+
+def test_long_tokens_and_other_numbers_go(spark):
+    secrets = ("0123456789abcdef" * 9 + "a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "020 7946 0958", "01 42 68 53 00")
+    found = [r.text for r in pii_surrogates.replace(docs(spark, *[f"here {s} there" for s in secrets])).orderBy("doc_id").collect()]
+    shape = lambda s: re.sub(r"\d|[a-f]", "9", s)
+    for secret, text in zip(secrets, found):
+        assert secret not in text and secret[-8:] not in text and shape(text) == shape(f"here {secret} there")
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(1, "Mr. John Smith", "a", "b", "c"), (2, "nothing", "d", "e", "f"), (3, None, "g", "h", "i"), (4, "1 sign", "j", "k", "l")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _parts string, _pii_held string, `a.b` string")
+    found = {r.doc_id: r for r in pii_surrogates.replace(frame).collect()}
+    assert [tuple(found[i][c] for c in ("_parts", "_pii_held", "a.b")) for i in (1, 2, 3, 4)] == [tuple(r[2:]) for r in rows]
+    assert "Smith" not in found[1].text and [found[i].text for i in (2, 3, 4)] == [r[1] for r in rows[1:]]
+    assert [found[i]._n_entities for i in (1, 2, 3, 4)] == [2, 0, 0, 0]
 
 
 def test_surrogates_are_keyed_and_distinct(spark):
