@@ -277,7 +277,7 @@ def laid(kind: Column, value: Column, attempt: Column, made: Column, letters: Co
 
 
 def _from(names, chosen: Column) -> Column:
-    return F.get(F.array(*map(F.lit, names)), F.pmod(chosen, F.lit(len(names))))
+    return F.get(F.split(F.lit("|".join(names)), r"\|"), F.pmod(chosen, F.lit(len(names))))
 
 
 def _luhn(number: Column) -> Column:
