@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import HashedWords, split_text
+from ..functions.text import split_text
 from ..sources.work import written
 from . import neighbours, vector_index
 
+#: Buckets of the default embedder's words.
+WIDTH = 64
+
 #: Hits (three short columns each) that may be broadcast: three for each of 4,096 questions, and some more.
 BROADCAST_HITS = 16_384
 
@@ -34,13 +37,49 @@ def chunk_documents(
     return chunks.select(vec_id.alias("vec_id"), "doc_id", "chunk_ix", "chunk")
 
 
-def embed(df: DataFrame, text: str, embedder=None, out: str = "embedding") -> DataFrame:
+def word_counts(df: DataFrame, text: str, width: int = WIDTH, out: str = "embedding") -> DataFrame:
+    """Add ``out``, a struct of ``indices`` and ``values``: the hashed bag of words of column ``text``, scaled to length one.
+
+    Column expressions only. A word's bucket is the first 32 bits of its MD5 modulo ``width``; indices come in order
+    and only buckets with a word are held, so ``width`` may be large. A text without words has empty lists.
+    """
+    own = "_words"
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    sorted_, first, count = f"{own}_sorted", f"{own}_first", f"{own}_count"
+    bucket = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(width)).cast("int")
+    # columns of their own, since a lambda evaluates what it holds for each element
+    held = df.withColumn(sorted_, F.array_sort(F.transform(words(F.coalesce(F.col(text), F.lit(""))), bucket)))
+    held = held.withColumn(own, F.array_distinct(sorted_))
+    # where each bucket begins among the sorted ones: what lies between is its count
+    held = held.withColumn(first, F.transform(own, lambda b: F.array_position(F.col(sorted_), b)))
+    after = lambda i: F.coalesce(F.get(F.col(first), i + 1), F.size(sorted_) + 1)
+    held = held.withColumn(count, F.transform(first, lambda at, i: after(i) - at))
+    norm = F.sqrt(F.aggregate(count, F.lit(0).cast("long"), lambda s, n: s + n * n).cast("double"))
+    held = held.withColumn(first, norm)
+    values = F.transform(count, lambda n: n.cast("double") / F.col(first))
+    return held.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(F.col(own).alias("indices"), values.alias("values")).alias(out))
+
+
+def embed(df: DataFrame, text: str, embedder=None, out: str = "embedding", width: int = WIDTH) -> DataFrame:
     """Add the vector of column ``text``.
 
-    ``embedder`` is a picklable factory: called once per task, it returns a
+    By default the hashed bag of words of :func:`word_counts` as ``width`` numbers, without Python. ``embedder`` is a
+    picklable factory instead: called once per task, it returns a
     function from a pandas Series of texts to a matrix, one row per text.
     """
-    embedder = embedder or HashedWords()
+    if embedder is None:
+        own = "_bag"
+        while any(c.startswith(own) for c in df.columns):
+            own += "_"
+        indices, values = f"{own}_indices", f"{own}_values"
+        held = word_counts(df, text, width, own)
+        # through inline, else the optimizer copies the lists into the lambda and makes them anew for every bucket
+        once = F.inline(F.array(F.col(own))).alias(indices, values)
+        held = held.select(*[F.col(f"`{c}`") for c in df.columns], once)
+        place = lambda b: F.array_position(F.col(indices), b).cast("int")
+        dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.coalesce(F.get(F.col(values), place(b) - 1), F.lit(0.0)))
+        return held.select(*[F.col(f"`{c}`") for c in df.columns if c != out], dense.alias(out))
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -407,17 +407,19 @@ def chunk_documents(spark, sf_dir):
     return retrieval.chunk_documents(tables.documents(spark, sf_dir))
 
 
+def _word_weights(texts: DataFrame, key: str) -> DataFrame:
+    held = retrieval.word_counts(texts, "text", out="held")
+    pairs = F.explode(F.arrays_zip(F.col("held.indices").alias("bucket"), F.col("held.values").alias("weight"))).alias("p")
+    return held.select(key, pairs).select(key, "p.bucket", F.round("p.weight", 6).alias("weight"))
+
+
 def hashed_embeddings(spark, sf_dir):
-    vectors_ = retrieval.embed(tables.documents(spark, sf_dir), "text")
-    long = vectors_.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
-    return long.filter("weight > 0").withColumn("weight", F.round("weight", 6))
+    return _word_weights(tables.documents(spark, sf_dir), "doc_id")
 
 
 def question_embeddings(spark, sf_dir):
     """Vectors of the benchmark's query texts."""
-    texts = tables.table(spark, sf_dir, "benchmark").select("item_id", "text")
-    long = retrieval.embed(texts, "text").select("item_id", F.posexplode("embedding").alias("bucket", "weight"))
-    return long.filter("weight > 0").withColumn("weight", F.round("weight", 6))
+    return _word_weights(tables.table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
 
 
 def retrieve_context(spark, sf_dir):

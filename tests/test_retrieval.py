@@ -122,5 +122,25 @@ def test_plans(spark, sf_dir):
         assert "CartesianProduct" not in text and "NestedLoop" not in text
         assert "WindowGroupLimit" in text
     # A filter on the vector must not run the embedder twice.
-    text = plan(retrieval.embed(held.selectExpr("cast(vec_id as string) t"), "t").filter("size(embedding) > 0"), "simple")
+    text = plan(retrieval.embed(held.selectExpr("cast(vec_id as string) t"), "t", HashedWords()).filter("size(embedding) > 0"), "simple")
     assert text.count("ArrowEvalPython") == 1
+
+
+def test_words_as_column_expressions_equal_the_python_ones(spark, sf_dir):
+    texts = ["", None, "One one TWO", "été ÉTÉ x1 x-1", "!?", "日本語 текст " * 50, "w " * 30_000]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rows = spark.createDataFrame([(i, t, "kept", i) for i, t in enumerate(texts)], "id int, text string, `a.b` string, _words int")
+    for width in (64, 1000):
+        found = retrieval.embed(rows, "text", width=width)
+        expected = HashedWords(width)()(pd.Series([t or "" for t in texts]))
+        got = {r.id: r.embedding for r in found.collect()}
+        assert all(np.array_equal(got[i], expected[i]) for i in range(len(texts)))
+        sparse = {r.id: r.held for r in retrieval.word_counts(rows, "text", width, "held").collect()}
+        assert all(sparse[i].indices == np.flatnonzero(expected[i]).tolist() for i in range(len(texts)))
+    assert found.columns == [*rows.columns, "embedding"] and found.first()["a.b"] == "kept"
+
+
+def test_default_embedder_runs_no_python(spark, sf_dir):
+    for df in (driver_queries.hashed_embeddings(spark, sf_dir), retrieval.embed(spark.createDataFrame([("x",)], "text string"), "text")):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text and "Arrow" not in text
