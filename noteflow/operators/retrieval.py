@@ -79,6 +79,7 @@ def embed(df: DataFrame, text: str, embedder=None, out: str = "embedding", width
         held = held.select(*[F.col(f"`{c}`") for c in df.columns], once)
         place = lambda b: F.array_position(F.col(indices), b).cast("int")
         dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.coalesce(F.get(F.col(values), place(b) - 1), F.lit(0.0)))
+        dense = dense.cast("array<double>")  # elements that may be NULL, as in the vector table
         return held.select(*[F.col(f"`{c}`") for c in df.columns if c != out], dense.alias(out))
 
     @F.pandas_udf("array<double>")
