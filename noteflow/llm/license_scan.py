@@ -98,16 +98,8 @@ def words(text: Column) -> Column:
 
 def templates(spark: SparkSession) -> DataFrame:
     """``template, label, base, pairs, place, first, second, held, refused``: every pair of every template."""
-    rows = []
-    for n, (text, label) in enumerate([*PHRASES, *TEMPLATES]):
-        own = text.split()
-        for at, (a, b) in enumerate(zip(own, own[1:])):
-            telling = TELLING.get(text)
-            held = telling["held"].get(f"{a} {b}") if telling else ""
-            refused = telling.get("refused", {}).get(f"{a} {b}") if telling else None
-            rows.append((n, label, n < len(PHRASES), len(own) - 1, at, a, b, held, refused))
     shape = "template int, label string, base boolean, pairs int, place int, first string, second string, held string, refused string"
-    return spark.createDataFrame(rows, shape)
+    return spark.createDataFrame(_pairs(), shape)
 
 
 def diagonals(docs: DataFrame) -> DataFrame:
@@ -190,42 +182,56 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(common.table(spark, sf_dir, "documents"))
 
 
-def _template_rows() -> str:
-    listed = [(n, label, n < len(PHRASES), text) for n, (text, label) in enumerate([*PHRASES, *TEMPLATES])]
-    return ", ".join(f"({n}, '{label}', {base}, '{text}')" for n, label, base, text in listed)
+def _pairs() -> list[tuple]:
+    """Every pair of every template: ``template, label, base, pairs, place, first, second, held, refused``."""
+    rows = []
+    for n, (text, label) in enumerate([*PHRASES, *TEMPLATES]):
+        own = text.split()
+        telling = TELLING.get(text)
+        for at, (a, b) in enumerate(zip(own, own[1:])):
+            held = telling["held"].get(f"{a} {b}") if telling else ""
+            refused = telling.get("refused", {}).get(f"{a} {b}") if telling else None
+            rows.append((n, label, n < len(PHRASES), len(own) - 1, at, a, b, held, refused))
+    return rows
+
+
+def _pair_rows() -> str:
+    quoted = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    return ", ".join(f"({', '.join(map(quoted, row))})" for row in _pairs())
 
 
 OP6_SQL = rf"""
-WITH given(template, label, base, text) AS (VALUES {_template_rows()}),
-known AS (
-  SELECT template, label, base, len(w) - 1 AS pairs, t - 1 AS place, w[t] AS a, w[t + 1] AS b
-  FROM (SELECT *, unnest(range(1, len(w))) AS t FROM (SELECT *, string_split(text, ' ') AS w FROM given))
+WITH known(template, label, base, pairs, place, a, b, held, refused) AS (VALUES {_pair_rows()}
 ), split AS (
   SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
 ), each AS (
-  SELECT doc_id, p - 1 AS p0, w[p] AS a, w[p + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS p FROM split)
+  SELECT doc_id, p - 1 AS p0, w[p] AS a, w[p + 1] AS b, array_to_string(w[p + 2:p + {1 + AFTER}], ' ') AS after FROM (SELECT *, unnest(range(1, len(w))) AS p FROM split)
 ), diagonals AS (
-  SELECT doc_id, template, label, base, pairs, p0 - place AS diagonal, list(DISTINCT place) AS places
-  FROM each JOIN known USING (a, b) GROUP BY ALL
+  SELECT doc_id, template, label, base, pairs, p0 - place AS diagonal, list(DISTINCT place) AS places,
+    max(coalesce(regexp_matches(coalesce(after, ''), held), false)) AS tells,
+    max(coalesce(regexp_matches(coalesce(after, ''), refused), false)) AS refused
+  FROM each JOIN known USING (a, b) GROUP BY doc_id, template, label, base, pairs, p0 - place
 ), based AS (
   SELECT doc_id, label, base, diagonal AS first_word, 1.0::DOUBLE AS coverage
   FROM diagonals WHERE base AND len(places) = pairs
 ), voted AS (
   SELECT *, diagonal + list_min(places) AS b, diagonal + list_max(places) + 1 AS e
-  FROM diagonals WHERE NOT base AND len(places) >= {VOTES}
+  FROM diagonals WHERE NOT base AND len(places) >= {VOTES} AND NOT refused
 ), marked AS (
   SELECT *, CASE WHEN b - lag(e) OVER o <= {GAP} AND abs(diagonal - lag(diagonal) OVER o) <= {SHIFT} THEN 0 ELSE 1 END AS apart
   FROM voted WINDOW o AS (PARTITION BY doc_id, template ORDER BY b, diagonal)
 ), numbered AS (
   SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY b, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked
 ), merged AS (
-  SELECT doc_id, label, base, min(b) AS first_word, len(list_distinct(flatten(list(places)))) / pairs AS coverage
+  SELECT doc_id, label, base, min(b) AS first_word, len(list_distinct(flatten(list(places)))) / pairs AS coverage,
+    max(tells) AS tells
   FROM numbered GROUP BY doc_id, template, label, base, pairs, span
 ), spans AS (
-  SELECT * FROM based UNION ALL SELECT * FROM merged WHERE coverage >= {COVERAGE}
+  SELECT * FROM based
+  UNION ALL SELECT doc_id, label, base, first_word, coverage FROM merged WHERE coverage >= {COVERAGE} AND tells
 ), told AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base,
          min(first_word) FILTER (base) AS first_word, max(first_word) FILTER (base) AS last_word,

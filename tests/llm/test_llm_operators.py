@@ -6,6 +6,7 @@ import random
 import re
 import unicodedata
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -303,6 +304,19 @@ def test_near_licenses_are_told_apart(spark):
     assert {r.doc_id for r in gpl} == {7}  # the lesser license is none
 
 
+def test_sql_of_the_license_scan_has_its_verification(spark, tmp_path):
+    """The SQL on the same near licenses, and on them in longer texts."""
+    texts = [text for text, _ in NEAR_LICENSES]
+    texts += [f"word {a} or else {b} end" for a, b in zip(texts, texts[3:])] + ["", None, "mit license mit license"]
+    docs(spark, *texts).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = license_scan.op6_license_scan(spark, str(tmp_path))
+    theirs = sorted(con.execute(license_scan.OP6_SQL).fetchall(), key=repr)
+    assert sorted(map(tuple, found.collect()), key=repr) == theirs
+    assert {r[0]: r[6] for r in theirs if r[0] < len(NEAR_LICENSES)} == {i: label for i, (_, label) in enumerate(NEAR_LICENSES)}
+
+
 # ---- 7 -----------------------------------------------------------------------
 
 def test_search_by_blocks_finds_all_in_the_radius(spark):
