@@ -1,12 +1,21 @@
-"""Benchmark decontamination: MinHash containment search.
+"""Benchmark decontamination: size-partitioned MinHash containment search.
 
 An item with n distinct shingles is contained in a document at ``CONTAINMENT`` when at least
-c = ceil(CONTAINMENT * n) of them occur there. Its sketch is its n - c + 1 smallest shingle
-hashes (min-hashes): such a document must hold one of these, however long it is, so the
-search misses nothing. The number of min-hashes follows the item's size. The search is not
-partitioned by size: the largest min-hash of all items bounds what documents send, each hash
-once per document, so an item of a few shingles has them send nearly all. Candidates that share
-a min-hash are verified by the exact words of every shingle.
+c = ceil(CONTAINMENT * n) of them occur there. Items with the same shingles are sought once.
+
+Shingles that more than ``COMMON`` different items hold say little: an item with d < c of them
+does without, and then a document must hold c - d of its other n - d. The sketch is the
+smallest n - c + k hashes of what is left (min-hashes). Of these a document that contains
+the item holds at least k, however long it is, so the search misses nothing; k is a quarter of
+the need, at least two, so that one shared phrase makes no candidate. An item made of common
+shingles keeps them all.
+
+The search is partitioned by size: items fall in classes by the number of shingles sought, each
+a factor of four wide, and the largest min-hash of a class bounds what documents send to it. So
+an item of a few shingles, whose min-hashes reach high, raises what is sent to its own class alone.
+Shared min-hashes are counted before a text is looked at; a document then meets all its candidates
+in one row (a long one in parts, by its length), first by hashes, then by the exact words
+of every shingle.
 
 Words are runs of ASCII letters and digits and all other non-ASCII characters, A-Z in lower
 case. Shingles are five words.
@@ -30,6 +39,10 @@ from . import common
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: Shingles that more different items hold are common.
+COMMON = 16
+#: A document meets its candidates in one part for so many of its shingles.
+PART = 1 << 14
 
 _TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -65,104 +78,156 @@ def needed(size: int, containment: float = CONTAINMENT) -> int:
     return math.ceil(round(containment * size, 9))
 
 
-def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """``item_id, item_hash, size_class, min_hash``: the min-hashes of every item, by size."""
-    held = items.select("item_id", F.xxhash64("text").alias("item_hash"), "text")
+def _ordered(hashes: np.ndarray) -> np.ndarray:
+    """Unsigned hashes as signed ones in the same order."""
+    return (hashes ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def shingle_sets(items: DataFrame) -> DataFrame:
+    """``item_id, set_id, hashes, text`` of every item with a shingle; items of one ``set_id`` have the same ones."""
 
     def run(stream):
         def rows(batch):
-            ids, hashes = batch.column("item_id").to_pylist(), batch.column("item_hash").to_pylist()
-            for item, item_hash, text in zip(ids, hashes, common.texts(batch)):
+            for item, text in zip(batch.column("item_id").to_pylist(), common.texts(batch)):
                 own = shingle_hashes(words(text))
-                for h in own[: len(own) - needed(len(own), containment) + 1 if len(own) else 0].view(np.int64).tolist():
-                    yield item, item_hash, len(own).bit_length(), h
+                if len(own):
+                    yield item, _ordered(own).tolist(), (text or b"").decode()
 
         for batch in stream:
-            schema = pa.schema(
-                [batch.schema.field("item_id"), ("item_hash", pa.int64()), ("size_class", pa.int32()), ("min_hash", pa.int64())]
-            )
-            yield from common.batches(rows(batch), schema, lambda r: 32)
+            schema = pa.schema([batch.schema.field("item_id"), ("hashes", pa.list_(pa.int64())), ("text", pa.string())])
+            yield from common.batches(rows(batch), schema, lambda r: 8 * len(r[1]) + len(r[2]) + 32)
 
+    held = items.select("item_id", "text")
     kind = held.schema["item_id"].dataType.simpleString()
-    return held.mapInArrow(run, f"item_id {kind}, item_hash long, size_class int, min_hash long")
+    found = held.mapInArrow(run, f"item_id {kind}, hashes array<long>, text string")
+    return found.select("item_id", F.xxhash64("hashes").alias("set_id"), "hashes", "text")
+
+
+def sketches(sets: DataFrame, containment: float = CONTAINMENT, common_items: int = COMMON) -> DataFrame:
+    """``set_id, size_class, at_least, min_hash``: what is sought of every ``sets(set_id, hashes)``.
+
+    A document that contains the set holds ``at_least`` of its min-hashes.
+    """
+    each = sets.groupBy("set_id").agg(F.first("hashes").alias("hashes")).select("set_id", F.explode("hashes").alias("min_hash"))
+    often = each.groupBy("min_hash").count().where(F.col("count") > common_items).select("min_hash", F.lit(True).alias("often"))
+    parts = each.join(often, "min_hash", "left").groupBy("set_id").agg(
+        F.count("*").alias("n"),
+        F.collect_list("min_hash").alias("all"),
+        F.collect_list(F.expr("CASE WHEN often IS NULL THEN min_hash END")).alias("telling"),
+    )
+    need = F.ceil(F.round(F.col("n") * containment, 9))
+    told = need > F.col("n") - F.size("telling")
+    parts = parts.select(
+        "set_id",
+        F.sort_array(F.when(told, F.col("telling")).otherwise(F.col("all"))).alias("sought"),
+        F.when(told, need - F.col("n") + F.size("telling")).otherwise(need).cast("int").alias("need"),
+    )
+    at_least = F.least("need", F.greatest(F.lit(2), F.ceil(F.col("need") / 4).cast("int")))
+    parts = parts.select(
+        "set_id",
+        F.floor((F.length(F.bin(F.size("sought"))) + 1) / 2).cast("int").alias("size_class"),
+        at_least.alias("at_least"),
+        F.slice("sought", F.lit(1), F.size("sought") - F.col("need") + at_least).alias("sketch"),
+    )
+    return parts.select("set_id", "size_class", "at_least", F.explode("sketch").alias("min_hash"))
+
 
+def class_bounds(sketch: DataFrame) -> dict[int, int]:
+    """The largest min-hash of each size class; classes are as many as a size has pairs of bits."""
+    return {r["size_class"]: r["bound"] for r in sketch.groupBy("size_class").agg(F.max("min_hash").alias("bound")).collect()}
 
-def sent_hashes(docs: DataFrame, largest: int) -> DataFrame:
-    """``doc_id, text_hash, min_hash``: each document's hashes up to ``largest`` (unsigned), once."""
+
+def sent_hashes(docs: DataFrame, bounds: dict[int, int]) -> DataFrame:
+    """``doc_id, text_hash, parts, size_class, min_hash``: each document's hashes up to the bound of each class."""
     held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    classes = sorted(bounds.items())
 
     def run(stream):
-        def sent(batch, taken, found):
-            at = pa.array(np.repeat(np.array(taken), [len(f) for f in found]))
+        def sent(batch, taken, parts, kinds, found):
+            counts = [len(f) for f in found]
+            at = pa.array(np.repeat(np.array(taken), counts))
             columns = [batch.column(n).take(at) for n in ("doc_id", "text_hash")]
-            hashes = pa.array(np.concatenate(found).view(np.int64))
-            return pa.RecordBatch.from_arrays([*columns, hashes], ["doc_id", "text_hash", "min_hash"])
+            numbers = [pa.array(np.repeat(np.array(x, np.int32), counts)) for x in (parts, kinds)]
+            hashes = pa.array(np.concatenate(found))
+            return pa.RecordBatch.from_arrays([*columns, *numbers, hashes], ["doc_id", "text_hash", "parts", "size_class", "min_hash"])
 
         for batch in stream:
-            taken, found, size = [], [], 0
+            taken, parts, kinds, found, size = [], [], [], [], 0
             for at, text in enumerate(common.texts(batch)):
-                own = shingle_hashes(words(text))
-                own = own[: np.searchsorted(own, np.uint64(largest), "right")]
-                if len(own):
-                    taken.append(at)
-                    found.append(own)
-                    size += len(own)
+                own = _ordered(shingle_hashes(words(text)))
+                for kind, bound in classes:
+                    low = own[: np.searchsorted(own, bound, "right")]
+                    if len(low):
+                        taken.append(at)
+                        parts.append(1 + len(own) // PART)
+                        kinds.append(kind)
+                        found.append(low)
+                        size += len(low)
                 if size > 1 << 18:
-                    yield sent(batch, taken, found)
-                    taken, found, size = [], [], 0
+                    yield sent(batch, taken, parts, kinds, found)
+                    taken, parts, kinds, found, size = [], [], [], [], 0
             if found:
-                yield sent(batch, taken, found)
+                yield sent(batch, taken, parts, kinds, found)
 
     kind = held.schema["doc_id"].dataType.simpleString()
-    return held.mapInArrow(run, f"doc_id {kind}, text_hash long, min_hash long")
+    return held.mapInArrow(run, f"doc_id {kind}, text_hash long, parts int, size_class int, min_hash long")
 
 
-def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """``doc_id, text_hash, item_id, n_shared, n_shingles, containment`` of all pairs at or over it."""
-    sketch = written(sketches(items, containment), "sketches")
-    bounds = sketch.groupBy("size_class").agg(
-        F.max(F.col("min_hash").bitwiseXOR(F.lit(-(2**63)))).alias("largest")  # in unsigned order
+def candidates(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, set_id, parts`` of documents that hold as many min-hashes of a set as they must.
+
+    Rows equal in id and text add up, which may make a candidate and never loses one.
+    """
+    met = sent_hashes(docs, class_bounds(sketch)).join(sketch, ["size_class", "min_hash"])
+    shared = met.groupBy("doc_id", "text_hash", "set_id").agg(
+        F.count("*").alias("n"), F.first("at_least").alias("at_least"), F.first("parts").alias("parts")
     )
-    largest = bounds.agg(F.max("largest")).first()[0]
-    bound = 0 if largest is None else largest + 2**63
+    return shared.where("n >= at_least").select("doc_id", "text_hash", "set_id", "parts")
 
-    marks = sketch.select("item_id", "item_hash", "min_hash").distinct()
-    pairs = sent_hashes(docs, bound).join(marks, "min_hash")
-    pairs = written(pairs.select("doc_id", "text_hash", "item_id", "item_hash").distinct(), "candidates")
 
-    own = items.select(F.col("item_id").alias("i"), F.xxhash64("text").alias("ih"), F.col("text").alias("item_text")).distinct()
-    asked = pairs.join(own, pairs["item_id"].eqNullSafe(own["i"]) & (pairs["item_hash"] == own["ih"]))
-    asked = asked.select("doc_id", "text_hash", "item_id", "item_text")
-    held = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), "text")
-    both = held.join(asked, held["d"].eqNullSafe(asked["doc_id"]) & (held["th"] == asked["text_hash"]))
-    both = both.select("doc_id", "text_hash", "item_id", "item_text", "text")
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """``doc_id, text_hash, item_id, n_shared, n_shingles, containment`` of all pairs at or over it."""
+    sets = written(shingle_sets(items), "item-shingles")
+    sketch = written(sketches(sets, containment), "sketches")
+    pairs = written(candidates(docs, sketch), "candidates")
+
+    texts = sets.groupBy("set_id").agg(F.min("text").alias("item_text"))
+    listed = pairs.join(texts, "set_id").groupBy("doc_id", "text_hash", F.pmod("set_id", "parts").alias("part"))
+    listed = listed.agg(F.collect_list(F.struct("set_id", "item_text")).alias("asked"))
+    asked = listed.withColumnsRenamed({"doc_id": "d", "text_hash": "th"})
+    held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    both = held.join(asked, held["doc_id"].eqNullSafe(asked["d"]) & (held["text_hash"] == asked["th"]))
+    both = both.select("doc_id", "text_hash", "asked", "text")
 
     def run(stream):
         def rows(batch):
-            ids = (batch.column(n).to_pylist() for n in ("doc_id", "text_hash", "item_id"))
-            last, joined = None, b""
-            for doc, text_hash, item, item_text, text in zip(*ids, common.texts(batch, "item_text"), common.texts(batch)):
-                if (doc, text_hash) != last:
-                    last, joined = (doc, text_hash), b" %s " % b" ".join(words(text))
-                own = words(item_text)
-                sought = {b" %s " % b" ".join(own[i : i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)}
-                shared = sum(s in joined for s in sought)
-                if sought and shared >= needed(len(sought), containment):
-                    yield doc, text_hash, item, shared, len(sought), shared / len(sought)
+            ids = (batch.column(n).to_pylist() for n in ("doc_id", "text_hash"))
+            for doc, text_hash, asked, text in zip(*ids, batch.column("asked"), common.texts(batch)):
+                split = words(text)
+                hashes, joined = shingle_hashes(split), b" %s " % b" ".join(split)
+                for one in asked.as_py():
+                    own = words(one["item_text"].encode())
+                    least = shingle_hashes(own)
+                    if np.isin(least, hashes, assume_unique=True).sum() < needed(len(least), containment):
+                        continue
+                    sought = {b" %s " % b" ".join(own[i : i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)}
+                    shared = sum(s in joined for s in sought)
+                    if shared >= needed(len(sought), containment):
+                        yield doc, text_hash, one["set_id"], shared, len(sought), shared / len(sought)
 
         for batch in stream:
             schema = pa.schema(
-                [batch.schema.field("doc_id"), ("text_hash", pa.int64()), batch.schema.field("item_id"),
+                [batch.schema.field("doc_id"), ("text_hash", pa.int64()), ("set_id", pa.int64()),
                  ("n_shared", pa.int64()), ("n_shingles", pa.int64()), ("containment", pa.float64())]
             )
             yield from common.batches(rows(batch), schema, lambda r: 48)
 
+    kind = held.schema["doc_id"].dataType.simpleString()
     found = both.mapInArrow(
-        run,
-        f"doc_id {kinds['doc_id']}, text_hash long, item_id {kinds['item_id']}, n_shared long, n_shingles long, containment double",
-    )
-    return found.distinct()
+        run, f"doc_id {kind}, text_hash long, set_id long, n_shared long, n_shingles long, containment double"
+    ).distinct()
+    found = found.join(sets.select("set_id", "item_id").distinct(), "set_id")
+    return found.select("doc_id", "text_hash", "item_id", "n_shared", "n_shingles", "containment")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import simhash
+from brute import contained, simhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -231,11 +231,48 @@ def test_toxic_spans_and_gaps(spark):
 
 # ---- 4 -----------------------------------------------------------------------
 
-def test_no_containment_is_missed():
-    """A document that holds just enough of an item holds one of its min-hashes."""
-    for size in range(1, 60):
-        sketch, need = size - decontamination.needed(size) + 1, decontamination.needed(size)
-        assert need >= 0.8 * size and sketch + need == size + 1
+def test_no_containment_is_missed(spark):
+    """A document that holds just enough of an item holds as many of its min-hashes as it must, whichever it lacks."""
+    draw = random.Random(4)
+    names = [[f"i{i}w{w}" for w in range(size + 4)] for i, size in enumerate((1, 2, 3, 5, 9, 20, 21, 60))]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(names)], "item_id long, text string")
+    texts = []
+    for own in names:
+        for cut in range(0, len(own), max(1, len(own) // 12)):  # from either end, and a changed word
+            texts += [" ".join(own[:cut]), " ".join(own[cut:]), " ".join([*own[:cut], "x", *own[cut + 1 :]])]
+    draw.shuffle(texts)
+    rows = list(enumerate(texts))
+    found = {(r.doc_id, r.item_id) for r in decontamination.contained(docs(spark, *texts), items).collect()}
+    assert found == {r[:2] for r in contained(rows, list(enumerate(map(" ".join, names))))}
+
+
+def test_common_shingles_make_no_candidates(spark):
+    """Items and documents that share one phrase are no candidates, and items of common shingles alone are found."""
+    phrase = "choose the one right answer below"
+    items = [(i, f"{phrase} " + " ".join(f"q{i}w{w}" for w in range(20))) for i in range(300)]
+    items += [(400 + i, phrase if i < 20 else f"{phrase} of{i}") for i in range(40)]
+    texts = [f"{phrase} " + " ".join(f"d{i}w{w}" for w in range(30)) for i in range(200)] + [items[7][1], phrase]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    sketch = decontamination.sketches(decontamination.shingle_sets(table))
+    met = decontamination.candidates(docs(spark, *texts).where("doc_id < 200"), sketch.join(
+        decontamination.shingle_sets(table.where("item_id < 300")).select("set_id"), "set_id"))
+    assert met.count() == 0
+    found = {(r.doc_id, r.item_id) for r in decontamination.contained(docs(spark, *texts), table).collect()}
+    assert found == {r[:2] for r in contained(list(enumerate(texts)), items)} and (200, 7) in found and (201, 400) in found
+
+
+def test_small_items_do_not_raise_what_large_ones_are_sent(spark):
+    large = [(i, " ".join(f"l{i}w{w}" for w in range(300))) for i in range(20)]
+    small = [(100 + i, " ".join(f"s{i}w{w}" for w in range(5))) for i in range(50)]
+    bounds = [
+        decontamination.class_bounds(decontamination.sketches(decontamination.shingle_sets(
+            spark.createDataFrame(items, "item_id long, text string")))) for items in (large, large + small)
+    ]
+    assert len(bounds[0]) == 1 and len(bounds[1]) == 2 and bounds[0].items() <= bounds[1].items()
+    frame = docs(spark, *(" ".join(f"d{d}w{w}" for w in range(2000)) for d in range(3)))
+    kind = next(iter(bounds[0]))
+    sent = [decontamination.sent_hashes(frame, b).where(F.col("size_class") == kind).count() for b in bounds]
+    assert sent[0] == sent[1] < 0.7 * 3 * 1996
 
 
 def test_decontaminate_keeps_clean_documents(spark):
