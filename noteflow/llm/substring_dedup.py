@@ -1,16 +1,20 @@
 """Substring deduplication by level-wise doubling.
 
-A window of words can occur twice only if each of its halves does. So the first level counts
-seeds, half a window long, and only windows around a seed that is repeated are extended to
-twice its length and counted again. Seeds are chosen by content: of the seeds in any window
-the one with the smallest hash is chosen (all of them, in a tie), so equal windows have an
-equal chosen seed at the same place, and about one word in ten starts a chosen seed.
+A window of words can occur twice only if each of its halves does, and their halves. So lengths
+go from ``LEAST`` words or more, doubling, to the window (35: 18, 35; 100: 25, 50, 100). Each level
+counts the seeds of its length that lie in windows still alive; windows that hold a repeated one
+live on to the next level, of twice the length, until the windows themselves are counted or none
+is left. Seeds are chosen by content: of the seeds in any window the one with the smallest hash is
+chosen (all of them, in a tie), so equal windows have an equal chosen seed at the same place, and
+of 18 words about one word in ten starts a chosen seed. Levels below ``LEAST`` would keep nearly
+everything alive and cost a shuffle each.
 
 Counting folds before its shuffle and gathers nothing, so a passage that very many documents
-share costs no more than any other. At the second level nearly all windows are repeated,
+share costs no more than any other. At the last level nearly all windows are repeated,
 so what comes back to the documents are the windows that are not. Documents are partitioned
-once; the plan uses that exchange for both the second level and the removal. Hashes have 64
-bits, a window counts as repeated if it agrees with another in two of them.
+once; the plan uses that exchange for both the last level and the removal. A collision of seeds'
+64-bit hashes keeps a window alive, no more. Windows count as repeated if they agree in two
+independent hashes of 96 bits in all: among 10^13 windows one false pair is expected in a thousand corpora.
 
 Defined results: words are runs of anything but ASCII white space, unchanged. A NULL text has
 no words. Rows that are equal in id and text are two documents like any others, so windows
@@ -28,6 +32,16 @@ from ..sources.work import written
 from . import common
 
 WINDOW = 35
+#: No level has shorter seeds, unless the window is shorter.
+LEAST = 16
+
+
+def levels(window: int, least: int = LEAST) -> list[int]:
+    """Lengths, ascending to ``window``, each at most twice the one before."""
+    found = [window]
+    while (found[0] + 1) // 2 >= least:
+        found.insert(0, (found[0] + 1) // 2)
+    return found
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,17 +59,33 @@ def _longer(hashes: np.ndarray, now: int, wanted: int) -> np.ndarray:
     return _mix(hashes[: len(hashes) - step], hashes[step:])
 
 
-def seed_hashes(words: list[bytes], seed: int) -> np.ndarray:
-    """The hash of each run of ``seed`` words."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    hashes, now = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), 1
-    while now < seed:
-        wanted = min(2 * now, seed)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """The hash of each run of ``length`` words, from the words' own; empty if there are fewer."""
+    if len(hashes) < length:
+        return hashes[:0]
+    now = 1
+    while now < length:
+        wanted = min(2 * now, length)
         hashes, now = _longer(hashes, now, wanted), wanted
     return hashes
 
 
+def seed_hashes(words: list[bytes], seed: int) -> np.ndarray:
+    """The hash of each run of ``seed`` words."""
+    return run_hashes(word_hashes(words), seed)
+
+
+def window_checks(hashes: np.ndarray, window: int) -> np.ndarray:
+    """32 further bits of each window, whose own words' hashes are others."""
+    return (run_hashes(_mix(hashes, ~hashes), window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
     now = 1
     while now < size:
@@ -77,74 +107,153 @@ def _numbers(kind: pa.DataType, arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values).cast(kind))
 
 
-def _seeds(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, text_hash, n_words, seeds, places`` of every text with a window."""
+def _seeds(docs: DataFrame, window: int, lengths: list[int]) -> DataFrame:
+    """``doc_id, text_hash, n_words`` of every text with a window, and ``seeds_l, places_l`` of each length."""
     held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    seed = (window + 1) // 2
+    names = ["doc_id", "text_hash", "n_words", *(f"{n}_{l}" for l in lengths for n in ("seeds", "places"))]
 
     def run(stream):
-        def sent(batch, taken, counts, seeds, places):
+        def sent(batch, taken, counts, found):
             columns = [batch.column(n).take(pa.array(taken)) for n in ("doc_id", "text_hash")]
-            lists = [pa.array(counts, pa.int32()), _numbers(pa.int64(), seeds), _numbers(pa.int32(), places)]
-            return pa.RecordBatch.from_arrays([*columns, *lists], ["doc_id", "text_hash", "n_words", "seeds", "places"])
+            lists = []
+            for l in range(len(lengths)):
+                lists += [_numbers(pa.int64(), [f[l][0] for f in found]), _numbers(pa.int32(), [f[l][1] for f in found])]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), *lists], names)
 
         for batch in stream:
-            taken, counts, seeds, places, size = [], [], [], [], 0
+            taken, counts, found, size = [], [], [], 0
             for at, text in enumerate(common.texts(batch)):
                 words = (text or b"").split()
                 if len(words) < window:
                     continue
-                hashes = seed_hashes(words, seed)
-                own = chosen(hashes, window - seed + 1)
+                own, now, each = word_hashes(words), 1, []
+                for l in lengths:
+                    own, now = run_hashes(own, l) if now == 1 else _longer(own, now, l), l
+                    places = chosen(own, window - l + 1)
+                    each.append((own[places].view(np.int64), places))
+                    size += len(places)
                 taken.append(at)
                 counts.append(len(words))
-                seeds.append(hashes[own].view(np.int64))
-                places.append(own)
-                size += len(own)
+                found.append(each)
                 if size > 1 << 18:
-                    yield sent(batch, taken, counts, seeds, places)
-                    taken, counts, seeds, places, size = [], [], [], [], 0
+                    yield sent(batch, taken, counts, found)
+                    taken, counts, found, size = [], [], [], 0
             if taken:
-                yield sent(batch, taken, counts, seeds, places)
+                yield sent(batch, taken, counts, found)
 
     kind = held.schema["doc_id"].dataType.simpleString()
-    return held.mapInArrow(run, f"doc_id {kind}, text_hash long, n_words int, seeds array<long>, places array<int>")
+    lists = "".join(f", seeds_{l} array<long>, places_{l} array<int>" for l in lengths)
+    return held.mapInArrow(run, f"doc_id {kind}, text_hash long, n_words int{lists}")
+
+
+def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending numbers as ranges ``[from, to)``."""
+    cut = np.flatnonzero(np.diff(starts) > 1)
+    if not len(starts):
+        return starts, starts
+    return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + 1
+
+
+def _spread(froms: pa.Scalar, tos: pa.Scalar, count: int) -> np.ndarray:
+    """Whether each of ``count`` starts lies in one of the ranges."""
+    marks = np.zeros(count + 1, np.int32)
+    marks[froms.values.to_numpy()] += 1
+    marks[tos.values.to_numpy()] -= 1
+    return np.cumsum(marks[:-1]) > 0
+
+
+def _alive(window: int, length: int):
+    """Column function: the ranges of starts alive whose windows hold a seed of ``length`` at one of ``places``."""
+
+    @F.arrow_udf("struct<froms: array<int>, tos: array<int>>")
+    def ranges(places: pa.Array, n_words: pa.Array, froms: pa.Array, tos: pa.Array) -> pa.Array:
+        first, last = [], []
+        for own, n, f, t in zip(places, n_words.to_pylist(), froms, tos):
+            at = own.values.to_numpy()
+            count = n - window + 1
+            marks = np.zeros(count + 1, np.int32)
+            np.add.at(marks, np.maximum(at - (window - length), 0), 1)
+            np.add.at(marks, np.minimum(at + 1, count), -1)
+            a, b = _runs(np.flatnonzero((np.cumsum(marks[:-1]) > 0) & _spread(f, t, count)))
+            first.append(a)
+            last.append(b)
+        return pa.StructArray.from_arrays([_numbers(pa.int32(), first), _numbers(pa.int32(), last)], ["froms", "tos"])
+
+    return ranges
+
+
+def _within(window: int, length: int):
+    """Column function: the seeds of ``length`` that lie in a window alive."""
+
+    @F.arrow_udf("array<struct<seed: bigint, place: int>>")
+    def near(seeds: pa.Array, places: pa.Array, n_words: pa.Array, froms: pa.Array, tos: pa.Array) -> pa.Array:
+        ends, kept, at = [0], [], []
+        for own, place, n, f, t in zip(seeds, places, n_words.to_pylist(), froms, tos):
+            count, p = n - window + 1, place.values.to_numpy()
+            before = np.concatenate([[0], np.cumsum(_spread(f, t, count))])
+            stays = before[np.minimum(p + 1, count)] > before[np.maximum(p - (window - length), 0)]
+            kept.append(own.values.to_numpy()[stays])
+            at.append(p[stays])
+            ends.append(ends[-1] + len(at[-1]))
+        flat = [pa.array(np.concatenate(x)) if x else pa.array([], k) for x, k in ((kept, pa.int64()), (at, pa.int32()))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["seed", "place"]))
+
+    return near
+
+
+def survivors(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """``doc_id, text_hash, row, n_words, froms, tos``: ranges of starts of windows alive after all levels of seeds."""
+    lengths = levels(window, least)[:-1]
+    alive = _seeds(docs, window, lengths).withColumn("row", F.monotonically_increasing_id())
+    alive = written(
+        alive.withColumns({"froms": F.array(F.lit(0)), "tos": F.array(F.col("n_words") - (window - 1))}), "seeds"
+    )
+    for length in lengths:
+        names = [f"seeds_{length}", f"places_{length}"]
+        inside = F.arrays_zip(*names) if length == lengths[0] else _within(window, length)(*names, "n_words", "froms", "tos")
+        each = alive.select("row", F.inline(inside)).toDF("row", "seed", "place")
+        # grouped by a zero beside the seed, so that the join deals both sides anew and a seed that
+        # very many documents share can be split
+        twice = each.groupBy("seed", F.col("seed") % 1).count().where("count > 1").select("seed")
+        found = each.join(twice, "seed").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        alive = alive.drop(*names).join(found, "row")
+        alive = alive.withColumn("ranges", _alive(window, length)("places", "n_words", "froms", "tos"))
+        alive = alive.withColumns({n: F.col(f"ranges.{n}") for n in ("froms", "tos")}).drop("places", "ranges")
+        alive = alive.where(F.size("froms") > 0)
+        if length != lengths[-1]:
+            alive = written(alive, f"alive-{length}")
+            if alive.isEmpty():
+                break
+    # rows equal in id and text have the same ranges
+    rest = ("n_words", "froms", "tos")
+    folded = alive.groupBy("doc_id", "text_hash").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in rest))
+    return written(folded, "survivors")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """``hash, row, start``: every window around a repeated seed (``places``)."""
-    seed = (window + 1) // 2
+    """``hash, check, row, start``: every window that starts in ``froms`` to ``tos``."""
 
     def run(stream):
+        def sent(parts):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["hash", "check", "row", "start"])
+
         for batch in stream:
-            rows, starts, hashes, size = [], [], [], 0
-            for row, places, text in zip(batch.column("row").to_pylist(), batch.column("places"), common.texts(batch)):
-                own = _longer(seed_hashes(text.split(), seed), seed, window)
-                at = _starts(places.values.to_numpy(), len(own), window)
-                rows.append(np.full(len(at), row))
-                starts.append(at.astype(np.int32))
-                hashes.append(own[at].view(np.int64))
+            parts, size = [], 0
+            columns = (batch.column("row").to_pylist(), batch.column("froms"), batch.column("tos"), common.texts(batch))
+            for row, froms, tos, text in zip(*columns):
+                words = word_hashes(text.split())
+                own = run_hashes(words, window)
+                at = np.flatnonzero(_spread(froms, tos, len(own)))
+                checks = window_checks(words, window)
+                parts.append((own[at].view(np.int64), checks[at], np.full(len(at), row), at.astype(np.int32)))
                 size += len(at)
                 if size > 1 << 18:
-                    yield _three(hashes, rows, starts)
-                    rows, starts, hashes, size = [], [], [], 0
-            if rows:
-                yield _three(hashes, rows, starts)
+                    yield sent(parts)
+                    parts, size = [], 0
+            if parts:
+                yield sent(parts)
 
-    return docs.select("row", "places", "text").mapInArrow(run, "hash long, row long, start int")
-
-
-def _three(hashes, rows, starts) -> pa.RecordBatch:
-    columns = [pa.array(np.concatenate(x)) for x in (hashes, rows, starts)]
-    return pa.RecordBatch.from_arrays(columns, ["hash", "row", "start"])
-
-
-def _starts(places: np.ndarray, count: int, window: int) -> np.ndarray:
-    """Starts of the windows, ``count`` in all, that hold a seed at one of ``places``."""
-    marks = np.zeros(count + 1, np.int32)
-    np.add.at(marks, np.maximum(places - (window - (window + 1) // 2), 0), 1)
-    np.add.at(marks, np.minimum(places + 1, count), -1)
-    return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+    return docs.select("row", "froms", "tos", "text").mapInArrow(run, "hash long, check int, row long, start int")
 
 
 def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -155,37 +264,30 @@ def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return keyed.join(renamed, same, how)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """``doc_id, text_hash, begins, ends``: word ranges that repeated windows cover, merged."""
-    seeded = written(_seeds(docs, window).withColumn("row", F.monotonically_increasing_id()), "seeds")
-    each = seeded.select("row", F.inline(F.arrays_zip("seeds", "places"))).toDF("row", "seed", "place")
-    # grouped by a hash beside the seed, so that the join deals both sides anew and a seed that
-    # very many documents share can be split
-    twice = each.groupBy("seed", F.xxhash64("seed")).count().where("count > 1").select("seed")
-    found = each.join(twice, "seed").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    named = found.join(seeded.select("row", "doc_id", "text_hash", "n_words"), "row")
-    # rows equal in id and text have the same places
-    named = named.groupBy("doc_id", "text_hash").agg(F.min("row").alias("row"), F.first("places").alias("places"), F.first("n_words").alias("n_words"))
-    around = written(named, "repeated-seeds")
-
+    if window < 1:
+        raise ValueError("a window has one word at least")
+    around = survivors(docs, window, least)
     windows = _windows(_marked(docs, around, "inner"), window)
-    once = windows.groupBy("hash").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("start").alias("start"))
+    once = windows.groupBy("hash", "check").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("start").alias("start"))
     once = once.where("n = 1").groupBy("row").agg(F.collect_list("start").alias("single"))
     seen = around.join(once, "row", "left")
 
     @F.arrow_udf("struct<begins: array<int>, ends: array<int>>")
-    def spans(places: pa.Array, single: pa.Array, n_words: pa.Array) -> pa.Array:
+    def spans(froms: pa.Array, tos: pa.Array, single: pa.Array, n_words: pa.Array) -> pa.Array:
         begins, ends = [], []
-        for own, lost, n in zip(places, single, n_words.to_pylist()):
-            at = _starts(own.values.to_numpy(), n - window + 1, window)
+        for f, t, lost, n in zip(froms, tos, single, n_words.to_pylist()):
+            stays = _spread(f, t, n - window + 1)
             if lost.is_valid:
-                at = np.setdiff1d(at, lost.values.to_numpy(), assume_unique=True)
+                stays[lost.values.to_numpy()] = False
+            at = np.flatnonzero(stays)
             cut = np.flatnonzero(np.diff(at) > window)
             begins.append(at[np.concatenate([[0], cut + 1])] if len(at) else at)
             ends.append(at[np.concatenate([cut, [len(at) - 1]])] + window if len(at) else at)
         return pa.StructArray.from_arrays([_numbers(pa.int32(), begins), _numbers(pa.int32(), ends)], ["begins", "ends"])
 
-    covered = seen.select("doc_id", "text_hash", spans("places", "single", "n_words").alias("spans"))
+    covered = seen.select("doc_id", "text_hash", spans("froms", "tos", "single", "n_words").alias("spans"))
     return covered.select("doc_id", "text_hash", "spans.*")
 
 

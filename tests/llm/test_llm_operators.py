@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from brute import contained, simhash
+from brute import substring_dedup as substring_brute
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -182,6 +183,29 @@ def test_equal_windows_share_a_chosen_seed(n):
             assert {i + int(k) for k in np.flatnonzero(window == window.min())} <= chosen
 
 
+@pytest.mark.parametrize(("window", "least"), [(1, 16), (8, 16), (35, 16), (35, 5), (100, 16)])
+def test_windows_of_any_length(spark, window, least):
+    """The level loop removes what brute force removes, whatever the number of levels."""
+    lengths = substring_dedup.levels(window, least)
+    assert lengths[-1] == window and all(b <= 2 * a for a, b in zip(lengths, lengths[1:]))
+    draw = random.Random(window)
+    words = [f"w{i}" for i in range(40)]
+    passages = [[draw.choice(words) + str(draw.randrange(1, 4) if n else "") for _ in range(n + 30)] for n in (5, 30, 70, 120, 200)]
+    texts: list[str | None] = [None, "", "a a a a a a a a a a a a a a a"]
+    for _ in range(25):
+        own = []
+        for _ in range(draw.randrange(1, 4)):
+            passage = draw.choice(passages)
+            a, b = sorted(draw.sample(range(len(passage) + 1), 2))
+            own += [*passage[a:b], *(str(draw.randrange(10**6)) for _ in range(draw.randrange(0, 3)))]
+        texts.append(" ".join(own))
+    held = docs(spark, *texts)
+    found = substring_dedup.remove(held, substring_dedup.repeated_spans(held, window, least)).collect()
+    expected = {d: (n, gone) for d, n, gone, _ in substring_brute(list(enumerate(texts)), window)}
+    assert {r.doc_id: (r._n_words, r._n_removed) for r in found} == expected
+    assert window == 100 or any(gone for _, gone in expected.values())
+
+
 # ---- 3, 10 -------------------------------------------------------------------
 
 def test_language_of_held_out_documents(spark):
