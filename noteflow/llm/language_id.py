@@ -10,6 +10,11 @@ The model is fitted on a bounded sample: ``SAMPLE_ROWS`` labelled rows in all, s
 evenly over the ``LANGUAGES`` most frequent languages, taken by a hash of their id among
 rows of 1 to ``SAMPLE_CHARACTERS`` characters, whole. Every document is scored whole.
 
+A text is accepted if enough of its distinct 3-grams are familiar: known from half of the sample's
+rows of the language predicted. Enough is ``LEAST_FAMILIAR``, or what all but one in a hundred of the
+other half's rows reach where that is less, so a language with few rows loses no more. The rule looks
+at one language alone, so it does not depend on how many there are.
+
 Defined results: a NULL text or one without a letter is ``und`` with score 0; so is every
 text when there is nothing to learn from. Rows with a NULL id, text or language teach
 nothing. Rows stay one to one, repeated or not; other columns do not matter.
@@ -17,11 +22,11 @@ nothing. Rows stay one to one, repeated or not; other columns do not matter.
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +40,16 @@ LANDMARKS = 128
 RIDGE = 1e-3
 FOLDS, HELD_OUT = 5, 0
 UNDETERMINED = "und"
-#: Below it a text is taken for none of the learned languages (0.5: as near to one as to the rest).
-LEAST_SCORE = 0.3
+#: A text with a smaller share of familiar 3-grams is taken for none of the learned languages.
+LEAST_FAMILIAR = 0.5
 #: Documents scored by one matrix product.
 BLOCK = 64
 
-_OTHERS = re.compile(r"[\W\d_]+")
+_OTHERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str | None) -> str:
-    """Lower-cased letters, anything between them as one space; empty without a letter."""
+    """Lower-cased letters with their marks, anything between them as one space; empty without a letter."""
     kept = _OTHERS.sub(" ", (text or "").lower()).strip()
     return f" {kept} " if any(map(str.isalpha, kept)) else ""
 
@@ -62,12 +67,21 @@ def grams(text: str) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """``grams[n]`` are the landmarks' n-grams, ``present[n]`` who has them, scaled."""
+    """``grams[n]`` are the landmarks' n-grams, ``present[n]`` who has them, scaled.
+
+    ``familiar`` holds a language's 3-grams, ``least`` the share of a text's that must be among them.
+    """
 
     languages: list[str]
     grams: list[np.ndarray]
     present: list[np.ndarray]
     weights: np.ndarray
+    familiar: list[np.ndarray] = field(default_factory=list)
+    least: list[float] = field(default_factory=list)
+
+    def familiarity(self, own: list[np.ndarray], language: int) -> float:
+        """The share of a text's distinct 3-grams that are the language's; 1 for a text of fewer than three characters."""
+        return share_known(own[-1], self.familiar[language])
 
     def kernel(self, block: list[list[np.ndarray]]) -> np.ndarray:
         """Texts by landmarks, with a last column of ones."""
@@ -86,6 +100,22 @@ class Model:
         return np.clip((self.kernel(block) @ self.weights + 1) / 2, 0, 1)
 
 
+def share_known(own: np.ndarray, known: np.ndarray) -> float:
+    """The share of ``own`` in ``known``, both sorted; 1 if there is nothing to compare."""
+    if not len(own):
+        return 1.0
+    if not len(known):
+        return 0.0
+    return float((known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own).mean())
+
+
+def _familiar(held: list[list[np.ndarray]]) -> tuple[np.ndarray, float]:
+    """A language's 3-grams from every other of its texts, and the share that nearly all the rest reach."""
+    known = np.unique(np.concatenate([g[-1] for g in held[::2]]))
+    reached = [share_known(g[-1], known) for g in held[1::2]]
+    return known, min(LEAST_FAMILIAR, float(np.quantile(reached, 0.01, method="lower"))) if reached else LEAST_FAMILIAR
+
+
 def train(rows: list[tuple[str, str]]) -> Model | None:
     """A model from ``(lang, text)`` rows; None without a usable row."""
     held = [(lang, grams(kept)) for lang, text in rows if (kept := letters(text))]
@@ -110,6 +140,10 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
     target = np.array([[1.0 if lang == l else -1.0 for l in languages] for lang, _ in held])
     normal = seen.T @ seen + RIDGE * len(held) * among + 1e-6 * len(held) * np.eye(len(among))
     model.weights = np.linalg.solve(normal, seen.T @ target).astype(np.float32)
+    for language in languages:
+        known, least = _familiar([g for lang, g in held if lang == language])
+        model.familiar.append(known)
+        model.least.append(least)
     return model
 
 
@@ -133,7 +167,8 @@ def fit(docs: DataFrame) -> Model | None:
         limit = F.when(F.col("lang") == r["lang"], F.lit(int(scale * min(1.0, 1.2 * share / r["count"])))).otherwise(limit)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
     sample = usable.where(place <= limit).select("lang", "text", place.alias("place"))
-    rows = sorted(sample.limit(2 * SAMPLE_ROWS + 10 * len(counts)).collect(), key=lambda r: (r["place"], r["text"]))
+    # by hash, so that repeated ids or a retry choose no other rows
+    rows = sample.orderBy("place", "text", "lang").limit(2 * SAMPLE_ROWS + 10 * len(counts)).collect()
     taken: dict[str, int] = {}
     chosen = []
     for r in rows:
@@ -143,15 +178,17 @@ def fit(docs: DataFrame) -> Model | None:
     return train(chosen)
 
 
-def _judged(batch: pa.RecordBatch, model: Model | None) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text of a batch, ``BLOCK`` texts at a time."""
-    names, scores = [UNDETERMINED] * len(batch), np.zeros(len(batch))
+def _judged(batch: pa.RecordBatch, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text of a batch, and whether it is accepted, ``BLOCK`` texts at a time."""
+    names, scores, stays = [UNDETERMINED] * len(batch), np.zeros(len(batch)), np.zeros(len(batch), bool)
     at: list[int] = []
     block: list[list[np.ndarray]] = []
 
     def flush():
-        for place, own in zip(at, model.score(block)):
-            names[place], scores[place] = model.languages[own.argmax()], own.max()
+        for place, grammed, own in zip(at, block, model.score(block)):
+            best = own.argmax()
+            names[place], scores[place] = model.languages[best], own[best]
+            stays[place] = model.familiarity(grammed, best) >= model.least[best]
         at.clear()
         block.clear()
 
@@ -164,7 +201,7 @@ def _judged(batch: pa.RecordBatch, model: Model | None) -> tuple[list[str], np.n
                 flush()
     if block:
         flush()
-    return names, scores
+    return names, scores, stays
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -173,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(stream):
         for batch in stream:
-            names, scores = _judged(batch, model)
+            names, scores, _ = _judged(batch, model)
             columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
@@ -181,14 +218,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return held.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` whose language is one of the learned ones with a score of ``least`` or more."""
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` whose text is familiar enough in the language predicted for it."""
 
     def run(stream):
         for batch in stream:
-            names, scores = _judged(batch, model)
-            stays = (scores >= least) & np.array([n != UNDETERMINED for n in names], bool)
-            yield batch.filter(pa.array(stays, pa.bool_()))
+            yield batch.filter(pa.array(_judged(batch, model)[2], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -231,10 +231,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     scale = 1 << 40
     part = {k: min(1.0, SAMPLE_ROWS / max(counts.get(k, 0), 1)) for k in (0, 1)}
     limit = F.when(F.col("toxic") == 1, F.lit(int(scale * part[1]))).otherwise(F.lit(int(scale * part[0])))
-    sample = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) <= limit).limit(3 * SAMPLE_ROWS)
+    sample = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) <= limit)
+    # by hash, so that repeated ids or a retry choose no other rows
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(3 * SAMPLE_ROWS)
     # bounded by the sample, so the documents stay where they are
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARACTERS))
-    rows = texts.join(F.broadcast(sample), "doc_id").limit(4 * SAMPLE_ROWS).collect()
+    rows = texts.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "toxic").limit(4 * SAMPLE_ROWS).collect()
     rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows)
     return train([(toxic, text) for _, toxic, text in rows], (part[0], part[1]))
 

@@ -223,8 +223,44 @@ def test_letterless_and_foreign_texts(spark):
     found = {r.doc_id: r for r in language_id.predict(asked, model).collect()}
     assert [found[i].lang_pred for i in range(5)] == ["und", "und", "und", "en", "de"]
     assert language_id.predict(asked, None).where("lang_pred <> 'und'").count() == 0
+    assert language_id.accepted(asked, None).count() == 0
     stays = {r.doc_id for r in language_id.accepted(asked.withColumn("score", F.lit(1)), model).collect()}
-    assert {3, 4} <= stays and not stays & {0, 1, 2}
+    assert stays == {3, 4}
+
+
+FOREIGN = (
+    "Türkiye'nin en kalabalık şehri İstanbul olup ülkenin ekonomik ve kültürel merkezidir",
+    "Москва является столицей России и крупнейшим городом",
+    "漢字だけの文章です",
+    "xkcd qwrtp zxcvb mnbvc lkjhg fdsqp wrtpz",
+    "Helsinki on Suomen pääkaupunki ja suurin kaupunki, jossa asuu paljon ihmisiä",
+    "asdf jkl qwer uiop zxcv",
+    "Warszawa jest stolicą Polski i największym miastem",
+)
+
+
+@pytest.mark.parametrize("languages", [("en", "de"), ("en", "de", "fr", "es")])
+def test_foreign_texts_go_and_held_out_ones_stay(spark, languages):
+    """Whatever the number of languages."""
+    held = common.table(spark, "/root/testdata/sf0.01", "documents").where(F.col("lang").isin(*languages))
+    model = language_id.fit(held)
+    assert language_id.accepted(docs(spark, *FOREIGN), model).count() == 0
+    out = held.where(language_id.held_out() & F.col("text").rlike("[A-Za-z]"))
+    stays = language_id.accepted(out, model)
+    assert stays.columns == held.columns and stays.count() >= 0.98 * out.count() > 50
+
+
+def test_kernel_of_plain_python():
+    """Kernel values are shared n-grams over the geometric mean of both counts, averaged over the lengths."""
+    rows = [("hi", "नमस्ते दुनिया यह"), ("en", "the cat and the hat"), ("en", "a dog, 3 hats"), ("hi", "यह एक घर है")]
+    model = language_id.train(rows)
+    assert language_id.letters("नमस्ते 3 The") == " नमस्ते the "
+    sets = lambda text: [{text[i : i + n] for i in range(len(text) - n + 1)} for n in (1, 2, 3)]
+    marks = [sets(language_id.letters(t)) for lang in ("en", "hi") for own, t in rows if own == lang]
+    for asked in ("the other cat", "x", "एक the"):
+        text = language_id.letters(asked)
+        plain = [sum(len(a & b) / (len(a) * len(b)) ** 0.5 for a, b in zip(sets(text), m)) / 3 for m in marks]
+        assert np.allclose(model.kernel([language_id.grams(text)])[0], [*plain, 1], atol=1e-6)
 
 
 def test_toxicity_of_held_out_documents(spark):
