@@ -28,6 +28,20 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened alike until no column of ``df`` has one of them, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(f"{n}_" for n in names)
+    return list(names)
+
+
+def unused(df: DataFrame, names: Iterable[str]) -> None:
+    """Refuse names of new columns that ``df`` has already."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns {sorted(clash)} exist already, give other names")
+
+
 def once(key: tuple, build: Callable[[], object]):
     """``build()``, kept for all later tasks of the same Python worker.
 

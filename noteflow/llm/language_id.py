@@ -178,7 +178,7 @@ def fit(docs: DataFrame) -> Model | None:
     return train(chosen)
 
 
-def _judged(batch: pa.RecordBatch, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _judged(batch: pa.RecordBatch, model: Model | None, column: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language and score of each text of a batch, and whether it is accepted, ``BLOCK`` texts at a time."""
     names, scores, stays = [UNDETERMINED] * len(batch), np.zeros(len(batch)), np.zeros(len(batch), bool)
     at: list[int] = []
@@ -192,7 +192,7 @@ def _judged(batch: pa.RecordBatch, model: Model | None) -> tuple[list[str], np.n
         at.clear()
         block.clear()
 
-    for place, text in enumerate(common.texts(batch)):
+    for place, text in enumerate(common.texts(batch, column)):
         kept = letters(text.decode()) if text and model else ""
         if kept:
             at.append(place)
@@ -220,12 +220,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` whose text is familiar enough in the language predicted for it."""
+    # columns by place while in Arrow: names may hold dots
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = f"c{docs.columns.index('text')}"
 
     def run(stream):
         for batch in stream:
-            yield batch.filter(pa.array(_judged(batch, model)[2], pa.bool_()))
+            yield batch.filter(pa.array(_judged(batch, model, text)[2], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,8 +148,12 @@ def keep_bitmaps(
     return per_row.select("doc_id", "text_hash", bitmap("lines").alias("keep"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the lines gone, and ``n_lines`` (before) and ``n_dropped``; NULL texts stay NULL."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, names: tuple[str, ...] = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """``docs`` with the lines gone, and two counts under ``names``: lines before, and dropped; NULL texts stay NULL.
+
+    Without names there are no counts; a name that ``docs`` has already is an error.
+    """
+    common.unused(docs, names)
 
     @F.arrow_udf("struct<text: string, n_lines: bigint, n_dropped: bigint>")
     def cut(text: pa.Array, keep: pa.Array) -> pa.Array:
@@ -171,16 +175,18 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         parts = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())]
         return pa.StructArray.from_arrays(parts, ["text", "n_lines", "n_dropped"])
 
-    marks = bitmaps.toDF("_mark_doc", "_mark_text", "_mark_keep")
-    same = docs["doc_id"].eqNullSafe(marks["_mark_doc"]) & (F.xxhash64(docs["text"]) == marks["_mark_text"])
-    joined = docs.join(marks, same, "left").withColumn("_mark_cut", cut(docs["text"], F.col("_mark_keep")))
-    own = [F.col("_mark_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*own, F.col("_mark_cut.n_lines").alias("_n_lines"), F.col("_mark_cut.n_dropped").alias("_n_dropped"))
+    of, own_text, bits, done = common.fresh(docs, "_mark_doc", "_mark_text", "_mark_keep", "_mark_cut")
+    marks = bitmaps.toDF(of, own_text, bits)
+    same = docs["doc_id"].eqNullSafe(marks[of]) & (F.xxhash64(docs["text"]) == marks[own_text])
+    joined = docs.join(marks, same, "left").withColumn(done, cut(docs["text"], F.col(bits)))
+    own = [F.col(f"{done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    counts = [F.col(f"{done}.{n}").alias(name) for n, name in zip(("n_lines", "n_dropped"), names)]
+    return joined.select(*own, *counts)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated lines, same columns, same rows."""
-    return apply_bitmaps(docs, keep_bitmaps(docs)).drop("_n_lines", "_n_dropped")
+    return apply_bitmaps(docs, keep_bitmaps(docs), names=())
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ such words differ.
 Range join: the coordinates are cut into ``BANDS`` bands. Points within distance ``RADIUS``
 agree wholly in ``BANDS - RADIUS`` bands at least, so every choice of that many bands is a
 grid whose cells bring all such pairs together. In a cell the Manhattan distance is tested
-first, then the fingerprints exactly. A cell of ``CELL`` fingerprints or fewer is one unit of
+first, then the fingerprints exactly. More bands make smaller cells and more grids; their number
+follows the counted fingerprints, ``BANDS`` at least (up to some 10^7 of them). A cell of ``CELL`` fingerprints or fewer is one unit of
 work; a larger one is cut into parts, and each pair of parts is a unit. A unit returns a
 spanning forest of its links and never its pairs. Equal fingerprints are folded beforehand.
 
@@ -21,6 +22,7 @@ component of rows that all lack an id is NULL.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ from .components import components
 
 SHINGLE = 4
 RADIUS = 4
-BANDS = 6
+BANDS, MOST_BANDS = 6, 16
 CELL = 8192
+#: Comparisons that take as long as dealing one fingerprint to a cell.
+DEAL = 200
 SEED = 42
 
 
@@ -80,6 +84,20 @@ def popcounts(bits: Column) -> Column:
     return F.shiftleft(upper.bitwiseAND(lower), 1).bitwiseOR(upper.bitwiseOR(lower))
 
 
+def bands_for(count: int, radius: int = RADIUS) -> int:
+    """The number of bands that makes the least work of ``count`` fingerprints.
+
+    Two random points agree in a two-bit segment with probability 3/8; a grid compares the pairs
+    that agree in all segments of ``bands - radius`` bands.
+    """
+
+    def work(bands: int) -> float:
+        met = 0.375 ** (32 * (bands - radius) / bands)
+        return comb(bands, radius) * (DEAL * count + count * count / 2 * met)
+
+    return min(range(max(BANDS, radius + 1), max(MOST_BANDS, radius + 2) + 1), key=work)
+
+
 def grid_masks(radius: int = RADIUS, bands: int = BANDS) -> list[int]:
     """The bits of each choice of ``bands - radius`` bands, as signed 64-bit values."""
     cuts = [2 * round(32 * i / bands) for i in range(bands + 1)]
@@ -171,18 +189,22 @@ def _points(bits: np.ndarray) -> np.ndarray:
     return ((upper & lower) << np.uint64(1)) | upper | lower
 
 
-def classes(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
+def classes(docs: DataFrame, radius: int = RADIUS, bands: int | None = None) -> DataFrame:
     """``doc_id, text_hash, bits, root, component_id``: every row with the smallest id it is linked to.
 
     ``root``, the component's smallest fingerprint, tells components apart; ids need not.
     """
     marked = written(fingerprints(docs), "fingerprints")
+    if bands is None:
+        bands = bands_for(marked.agg(F.approx_count_distinct("bits")).first()[0], radius)
     distinct = marked.groupBy("bits").agg(F.min("doc_id").alias("smallest"))
     rooted = components(links(distinct.select("bits"), radius, bands))
     # a fingerprint without links is its own root
     of = distinct.join(rooted.withColumnRenamed("node", "bits"), "bits", "left")
-    of = of.select("bits", "smallest", F.coalesce("root", "bits").alias("root"))
-    least = of.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    of = written(of.select("bits", "smallest", F.coalesce("root", "bits").alias("root")), "roots")
+    # grouped by a zero beside the root, so that the join deals both sides anew and a root that
+    # very many fingerprints share can be split
+    least = of.groupBy("root", F.col("root") % 1).agg(F.min("smallest").alias("component_id")).select("root", "component_id")
     named = written(of.join(least, "root").select("bits", "root", "component_id"), "components")
     return marked.join(named, "bits").select("doc_id", "text_hash", "bits", "root", "component_id")
 
@@ -193,12 +215,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # by root: components may share an id, and rows without one go after all others
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     stays = found.groupBy("root").agg(first)
-    stays = stays.select(F.col("first.doc_id").alias("_stays_doc"), F.col("first.text_hash").alias("_stays_text"))
-    same = docs["doc_id"].eqNullSafe(stays["_stays_doc"]) & (F.xxhash64(docs["text"]) == stays["_stays_text"])
-    kept = docs.join(stays, same)
+    doc, text, rank = common.fresh(docs, "_stays_doc", "_stays_text", "_stays_rank")
+    stays = stays.select(F.col("first.doc_id").alias(doc), F.col("first.text_hash").alias(text))
+    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays[doc]) & (F.xxhash64(docs["text"]) == stays[text]))
     # rows equal in id and text are one document
-    order = Window.partitionBy("_stays_doc", "_stays_text").orderBy(F.lit(1))
-    kept = kept.withColumn("_stays_rank", F.row_number().over(order)).where("_stays_rank = 1")
+    kept = kept.withColumn(rank, F.row_number().over(Window.partitionBy(doc, text).orderBy(F.lit(1)))).where(f"{rank} = 1")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -257,11 +257,10 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """``docs`` with the columns of ``marks(doc_id, text_hash, ...)``, which has a row once."""
-    keyed = docs.withColumn("_own_text", F.xxhash64("text"))
-    renamed = marks.withColumnsRenamed({"doc_id": "_mark_doc", "text_hash": "_mark_text"})
-    same = keyed["doc_id"].eqNullSafe(renamed["_mark_doc"]) & (keyed["_own_text"] == renamed["_mark_text"])
-    return keyed.join(renamed, same, how)
+    """``docs`` with the columns of ``marks(doc_id, text_hash, ...)``, which has a row once; no others may be alike."""
+    doc, text = common.fresh(docs, "_mark_doc", "_mark_text")
+    renamed = marks.withColumnsRenamed({"doc_id": doc, "text_hash": text})
+    return docs.join(renamed, docs["doc_id"].eqNullSafe(renamed[doc]) & (F.xxhash64(docs["text"]) == renamed[text]), how)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
@@ -269,7 +268,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) ->
     if window < 1:
         raise ValueError("a window has one word at least")
     around = survivors(docs, window, least)
-    windows = _windows(_marked(docs, around, "inner"), window)
+    windows = _windows(_marked(docs.select("doc_id", "text"), around, "inner"), window)
     once = windows.groupBy("hash", "check").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("start").alias("start"))
     once = once.where("n = 1").groupBy("row").agg(F.collect_list("start").alias("single"))
     seen = around.join(once, "row", "left")
@@ -291,8 +290,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, least: int = LEAST) ->
     return covered.select("doc_id", "text_hash", "spans.*")
 
 
-def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the words left over as ``text``, and ``_n_words`` (before), ``_n_removed``."""
+def remove(docs: DataFrame, spans: DataFrame, names: tuple[str, ...] = ("_n_words", "_n_removed")) -> DataFrame:
+    """``docs`` with the words left over as ``text``, and two counts under ``names``: words before, and removed.
+
+    Without names there are no counts; a name that ``docs`` has already is an error.
+    """
+    common.unused(docs, names)
 
     @F.arrow_udf("struct<text: string, n_words: bigint, n_removed: bigint>")
     def cut(text: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
@@ -308,9 +311,12 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
         parts = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
         return pa.StructArray.from_arrays(parts, ["text", "n_words", "n_removed"])
 
-    joined = _marked(docs, spans, "left").withColumn("_cut", cut("text", "begins", "ends"))
-    own = [F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*own, F.col("_cut.n_words").alias("_n_words"), F.col("_cut.n_removed").alias("_n_removed"))
+    first, last, done = common.fresh(docs, "_mark_begins", "_mark_ends", "_mark_cut")
+    spans = spans.select("doc_id", "text_hash", F.col("begins").alias(first), F.col("ends").alias(last))
+    joined = _marked(docs, spans, "left").withColumn(done, cut(docs["text"], F.col(first), F.col(last)))
+    own = [F.col(f"{done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    counts = [F.col(f"{done}.{n}").alias(name) for n, name in zip(("n_words", "n_removed"), names)]
+    return joined.select(*own, *counts)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -537,3 +537,60 @@ def test_pipeline_stages_keep_columns(spark, sf_dir):
     assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[-1] > 0.7 * sizes[0]
     last = corpus_pipeline.STAGES[-1][1](spark, held, sf_dir)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in held.collect()}
+
+
+# ---- 9 -----------------------------------------------------------------------
+
+def test_bands_follow_the_number_of_fingerprints(spark):
+    chosen = [simhash_dedup.bands_for(10**k) for k in range(13)]
+    assert chosen == sorted(chosen) and chosen[0] == chosen[6] == simhash_dedup.BANDS and chosen[9] > simhash_dedup.BANDS
+    assert simhash_dedup.bands_for(10, radius=8) >= 9
+    draw = random.Random(6)
+    base = [draw.getrandbits(63) for _ in range(30)]
+    bits = sorted({b ^ sum(1 << i for i in draw.sample(range(63), draw.randrange(6))) for b in base for _ in range(6)})
+    frame = spark.createDataFrame([(b,) for b in bits], "bits long")
+    rooted = []
+    for bands in (6, 7, 9):  # the same components by any number of bands
+        found = components.components(simhash_dedup.links(frame, bands=bands, cell=16)).collect()
+        rooted.append({r.node: r.root for r in found})
+    assert rooted[0] == rooted[1] == rooted[2] and len(rooted[0]) > 30
+
+
+# ---- 2, 8, 9: columns of any name ----------------------------------------------
+
+CLASHING = (
+    "row begins ends places single n_words n_removed froms tos _cut _own_text _mark_doc _mark_text _mark_keep _MARK_CUT _mark_begins "
+    "_mark_ends _n_lines _n_dropped _n_words _n_removed _stays_doc _stays_text _Stays_Rank _stays_rank_ root bits text_hash a.b keep"
+).split()
+
+
+@pytest.mark.parametrize("name", ["substring", "line", "simhash", "decontamination", "language"])
+def test_columns_that_operators_use_pass_through(spark, name):
+    passage = "\n".join(f"this is line number {i} of the passage" for i in range(10))
+    rows = [(i, t, *(f"{c} of {i}" for c in CLASHING)) for i, t in enumerate([passage, f"{passage}\nb", f"{passage}\nb c", "other words", None])]
+    names = ", ".join(f"`{c}` string" for c in CLASHING)
+    held = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+    run = {
+        "substring": lambda: substring_dedup.remove(held, substring_dedup.repeated_spans(held), names=()),
+        "line": lambda: line_dedup.deduplicate(held),
+        "simhash": lambda: simhash_dedup.deduplicate(held),
+        "decontamination": lambda: decontamination.decontaminate(held, docs(spark, "nothing of this is there").withColumnRenamed("doc_id", "item_id")),
+        "language": lambda: language_id.accepted(held, language_id.train([("en", passage), ("en", "other words")])),
+    }[name]
+    found = run()
+    assert found.columns == held.columns
+    before = {r[0]: r[2:] for r in rows}
+    kept = found.collect()
+    assert len(kept) >= 3 and all(tuple(r)[2:] == before[r.doc_id] for r in kept)
+    if name in ("substring", "line"):
+        assert len(kept) == 5 and any(r.text != rows[r.doc_id][1] for r in kept)
+
+
+def test_names_of_counts_are_never_taken_twice(spark):
+    held = docs(spark, "a", "b").withColumn("_N_LINES", F.lit("mine")).withColumn("_n_words", F.lit("mine"))
+    with pytest.raises(ValueError, match="_n_lines"):
+        line_dedup.apply_bitmaps(held, line_dedup.keep_bitmaps(held))
+    with pytest.raises(ValueError, match="_n_words"):
+        substring_dedup.remove(held, substring_dedup.repeated_spans(held))
+    named = line_dedup.apply_bitmaps(held, line_dedup.keep_bitmaps(held), ("before", "lost")).first()
+    assert named["_N_LINES"] == "mine" and (named.before, named.lost) == (1, 0)
