@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.work import written
@@ -88,21 +88,24 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """``at, place, doc_id, text, text_hash, next_text, next_hash``: the next document by descending id.
 
-    After the last comes the first. Ranges are cut at ids of a bounded sample; ``at, place``
-    is the document's place in them.
+    After the last comes the first. Ranges are cut at ids and text hashes of a bounded sample, so
+    documents that share an id, or have none, are spread as well; ``at, place`` is the document's
+    place in them.
     """
     spark = docs.sparkSession
-    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, scale = held.count(), 1 << 40
-    keep = F.pmod(F.xxhash64("doc_id"), F.lit(scale)) <= int(scale * min(1.0, 20 * parts / max(rows, 1)))
-    ids = sorted(r[0] for r in held.where(F.col("doc_id").isNotNull() & keep).select("doc_id").limit(80 * parts).collect())
-    bounds = sorted({ids[i * len(ids) // parts] for i in range(1, parts)}) if ids else []
+    keep = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(scale)) <= int(scale * min(1.0, 20 * parts / max(rows, 1)))
+    sample = held.where(keep).select("doc_id", "text_hash").distinct().limit(80 * parts).collect()
+    keys = sorted((r[0] is not None, r[0] or 0, r[1]) for r in sample)
+    bounds = [keys[i * len(keys) // parts] for i in range(1, parts)] if keys else []
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cuts = F.array(*[F.lit(b).cast(kind) for b in bounds]) if bounds else F.array().cast(f"array<{kind}>")
-    # 0 for NULL ids, then upwards
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + F.size(F.filter(cuts, lambda b: b <= F.col("doc_id"))))
-    placed = held.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), bucket.alias("bucket"))
+    # NULL ids come first in the order of structs
+    pair = lambda known, doc, text_hash: F.struct(F.lit(doc if known else None).cast(kind).alias("doc_id"), F.lit(text_hash).cast("long").alias("text_hash"))
+    cuts = F.array(*[pair(*b) for b in sorted(set(bounds))]) if bounds else F.array().cast(f"array<struct<doc_id:{kind},text_hash:bigint>>")
+    bucket = F.size(F.filter(cuts, lambda b: b <= F.struct("doc_id", "text_hash")))
+    placed = held.withColumn("bucket", bucket)
 
     # one row per range: the document that the range above must see after its own
     heads = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "text_hash")).alias("head"))
@@ -159,6 +162,11 @@ def within_radius(asked: DataFrame, held: DataFrame, radius: int = RADIUS, block
 
 # ---- the query ---------------------------------------------------------------
 
+def _apart(rows: DataFrame, key: str) -> GroupedData:
+    """``rows`` by ``key`` and a hash of it: a join on the key deals the groups anew, so one that many rows meet can be split."""
+    return rows.groupBy(key, F.xxhash64(key).alias("_apart"))
+
+
 def compared(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, its edited text's, and how like they and the next one's are."""
     rows, key = with_next(docs), ["at", "place"]
@@ -173,18 +181,18 @@ def compared(docs: DataFrame) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
     )
     known = written(facts.join(bits, key).drop(*key), "fingerprints")
-    following = known.groupBy("text_hash").agg(F.max("bits").alias("next_bits")).withColumnRenamed("text_hash", "next_hash")
+    following = _apart(known, "text_hash").agg(F.max("bits").alias("next_bits")).select(F.col("text_hash").alias("next_hash"), "next_bits")
     return known.join(following, "next_hash")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document; for ids divisible by 100, how many documents are near."""
     known = compared(common.table(spark, sf_dir, "documents"))
-    sizes = known.groupBy("bits").agg(F.count("*").alias("size"))
+    sizes = _apart(known, "bits").agg(F.count("*").alias("size")).drop("_apart")
     asked = known.where(F.col("doc_id") % QUERIES == 0).select("bits")
     pairs = within_radius(asked, sizes)
     near = pairs.join(sizes.withColumnRenamed("bits", "found"), "found")
-    near = near.groupBy("asked").agg((F.sum("size") - 1).alias("near")).withColumnRenamed("asked", "bits")
+    near = _apart(near, "asked").agg((F.sum("size") - 1).alias("near")).select(F.col("asked").alias("bits"), "near")
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0").alias("fingerprint" if c == "bits" else "edited_fingerprint")
     return known.join(near, "bits", "left").select(
         "doc_id", "n_chars", "edited_sha256", hexed("bits"), hexed("edited_bits"),

@@ -82,6 +82,33 @@ def edited(rows):
     return out
 
 
+def term_bits(text):
+    """The fingerprint of weighted terms."""
+    w = SPACE.findall(text or "")
+    votes, total = [0] * 64, 0
+    for before, own in zip(["", *w], w):
+        h = xxhash.xxh64_intdigest(own.encode(), seed=xxhash.xxh64_intdigest(before.encode(), seed=42))
+        weight = min(len(own), 15)
+        total += weight
+        votes = [v + weight * (h >> b & 1) for b, v in enumerate(votes)]
+    return sum(1 << b for b, v in enumerate(votes) if 2 * v > total)
+
+
+def fingerprinted(rows, every=100, radius=3):
+    """``doc_id, fingerprint, edited_fingerprint, near_edited, near_next, n_near``; ids must differ."""
+    order = sorted(rows, key=lambda r: -r[0])
+    bits = [term_bits(text) for _, text in order]
+    like = lambda a, b: 1 - (a ^ b).bit_count() / 64
+    out = []
+    for k, (doc, text) in enumerate(order):
+        text, following = text or "", order[(k + 1) % len(order)][1] or ""
+        n = len(text) // 3
+        own = term_bits(text[: len(text) - n] + following[:n])
+        near = sum((bits[k] ^ b).bit_count() <= radius for b in bits) - 1 if doc % every == 0 else None
+        out.append((doc, f"{bits[k]:016x}", f"{own:016x}", like(bits[k], own), like(bits[k], bits[(k + 1) % len(order)]), near))
+    return out
+
+
 def line_dedup(rows, min_characters=20, min_documents=3):
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)

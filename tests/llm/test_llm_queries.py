@@ -6,7 +6,7 @@ import random
 
 import public_tokenizers
 import pytest
-from brute import base_licenses, byte_bpe, components, contained, edited, line_dedup, substring_dedup
+from brute import base_licenses, byte_bpe, components, contained, edited, fingerprinted, line_dedup, substring_dedup
 
 import __spark_entry__ as driver
 from noteflow.llm import license_scan, queries
@@ -127,6 +127,12 @@ def test_edited_texts(spark, distinct_ids):
     assert named(spark, "op7_fingerprints", folder, "doc_id", "n_chars", "edited_sha256") == sorted(edited(rows), key=repr)
 
 
+def test_fingerprints_and_likeness(spark, distinct_ids):
+    folder, rows = distinct_ids
+    columns = ["doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"]
+    assert named(spark, "op7_fingerprints", folder, *columns) == sorted(fingerprinted(rows), key=repr)
+
+
 @pytest.mark.parametrize("name", queries.SQL)
 def test_sql(spark, sf_dir, name):
     assert compare(spark, connect(sf_dir), name, sf_dir).startswith("equal")
