@@ -47,9 +47,39 @@ TEMPLATES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
+    ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("are made available under the terms of the eclipse public license", "epl"),
+    ("subject to the terms of the common development and distribution license", "cddl"),
+    ("in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
 )
 
-# What tells a template's license from others, by the template's text. Of the pairs one must be
+# Short license identifiers, in words as they stand behind "SPDX-License-Identifier:", and their labels.
+IDENTIFIERS = (
+    ("mit", "mit"),
+    ("apache 2 0", "apache"),
+    ("gpl 2 0", "gpl"),
+    ("gpl 3 0", "gpl"),
+    ("lgpl 2 1", "lgpl"),
+    ("lgpl 3 0", "lgpl"),
+    ("agpl 3 0", "agpl"),
+    ("bsd 2 clause", "bsd"),
+    ("bsd 3 clause", "bsd"),
+    ("isc", "isc"),
+    ("mpl 2 0", "mpl"),
+    ("epl 2 0", "epl"),
+    ("cddl 1 0", "cddl"),
+    ("zlib", "zlib"),
+    ("cc0 1 0", "cc0"),
+    ("cc by 4 0", "cc-by"),
+    ("cc by nc 4 0", "cc-by-nc"),
+    ("unlicense", "unlicense"),
+)
+_NAMED = "spdx license identifier"
+TEMPLATES += tuple((f"{_NAMED} {own}", label) for own, label in IDENTIFIERS)
+
+# What tells a sentence's license from others, by the sentence. Of the pairs one must be
 # held, where a pattern is given before words that match it; words that match ``refused`` after a pair name
 # another license. The sentences of BSD (Apache 1.1) and "you may not use this file" (CDDL) are shared word for word.
 _OTHER_CC = r"(?:share ?alike|no ?deriv)"
@@ -75,7 +105,18 @@ TELLING = {
     TEMPLATES[10][0]: {"held": {"with or": "", "or without": ""}},
     TEMPLATES[11][0]: {"held": {"the mozilla": "", "mozilla public": ""}},
     TEMPLATES[12][0]: {"held": {"and unencumbered": "", "unencumbered software": ""}},
+    TEMPLATES[13][0]: {"held": {"gnu affero": "", "affero general": ""}},
+    TEMPLATES[14][0]: {"held": {"gnu lesser": "", "lesser general": ""}},
+    TEMPLATES[15][0]: {"held": {"the eclipse": "", "eclipse public": ""}},
+    TEMPLATES[16][0]: {"held": {"common development": "", "development and": ""}},
+    TEMPLATES[17][0]: {"held": {"event will": "", "authors be": ""}},
+    TEMPLATES[18][0]: {"held": {"has waived": "", "waived all": ""}},
 }
+# An identifier names its license only if all its words follow; "MIT-0" and the like are other licenses than "MIT".
+for _own, _ in IDENTIFIERS:
+    _first, _rest = _own.partition(" ")[::2]
+    TELLING[f"{_NAMED} {_own}"] = {"held": {f"identifier {_first}": rf"^{_rest}\b" if _rest else ""}}
+TELLING[f"{_NAMED} mit"]["refused"] = {"identifier mit": r"^(?:0|modern|feh|cmu|advertising|enna)\b"}
 #: Second words of the pairs whose following words are looked at, and how many of these.
 _LOOKED_AT = sorted(
     {pair.split()[1] for own in TELLING.values() for pair in [*own.get("refused", {}), *[p for p, c in own["held"].items() if c]]}
@@ -132,15 +173,14 @@ def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, template, label, base, first_word, last_word, coverage``: verified spans."""
     found = diagonals(docs)
     key = ["doc_id", "text_hash", "template", "label", "base"]
-    base = found.where(F.col("base") & (F.size("places") == F.col("pairs")))
-    base = base.select(*key, F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("pairs")).alias("last_word"), F.lit(1.0).alias("coverage"))
-
-    voted = found.where(~F.col("base") & (F.size("places") >= VOTES) & ~F.col("refused"))
+    whole = F.col("base") & (F.size("places") == F.col("pairs"))
+    voted = found.where(whole | (~F.col("base") & (F.size("places") >= VOTES) & ~F.col("refused")))
     voted = voted.withColumn("begin", F.col("diagonal") + F.element_at("places", 1))
     voted = voted.withColumn("end", F.col("diagonal") + F.element_at("places", -1) + 1)
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("begin", "diagonal")
     apart = (F.col("begin") - F.lag("end").over(order) > GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > SHIFT)
-    voted = voted.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
+    # every place of a phrase is a span of its own
+    voted = voted.withColumn("apart", (F.col("base") | F.coalesce(apart, F.lit(True))).cast("int"))
     voted = voted.withColumn("span", F.sum("apart").over(order))
     merged = voted.groupBy(*key, "pairs", "span").agg(
         F.min("begin").alias("first_word"),
@@ -149,7 +189,7 @@ def spans(docs: DataFrame) -> DataFrame:
         F.max("tells").alias("tells"),
     )
     merged = merged.withColumn("coverage", F.col("held") / F.col("pairs")).where((F.col("coverage") >= COVERAGE) & F.col("tells"))
-    return base.union(merged.select(base.columns))
+    return merged.select(*key, "first_word", "last_word", "coverage")
 
 
 def scanned(docs: DataFrame) -> DataFrame:
