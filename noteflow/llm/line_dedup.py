@@ -1,11 +1,12 @@
 """Line deduplication by range-partitioned hashes.
 
 Each document gives one narrow row per distinct key of its lines. The rows are partitioned
-by range of (key hash, document, descending) and sorted, so a partition is a stream of keys
-whose first document is the one that keeps the line. A key that many rows share is spread
-over several ranges, since the document is part of the range; what its neighbours hold is
-told by at most two rows per partition. The result is not text but one compressed bitmap
-per document that loses lines.
+by range of (key hash, document, descending, text hash) and sorted, so a partition is a stream
+of keys whose first document is the one that keeps the line. A key that many rows share is spread
+over several ranges, since the document is part of the range, and so is one that many rows of one
+id share. A stream holds ``WAITING`` rows at most; what its neighbours hold is told by two rows per
+partition, and one per key with more waiting rows than that. Rows equal in id and text give their
+keys once per task. The result is not text but one compressed bitmap per document that loses lines.
 
 Keys: the line stripped of ASCII white space at both ends, A-Z in lower case, hashed to 128
 bits. Keys of ``MIN_CHARACTERS`` code points found in ``MIN_DOCUMENTS`` documents (distinct
@@ -31,6 +32,13 @@ from . import common
 MIN_CHARACTERS = 20
 MIN_DOCUMENTS = 3
 
+#: Rows of a key's second document held until a third document shows that they go.
+WAITING = 1024
+#: Rows whose hashes a task remembers, to pass over equal ones.
+REMEMBERED = 1 << 16
+#: Edges beyond this number are joined by a shuffle.
+BROADCAST_EDGES = 1 << 20
+
 DROPPED, PENDING, EDGE = 0, 1, 2
 
 
@@ -41,9 +49,16 @@ def line_keys(docs: DataFrame, min_characters: int = MIN_CHARACTERS) -> DataFram
     def run(stream):
         import xxhash
 
+        seen: set = set()
+
         def rows(batch):
             ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             for doc, text_hash, text in zip(ids, hashes, common.texts(batch)):
+                if (doc, text_hash) in seen:
+                    continue
+                if len(seen) == REMEMBERED:
+                    seen.clear()
+                seen.add((doc, text_hash))
                 found: dict[bytes, list[int]] = {}
                 for at, line in enumerate(text.split(b"\n")):
                     key = line.strip().lower()
@@ -66,46 +81,51 @@ def line_keys(docs: DataFrame, min_characters: int = MIN_CHARACTERS) -> DataFram
 
 
 def _decisions(keys: DataFrame, min_documents: int) -> DataFrame:
-    """Rows to drop, rows that wait for other partitions, and what other partitions must know.
+    """Rows to drop, rows that wait for other rows, and what must be known of these.
 
     ``keys`` comes sorted by key, then document, descending. Of a key that may go on beyond
-    the partition's end or began before it an ``EDGE`` row tells its number of documents here.
+    the partition's end, began before it, or has rows that are no longer held, an ``EDGE`` row
+    tells its largest and smallest document and its number of documents here.
     """
 
     def run(stream):
         def rows():
-            now, doc, count, largest, first, waiting = None, None, 0, None, True, []
+            now, doc, count, largest, told, first, waiting = None, None, 0, None, False, True, []
             for batch in stream:
                 for high, low, own, text_hash, lines in zip(*(c.to_pylist() for c in batch.columns)):
                     if (high, low) != now:
-                        if now is not None and first:
-                            yield EDGE, *now, largest, None, None, count
+                        if now is not None and (first or told):
+                            yield EDGE, *now, largest, None, None, count, doc
                         first = now is None
-                        now, count, largest, waiting = (high, low), 0, own, []
+                        now, count, largest, told, waiting = (high, low), 0, own, False, []
                     if not count or own != doc:
                         doc, count = own, count + 1
                     row = (high, low, own, text_hash, lines)
                     if first:
-                        yield PENDING, *row, None
+                        yield PENDING, *row, None, None
                     elif count >= min_documents:
                         for r in waiting:
-                            yield DROPPED, *r, None
+                            yield DROPPED, *r, None, None
                         waiting = []
-                        yield DROPPED, *row, None
+                        yield DROPPED, *row, None, None
                     elif count > 1:
                         waiting.append(row)
+                        if len(waiting) > WAITING:
+                            for r in waiting:
+                                yield PENDING, *r, None, None
+                            told, waiting = True, []
             if now is not None:
                 for r in waiting:
-                    yield PENDING, *r, None
-                yield EDGE, *now, largest, None, None, count
+                    yield PENDING, *r, None, None
+                yield EDGE, *now, largest, None, None, count, doc
 
         yield from common.batches(rows(), schema, lambda r: 64 + 4 * len(r[5] or ()))
 
     kind = keys.schema["doc_id"].dataType.simpleString()
-    declared = f"state int, high long, low long, doc_id {kind}, text_hash long, lines array<int>, documents long"
+    declared = f"state int, high long, low long, doc_id {kind}, text_hash long, lines array<int>, documents long, smallest {kind}"
     schema = pa.schema(
         [("state", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("doc_id", _arrow(keys)),
-         ("text_hash", pa.int64()), ("lines", pa.list_(pa.int32())), ("documents", pa.int64())]
+         ("text_hash", pa.int64()), ("lines", pa.list_(pa.int32())), ("documents", pa.int64()), ("smallest", _arrow(keys))]
     )
     return keys.mapInArrow(run, declared)
 
@@ -121,14 +141,20 @@ def keep_bitmaps(
 ) -> DataFrame:
     """``doc_id, text_hash, keep`` of documents that lose lines; lines past the bits stay."""
     keys = written(line_keys(docs, min_characters), "line-keys")
-    order = ["high", "low", F.desc_nulls_last("doc_id")]
+    order = ["high", "low", F.desc_nulls_last("doc_id"), "text_hash"]
     streams = keys.repartitionByRange(*order).sortWithinPartitions(*order)
     decided = written(_decisions(streams, min_documents), "line-decisions")
 
-    # at most two rows per partition, whatever the keys are
-    edges = decided.where(F.col("state") == EDGE).groupBy("high", "low")
-    edges = edges.agg(F.sum("documents").alias("all_documents"), F.max("doc_id").alias("keeper"))
-    waiting = decided.where(F.col("state") == PENDING).drop("documents").join(F.broadcast(edges), ["high", "low"])
+    # a document that goes on from one range into the next is an end of both
+    told = decided.where(F.col("state") == EDGE)
+    ends = F.array(F.struct(F.col("doc_id").alias("end")), F.struct(F.col("smallest").alias("end")))
+    edges = told.groupBy("high", "low", F.xxhash64("low").alias("apart")).agg(
+        (F.sum(F.greatest(F.col("documents") - 2, F.lit(0))) + F.size(F.array_distinct(F.flatten(F.collect_set(ends))))).alias("all_documents"),
+        F.max("doc_id").alias("keeper"),
+    ).drop("apart")
+    # the hash beside the key lets a join by shuffle deal both sides anew, so hot keys can be split
+    edges = F.broadcast(edges) if told.count() <= BROADCAST_EDGES else edges
+    waiting = decided.where(F.col("state") == PENDING).drop("documents", "smallest").join(edges, ["high", "low"])
     waiting = waiting.where((F.col("all_documents") >= min_documents) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
 
     columns = ["doc_id", "text_hash", "lines"]
