@@ -7,8 +7,9 @@ few landmark texts; on these, ridge regression fits one score per language again
 rest. Scoring a batch is two matrix products: presence by landmarks, kernel by weights.
 
 The model is fitted on a bounded sample: ``SAMPLE_ROWS`` labelled rows in all, spread
-evenly over the ``LANGUAGES`` most frequent languages, taken by a hash of their id among
-rows of 1 to ``SAMPLE_CHARACTERS`` characters, whole. Every document is scored whole.
+evenly over the languages (one row each, the most frequent first, where there are more languages
+than that), taken by a hash of id and text among distinct rows of 1 to ``SAMPLE_CHARACTERS``
+characters, whole. Landmarks need not be of every language. Every document is scored whole.
 
 A text is accepted if enough of its distinct 3-grams are familiar: known from half of the sample's
 rows of the language predicted. Enough is ``LEAST_FAMILIAR``, or what all but one in a hundred of the
@@ -27,16 +28,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 ORDERS = (1, 2, 3)
-LANGUAGES = 256
 SAMPLE_ROWS = 2000
 SAMPLE_CHARACTERS = 20_000
-LANDMARKS = 128
+#: Landmarks spread evenly over the languages, two of each at least while that makes no more than the second number.
+LANDMARKS, MOST_LANDMARKS = 128, 512
 RIDGE = 1e-3
 FOLDS, HELD_OUT = 5, 0
 UNDETERMINED = "und"
@@ -123,7 +124,11 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
         return None
     languages = sorted({lang for lang, _ in held})
     share = max(2, LANDMARKS // len(languages))
-    marks = [g for l in languages for g in [g for lang, g in held if lang == l][:share]]
+    spoken: dict[str, list] = {lang: [] for lang in languages}
+    for lang, found in held:
+        spoken[lang].append(found)
+    marks = [g for lang in languages for g in spoken[lang][:share]]
+    marks = marks[:: -(-len(marks) // MOST_LANDMARKS)]
     known = [np.unique(np.concatenate([g[n] for g in marks])) for n in range(len(ORDERS))]
     present = []
     for n, codes in enumerate(known):
@@ -141,7 +146,7 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
     normal = seen.T @ seen + RIDGE * len(held) * among + 1e-6 * len(held) * np.eye(len(among))
     model.weights = np.linalg.solve(normal, seen.T @ target).astype(np.float32)
     for language in languages:
-        known, least = _familiar([g for lang, g in held if lang == language])
+        known, least = _familiar(spoken[language])
         model.familiar.append(known)
         model.least.append(least)
     return model
@@ -158,24 +163,20 @@ def fit(docs: DataFrame) -> Model | None:
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & size.between(1, SAMPLE_CHARACTERS)
     )
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()
     if not counts:
         return None
-    share, scale = max(1, SAMPLE_ROWS // len(counts)), 1 << 40
-    limit = F.lit(-1)
-    for r in counts:
-        limit = F.when(F.col("lang") == r["lang"], F.lit(int(scale * min(1.0, 1.2 * share / r["count"])))).otherwise(limit)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
-    sample = usable.where(place <= limit).select("lang", "text", place.alias("place"))
-    # by hash, so that repeated ids or a retry choose no other rows
-    rows = sample.orderBy("place", "text", "lang").limit(2 * SAMPLE_ROWS + 10 * len(counts)).collect()
-    taken: dict[str, int] = {}
-    chosen = []
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= share:
-            chosen.append((r["lang"], r["text"]))
-    return train(chosen)
+    share, scale = SAMPLE_ROWS // len(counts), 1 << 40
+    # more than enough by chance, so that the hash's threshold leaves no language short
+    enough = 1.2 * share + 4 * share**0.5 + 8
+    limits = [(r["lang"], int(scale * min(1.0, enough / r["count"]))) for r in counts]
+    limits = F.broadcast(usable.sparkSession.createDataFrame(limits, "lang string, most long"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale))
+    sample = usable.withColumn("place", place).join(limits, "lang").where("place <= most").select("lang", "text", "place").distinct()
+    # by hash, so that a retry chooses no other rows
+    order = Window.partitionBy("lang").orderBy("place", "text")
+    rows = sample.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= share).orderBy("place", "lang", "text").collect()
+    return train([(r["lang"], r["text"]) for r in rows])
 
 
 def _judged(batch: pa.RecordBatch, model: Model | None, column: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:

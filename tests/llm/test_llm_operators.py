@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from brute import contained, simhash
+from brute import line_dedup as line_brute
 from brute import substring_dedup as substring_brute
 from pyspark.sql import functions as F
 
@@ -250,6 +252,32 @@ def test_foreign_texts_go_and_held_out_ones_stay(spark, languages):
     assert stays.columns == held.columns and stays.count() >= 0.98 * out.count() > 50
 
 
+def test_many_languages_are_all_learned(spark):
+    """More than two landmarks each would be; the words of each language are its own."""
+    draw = random.Random(3)
+    rows = []
+    for lang in range(300):
+        own = ["".join(chr(0x4E00 + 40 * lang + draw.randrange(40)) for _ in range(4)) for _ in range(30)]
+        rows += [(len(rows) + i, " ".join(draw.choices(own, k=30)), f"l{lang:03}") for i in range(12)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(held)
+    assert len(model.languages) == 300 and model.present[0].shape[1] <= language_id.MOST_LANDMARKS
+    found = language_id.predict(held, model).join(held, "doc_id").where(language_id.held_out()).collect()
+    right = np.mean([r.lang == r.lang_pred for r in found if r.lang in {model.languages[i] for i in range(0, 300, 2)}])
+    assert len(found) > 500 and right > 0.9
+
+
+def test_sample_is_bounded_and_repeatable(spark, monkeypatch):
+    """Rows that repeat one id with other texts, or repeat whole, neither swell the sample nor make it a matter of order."""
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 20)
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda rows: seen.append(rows))
+    rows = [(1 + i % 2, f"text number {i // 3} of one id", ("en", "de")[i % 2]) for i in range(3000)]
+    for parts in (1, 7):
+        language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts))
+    assert seen[0] == seen[1] and 0 < len(seen[0]) <= 20 and len(set(seen[0])) == len(seen[0])
+
+
 def test_kernel_of_plain_python():
     """Kernel values are shared n-grams over the geometric mean of both counts, averaged over the lengths."""
     rows = [("hi", "नमस्ते दुनिया यह"), ("en", "the cat and the hat"), ("en", "a dog, 3 hats"), ("hi", "यह एक घर है")]
@@ -414,8 +442,58 @@ def test_sql_of_the_license_scan_has_its_verification(spark, tmp_path):
     assert {r[0]: r[6] for r in theirs if r[0] < len(NEAR_LICENSES)} == {i: label for i, (_, label) in enumerate(NEAR_LICENSES)}
 
 
+IDENTIFIED = (
+    ("// SPDX-License-Identifier: MIT", "mit"),
+    ("# SPDX-License-Identifier: MIT-0", ""),
+    ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "apache"),
+    ("SPDX-License-Identifier: Apache-1.1", ""),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl"),
+    ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl"),
+    ("SPDX-License-Identifier: CC-BY-4.0", "cc-by"),
+    ("SPDX-License-Identifier: CC-BY-NC-4.0", "cc-by-nc"),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", ""),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+    ("SPDX-License-Identifier: Proprietary", ""),
+    ("the license identifier mit", "mit"),
+    ("redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "agpl,gpl"),
+    ("redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gpl,lgpl"),
+    ("redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
+    ("The contents of this file are subject to the terms of the Common Development and Distribution License", "cddl"),
+    ("In no event shall the authors or copyright holders be liable for any claim, damages arising from the use of the software", ""),
+    ("In no event will the authors be held liable for any damages arising from the use of this software.", "zlib"),
+)
+
+
+def test_identifiers_and_sentences_of_further_licenses(spark, tmp_path):
+    held = docs(spark, *[text for text, _ in IDENTIFIED])
+    held.write.parquet(str(tmp_path / "documents.parquet"))
+    found = license_scan.op6_license_scan(spark, str(tmp_path))
+    assert {r.doc_id: r.labels for r in found.collect()} == {i: label for i, (_, label) in enumerate(IDENTIFIED)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(con.execute(license_scan.OP6_SQL).fetchall(), key=repr)
+
+
+def test_word_pairs_are_made_once(spark):
+    plan = license_scan.scanned(docs(spark, "mit license"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1
+
+
 # ---- 7 -----------------------------------------------------------------------
 
+def test_documents_without_an_own_id_are_spread(spark):
+    """Rows that share an id, or have none, follow each other by their text's hash over several ranges."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    order = sorted(frame.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)
+    expected = {r.text: n.text for r, n in zip(order, [*order[1:], order[0]])}
+    found = fingerprints.with_next(frame.drop("h")).collect()
+    assert len(found) == 3000 and {r.text: r.next_text for r in found} == expected
+    sizes = Counter(r["at"] for r in found)
+    assert len(sizes) > 20 and max(sizes.values()) < 500
+    assert len({r["at"] for r in found if r.doc_id is None}) > 5
+
+
 def test_search_by_blocks_finds_all_in_the_radius(spark):
     draw = np.random.default_rng(4)
     centres = draw.integers(-(2**63), 2**63, 30)
@@ -465,6 +543,22 @@ def test_common_line_over_many_ranges(spark, set_conf, partitions):
     assert all(f"own line number {i} of its own" in kept[i] for i in kept)
 
 
+@pytest.mark.parametrize(("partitions", "waiting", "edges"), [(1, 3, 1 << 20), (16, 3, 0), (16, 1024, 1 << 20)])
+def test_lines_of_rows_that_share_an_id(spark, set_conf, monkeypatch, tmp_path, partitions, waiting, edges):
+    """Many rows of one id, or of none, hold lines of few other documents: counted once, and not held at once."""
+    set_conf("spark.sql.shuffle.partitions", str(partitions))
+    set_conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(line_dedup, "WAITING", waiting)
+    monkeypatch.setattr(line_dedup, "BROADCAST_EDGES", edges)
+    line = [f"shared line number {i} of some length" for i in range(4)]
+    rows = [(None, f"{line[0]}\n{line[1]}\nown line number {i} of no id") for i in range(400)]
+    rows += [(5, f"{line[1]}\n{line[2]}\nown line number {i} of five\n{line[3]}") for i in range(400)]
+    rows += [(9, f"{line[0]}\n{line[1]}"), (3, f"{line[0]}\n{line[2]}"), (2, line[2]), (1, line[3])] + [rows[0], rows[500]] * 50
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(line_brute(rows), key=repr)
+
+
 # ---- 9 -----------------------------------------------------------------------
 
 def test_points_bound_distances():
@@ -539,6 +633,22 @@ def test_pipeline_stages_keep_columns(spark, sf_dir):
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in held.collect()}
 
 
+@pytest.mark.parametrize(("partitions", "waiting", "edges"), [(1, 3, 1 << 20), (16, 3, 0), (16, 1024, 1 << 20)])
+def test_lines_of_rows_that_share_an_id(spark, set_conf, monkeypatch, tmp_path, partitions, waiting, edges):
+    """Many rows of one id, or of none, hold lines of few other documents: counted once, and not held at once."""
+    set_conf("spark.sql.shuffle.partitions", str(partitions))
+    set_conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(line_dedup, "WAITING", waiting)
+    monkeypatch.setattr(line_dedup, "BROADCAST_EDGES", edges)
+    line = [f"shared line number {i} of some length" for i in range(4)]
+    rows = [(None, f"{line[0]}\n{line[1]}\nown line number {i} of no id") for i in range(400)]
+    rows += [(5, f"{line[1]}\n{line[2]}\nown line number {i} of five\n{line[3]}") for i in range(400)]
+    rows += [(9, f"{line[0]}\n{line[1]}"), (3, f"{line[0]}\n{line[2]}"), (2, line[2]), (1, line[3])] + [rows[0], rows[500]] * 50
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(line_brute(rows), key=repr)
+
+
 # ---- 9 -----------------------------------------------------------------------
 
 def test_bands_follow_the_number_of_fingerprints(spark):
