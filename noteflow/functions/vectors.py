@@ -85,6 +85,89 @@ def top_k(queries: np.ndarray, vectors: np.ndarray, k: int):
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
+#: Candidates that are held before their distances are settled.
+MOST_CANDIDATES = 2**20
+
+
+def top_k_in_groups(queries: np.ndarray, vectors: np.ndarray, group: np.ndarray, visits, k: int, rows: int = 1024):
+    """As :func:`top_k`, but a query meets the vectors of those groups alone that it visits.
+
+    ``group`` has each vector's group. ``visits(queries, groups)`` gives, for some queries and the groups at hand, who visits
+    which, and a distance below which no vector of the group lies from the query. Nearer groups come first, and what has
+    been found so far leaves out others. ``rows`` of either side are compared at once.
+    """
+    order = first_copies(vectors, k)
+    order = order[np.argsort(group[order], kind="stable")]
+    groups, starts = np.unique(group[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    unit = unit_of(queries, vectors)
+    slack = 2 * rounding_slack(queries, vectors, unit)
+    # by one more column the product is the squared distance but for the query's own square
+    right = vectors[order] / unit
+    right = np.concatenate([right, (right**2).sum(1)[:, None]], axis=1)
+    found = []
+    for start in range(0, len(queries), rows):
+        block = queries[start : start + rows]
+        left = block / unit
+        own = (left**2).sum(1)
+        left = np.concatenate([-2.0 * left, np.ones((len(block), 1))], axis=1)
+        visited, away = visits(block, groups)
+        best = np.full((len(block), k), np.inf)  # the k smallest squares so far, but for rounding
+        held, waiting = [], 0
+        for g in np.argsort(away.mean(0), kind="stable"):
+            for at in range(starts[g], ends[g], rows):
+                reach = np.sqrt(np.maximum(best[:, -1], 0.0) + slack)
+                asked = np.flatnonzero(visited[:, g] & (away[:, g] / unit <= reach))
+                if not len(asked):
+                    break
+                square = left[asked] @ right[at : min(at + rows, ends[g])].T
+                limit = best[asked, -1] - own[asked] + slack
+                new = np.isinf(limit)
+                if new.any() and square.shape[1] > k:
+                    limit[new] = np.partition(square[new], k - 1, axis=1)[:, k - 1] + slack
+                row, col = np.nonzero(square <= limit[:, None])
+                if not len(row):
+                    continue
+                value = square[row, col] + own[asked[row]]
+                row = asked[row]
+                _lower(best, row, value)
+                held.append((row, order[at + col], value))
+                waiting += len(row)
+                if waiting > MOST_CANDIDATES:
+                    held = [_settled(block, vectors, held, best, slack, k)[:3]]
+                    waiting = len(held[0][0])
+        if held:
+            row, col, _, square = _settled(block, vectors, held, best, slack, k)
+            found.append((row + start, col, square))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def _lower(best: np.ndarray, row: np.ndarray, value: np.ndarray) -> None:
+    """Take new ``value`` of ``row`` into its smallest ones; ``row`` comes in order."""
+    k = best.shape[1]
+    touched = np.unique(row)
+    rows = np.concatenate([np.repeat(touched, k), row])
+    values = np.concatenate([best[touched].ravel(), value])
+    order = np.lexsort((values, rows))
+    rows, values = rows[order], values[order]
+    first = np.searchsorted(rows, touched)
+    best[touched] = values[first[:, None] + np.arange(k)]
+
+
+def _settled(queries, vectors, held, best, slack: float, k: int):
+    """The ``k`` nearest of the candidates by exact distance: rows, columns, rough and exact squares."""
+    row, col, value = (np.concatenate(parts) for parts in zip(*held))
+    kept = value <= best[row, -1] + slack
+    row, col, value = row[kept], col[kept], value[kept]
+    square = _pair_distances(queries, vectors, row, col)
+    order = np.lexsort((col, square, row))
+    row, col, value, square = row[order], col[order], value[order], square[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[kept], col[kept], value[kept], square[kept]
+
+
 def _pair_distances(left: np.ndarray, right: np.ndarray, rows: np.ndarray, cols: np.ndarray):
     """Squared distances of the named pairs, a bounded number of them at a time.
 

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import sinks
-from ..sources.work import written
 from . import neighbours
 
 #: Rows of one file, about: a cell that a query visits is read with little beside it.
@@ -103,14 +102,13 @@ def search(
         return neighbours._ranked(asked.join(held, F.lit(False)).select("query_id", "vec_id", F.lit(0.0).alias("square")), k)
     asked = neighbours._equally_long(asked, centres.shape[1])
     cells = neighbours._cells(held.select("cell", "reach"), len(centres), k)
-    visits = written(neighbours._visits(asked, centres, cells, k), "index-visits")
-    # one number per pivot at most
-    visited = [r.cell for r in visits.select("cell").distinct().collect()]
+    visits = neighbours._visit_counts(asked, centres, cells, k)
+    visited = [int(cell) for cell in np.flatnonzero(visits[:-1])]
     placed = held.where(F.col("cell").isin(visited)).select("vec_id", "embedding", "cell", "reach")
     few = neighbours._few(asked, min(small, neighbours.SMALL_BYTES // (8 * centres.shape[1])))
     if few is not None:
         return neighbours._ranked(neighbours._queries_to_vectors(asked, placed.select("vec_id", "embedding"), few, k), k)
-    return neighbours._ranked(neighbours._search_cells(asked, visits, placed, cells, centres.shape[1], k, block), k)
+    return neighbours._ranked(neighbours._search_cells(asked, visits, placed, centres, cells, k, block), k)
 
 
 def _usable(vectors: DataFrame) -> DataFrame:

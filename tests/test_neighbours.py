@@ -178,3 +178,54 @@ def test_parts_hold_their_limits(n_vectors, n_queries):
     assert held <= 2**17 and asked <= 2**17
     assert held * asked <= neighbours.BLOCK_PAIRS * 1.01
     assert (vector_parts - 1) * (query_parts - 1) <= 4 * n_vectors * n_queries / neighbours.BLOCK_PAIRS
+
+
+def test_without_structure_a_query_travels_once_per_group(spark, monkeypatch):
+    """Every query must see nearly every cell; it goes out once per group of cells, whatever ``pivots`` and ``block`` are."""
+    vectors = np.random.default_rng(15).normal(size=(2000, 32))
+    sent, made = [], neighbours._visits
+
+    def visits(*args):
+        sent.append(made(*args))
+        return sent[-1]
+
+    monkeypatch.setattr(neighbours, "_visits", visits)
+    hits = neighbours.nearest(frame(spark, "query_id", vectors[:300]), frame(spark, "vec_id", vectors), small=0, pivots=32, block=64)
+    assert found(hits) == brute(vectors[:300], vectors, 3)
+    assert sum(rows.count() for rows in sent) <= 2 * 300
+
+
+def test_groups_that_a_task_cannot_hold_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 1024 * 8 * 8)
+    monkeypatch.setattr(neighbours, "LEAST_PAIRS", 2**12)
+    vectors = sample(5000, seed=16)
+    vectors[::3] = vectors[0]
+    hits = neighbours.nearest(frame(spark, "query_id", vectors[:300]), frame(spark, "vec_id", vectors), small=0, pivots=24, block=50)
+    assert found(hits) == brute(vectors[:300], vectors, 3)
+
+
+def test_groups_take_cells_up_to_the_rows_of_a_task(monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 2000 * 8 * 4)
+    draw = np.random.default_rng(17)
+    size, visits = draw.integers(0, 900, 60), np.append(draw.integers(0, 50, 60), 80)
+    size[7], visits[7] = 9000, 60
+    group, parts = neighbours._groups(draw.normal(size=(60, 4)), size, visits, 4)
+    assert ((group >= 0) == ((size > 0) & (visits[:-1] > 0))).all()
+    for g, (vector_parts, query_parts) in enumerate(parts):
+        assert size[group == g].sum() <= 2000 * vector_parts and min(visits[:-1][group == g].sum(), 80) <= 2000 * query_parts
+    assert len(parts) <= 2 * size.sum() / 2000 + 2
+
+
+def test_search_in_groups_bounds_its_candidates(monkeypatch):
+    """Where rounding leaves all vectors candidates, they are settled as they come."""
+    from noteflow.functions import vectors as functions
+
+    monkeypatch.setattr(functions, "MOST_CANDIDATES", 500)
+    rng = np.random.default_rng(18)
+    vectors, queries = 1e6 + rng.normal(size=(400, 4)) * 1e-3, 1e6 + rng.normal(size=(10, 4)) * 1e-3
+    group = rng.integers(0, 5, 400)
+    everything = lambda q, groups: (np.ones((len(q), len(groups)), bool), np.zeros((len(q), len(groups))))
+    rows, cols, square = functions.top_k_in_groups(queries, vectors, group, everything, 3, 32)
+    assert {(q, i, round(float(np.sqrt(s)), 9)) for q, i, s in zip(rows.tolist(), cols.tolist(), square)} == {
+        (q, i, d) for q, i, _, d in brute(queries, vectors, 3)
+    }
