@@ -108,8 +108,8 @@ def context(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFra
     sides, which adaptive execution can split where many questions hit one chunk.
     """
     hits = written(hits.select("query_id", "vec_id", "rank"), "hits")
-    if hits.count() <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
+    # many hits are few bytes on disk, by which the planner would send them all the same
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits.hint("merge")
     texts = chunks.select("vec_id", "chunk").join(hits, "vec_id")
     joined = texts.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "chunk"))).alias("best")

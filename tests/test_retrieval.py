@@ -144,3 +144,14 @@ def test_default_embedder_runs_no_python(spark, sf_dir):
     for df in (driver_queries.hashed_embeddings(spark, sf_dir), retrieval.embed(spark.createDataFrame([("x",)], "text string"), "text")):
         text = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in text and "Arrow" not in text
+
+
+def test_many_hits_stay_off_the_driver(spark, monkeypatch):
+    """However few bytes they are on disk."""
+    monkeypatch.setattr(retrieval, "BROADCAST_HITS", 3)
+    questions = spark.createDataFrame([(f"q{i}", "a") for i in range(4)], "query_id string, text string")
+    hits = spark.createDataFrame([(f"q{i}", f"v{i % 2}", 1) for i in range(4)], "query_id string, vec_id string, rank int")
+    chunks = spark.createDataFrame([("v0", "one"), ("v1", "two")], "vec_id string, chunk string")
+    found = retrieval.context(questions, hits, chunks)
+    assert re.search(r"SortMergeJoin(\(.*?\))? \[vec_id", final_plan(found)) and not re.search(r"BroadcastHashJoin \[vec_id", final_plan(found))
+    assert {r.query_id: r.context for r in found.collect()} == {"q0": "one", "q1": "two", "q2": "one", "q3": "two"}

@@ -96,3 +96,18 @@ def test_awkward_vectors(spark, tmp_path):
     assert vector_index.search(asked, empty).collect() == []
     assert vector_index.add(frame(spark, "vec_id", np.array([[1.0, 1.0]])), empty) == 1
     assert vector_index.search(asked, empty).count() == 1
+
+
+def test_many_questions_travel_once_per_group(spark, tmp_path, monkeypatch):
+    """Vectors without structure: a question must see nearly every cell of the index."""
+    vectors = np.random.default_rng(21).normal(size=(1500, 32))
+    path, sent, made = str(tmp_path / "index"), [], neighbours._visits
+    vector_index.build(frame(spark, "vec_id", vectors), path, pivots=30)
+
+    def visits(*args):
+        sent.append(made(*args))
+        return sent[-1]
+
+    monkeypatch.setattr(neighbours, "_visits", visits)
+    assert found(vector_index.search(frame(spark, "query_id", vectors[:200]), path, small=0)) == brute(vectors[:200], vectors, 3)
+    assert sum(rows.count() for rows in sent) <= 2 * 200
