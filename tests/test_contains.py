@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from helpers import final_plan, plan
+from pyspark.sql import functions as F
 
 from noteflow.operators import contains, records
 from noteflow.plans import driver_queries
@@ -67,3 +69,24 @@ def test_a_large_key_table_meets_no_nested_loop(spark):
     assert "NestedLoop" not in plan(found) and "NestedLoop" not in final_plan(found) and "Cartesian" not in final_plan(found)
     numbers = {f"pat-{n}" for n in range(100_000, 200_000)}
     assert found.count() == sum(f"pat-{i * 7}"[: 4 + n] in numbers for i in range(20_000) for n in [6] if len(str(i * 7)) >= 6)
+
+
+def test_nothing_that_grows_passes_through_the_driver(spark, monkeypatch):
+    """Keys and texts made of a narrow column look small to the planner, which would send them to every executor."""
+    frames_ = []
+    keep = contains.written
+    monkeypatch.setattr(contains, "written", lambda df, name: frames_.append(df) or keep(df, name))
+    numbers = spark.range(30_000).select((F.col("id") * 3).alias("id"))
+    rows = numbers.select("id", F.concat(F.lit("PAT-"), F.col("id") + 100_000, F.lit(" sepsis")).alias("diagnosis"))
+    rates = numbers.select(F.concat(F.lit("PAT-"), F.col("id") * 2 + 100_000).alias("dx_key"), (F.col("id") % 31).cast("int").alias("rate_pct"))
+    found = records.with_rate_from(rows, rates)
+    assert all("Broadcast" not in final_plan(df) for df in (*frames_, found))
+    assert found.where("dx_key IS NOT NULL").count() == 15_000 and found.count() == 30_000
+
+
+def test_grams_nobody_wants_stay_in_their_task(spark):
+    texts = spark.range(200).selectExpr("concat('ward ', id, ' has many other words in it') AS text")
+    bitmap = contains._bitmap(spark.createDataFrame([("ward 1",), ("nobody",)], "gram string"))
+    held = contains._held(texts, contains._grams(F.col("text"), F.lit(6)), bitmap)
+    assert np.unpackbits(bitmap).sum() == 2
+    assert {r.gram for r in held.collect()} == {"ward 1"} and held.count() == 111
