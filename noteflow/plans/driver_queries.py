@@ -105,13 +105,17 @@ def serving_round_trip(spark, sf_dir):
 def stream_curated(spark, sf_dir):
     """The orders table read as a file stream, curated, appended, and read back."""
     orders = spark.readStream.schema(tables.table(spark, sf_dir, "orders").schema)
-    notes = tables.notes_from_orders(
-        orders.option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
-    )
+    keys = orders.option("pathGlobFilter", "orders.parquet").parquet(sf_dir).select("o_orderkey")
+    notes = tables.notes_from_orders(keys.repartition(_note_tasks(spark, sf_dir), "o_orderkey"))
     path = _own_path(spark, sf_dir, "stream")
     return run_curated_stream(notes, f"{path}/table", f"{path}/checkpoint")
 
 
+def _note_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that the notes of a stream of all orders are dealt out to: a file of keys, a few bytes each, is read by one."""
+    return tables.tasks_for(tables.table(spark, sf_dir, "orders").select("o_orderkey"), tables.NOTE_BYTES)
+
+
 def _note_folder(keys: DataFrame, folder: str) -> None:
     """A note per key, each in a file below a folder that bears its number, the key's rest; others stay as they are."""
     number = F.regexp_extract("file_name", "([0-9]+)", 1).cast("long") % REWRITTEN
@@ -157,7 +161,8 @@ def stream_counts(spark, sf_dir):
         orders = spark.readStream.schema(tables.table(spark, sf_dir, "orders").schema)
         # the table in four files, one micro-batch each
         tables.table(spark, sf_dir, "orders").repartition(4, "o_orderkey").write.parquet(f"{path}/orders")
-        notes = tables.notes_from_orders(orders.option("maxFilesPerTrigger", 1).parquet(f"{path}/orders"))
+        keys = orders.option("maxFilesPerTrigger", 1).parquet(f"{path}/orders").select("o_orderkey")
+        notes = tables.notes_from_orders(keys.repartition(max(spark.sparkContext.defaultParallelism, _note_tasks(spark, sf_dir) // 4), "o_orderkey"))
         ingest.run_counted_stream(notes, f"{path}/table", f"{path}/checkpoint", f"{path}/metrics")
     counted = spark.read.parquet(f"{path}/metrics")
     names = ("n_notes", "n_with_id", "n_high", "n_medium", "n_low", "n_serving")

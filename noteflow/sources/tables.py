@@ -25,6 +25,8 @@ MEDICATION_LINES = (
 #: Bytes of a note, about, and of the rows that one task makes or takes in.
 NOTE_BYTES = 500
 TASK_BYTES = 16 << 20
+#: Bytes that a file of one note counts as: making it is most of its work.
+FILE_BYTES = 16 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,10 +100,15 @@ def spread(df: DataFrame, *keys: str, bytes_a_row: int) -> DataFrame:
     is made of would else meet in one task. Tasks make ``TASK_BYTES`` each, by the optimizer's
     estimate of the rows, and are no fewer than the cores.
     """
+    return df.repartition(tasks_for(df, bytes_a_row), *keys)
+
+
+def tasks_for(df: DataFrame, bytes_a_row: int) -> int:
+    """The tasks that :func:`spread` deals ``df`` out to; for a stream, asked of a table of the same rows."""
     plan = df._jdf.queryExecution().optimizedPlan()
     rows = int(plan.stats().sizeInBytes()) // (int(plan.schema().defaultSize()) + 8)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, rows * bytes_a_row // TASK_BYTES), *keys)
+    return max(cores, rows * bytes_a_row // TASK_BYTES)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from helpers import note
 from pyspark.sql import functions as F
 
 from noteflow.operators import conversations, records
+from noteflow.plans import driver_queries
 from noteflow.sources import generator
 from noteflow.streaming import changes, ingest, turns
 
@@ -110,3 +111,10 @@ def test_counts_of_a_stream(spark, tmp_path):
         assert (sums.n, sums.labelled) == (total, total) and sums.rows == sums.batches >= lot + 1
     # nothing new: no rows, and nothing told twice
     assert ingest.run_counted_stream(arriving, *paths).count() == sums.rows
+
+
+def test_notes_of_a_micro_batch_are_dealt_out(spark, sf_dir):
+    """A file of keys is read by one task; the notes made of it are many tasks' work."""
+    driver_queries.stream_counts(spark, sf_dir).collect()
+    [path] = [p for key, p in driver_queries._OWN_PATHS.items() if key[1:3] == (sf_dir, "counted-stream")]
+    assert spark.read.parquet(f"{path}/table").select("_metadata.file_path").distinct().count() > 4
