@@ -119,8 +119,14 @@ def _note_tasks(spark: SparkSession, sf_dir: str) -> int:
 def _note_folder(keys: DataFrame, folder: str) -> None:
     """A note per key, each in a file below a folder that bears its number, the key's rest; others stay as they are."""
     number = F.regexp_extract("file_name", "([0-9]+)", 1).cast("long") % REWRITTEN
+    keys = tables.spread(keys, "o_orderkey", bytes_a_row=tables.FILE_BYTES)
     made = tables.notes_from_orders(keys).select("raw_text", number.alias("name"))
-    made.repartition(8, "name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(folder)
+    # notes of one number are one file, as the writer by folder makes it
+    joined = made.groupBy("name").agg(F.array_join(F.collect_list("raw_text"), "\n").alias("value"))
+    named = F.coalesce(F.col("name").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    if not sinks.write_text_files(joined.select(F.concat(F.lit("name="), named, F.lit("/note.txt")).alias("path"), "value"), folder):
+        by_name = tables.spread(made, "name", bytes_a_row=tables.FILE_BYTES)
+        by_name.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(folder)
 
 
 #: What is added to a key whose note is written anew.
@@ -147,7 +153,10 @@ def text_file_scan(spark, sf_dir):
     The writer ends a file with a line end, which the text did not have.
     """
     folder = work_path(spark, "text-files")
-    tables.documents(spark, sf_dir).select("text").write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+    documents = tables.documents(spark, sf_dir).select("text")
+    name = F.concat(F.lit("part-"), F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"), F.lit(".txt"))
+    if not sinks.write_text_files(documents.select(name.alias("path"), F.col("text").alias("value")), folder):
+        documents.write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
     found = readers.read_notes(spark, folder)
     return found.select(
         F.regexp_replace("raw_text", r"\n\z", "").alias("raw_text"), F.col("file_name").endswith(".txt").alias("is_text_file")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,36 @@ def materialise_once(spark: SparkSession, path: str, build: Callable[[], None])
         return False
     build()
     return True
+
+
+def write_text_files(texts: DataFrame, folder: str) -> bool:
+    """Write each ``value`` and a line end to the file ``path`` below ``folder``, from the executors; paths are unique.
+
+    Only into a folder that all executors have mounted; False, and nothing written, if it is in another store.
+    Hadoop's local file system starts a process for each file it makes, to set its rights, and a commit moves
+    them one by one on the driver. A file appears under its name only when whole.
+    """
+    spark = texts.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
+        return False
+    root = place.toUri().getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, n = set(), 0
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist()):
+                target = os.path.join(root, path)
+                parent, name = os.path.split(target)
+                if parent not in made:
+                    os.makedirs(parent, exist_ok=True)
+                    made.add(parent)
+                partial = os.path.join(parent, f".{name}.{uuid.uuid4().hex}")
+                with open(partial, "wb") as out:
+                    out.write((value or b"") + b"\n")
+                os.replace(partial, target)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    texts.select("path", F.col("value").cast("binary").alias("value")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return True

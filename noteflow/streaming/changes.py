@@ -63,7 +63,7 @@ def ingest_changes(
     if oldest is not None:
         # the filter on the time reaches the scan: files that are older are not opened
         recent = listed.where(F.col("modificationTime") >= F.lit(oldest)).select("path", "content")
-        taken = recent.join(opened.select("path", "file", "modified", "length"), "path")
+        taken = recent.join(opened.select("path", "file", "modified", "length").hint("merge"), "path")
         raw = taken.select(clean_text(F.col("content").cast("string")).alias("raw_text"), F.col("file").alias("file_name"), "modified", "length")
         curated = curate(raw)
         rows = curated.select(

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
+import pathlib
 
 import pytest
 from helpers import note, notes
 from pyspark.sql import functions as F
 
 from noteflow.operators import records
+from noteflow.plans import driver_queries
 from noteflow.schemas import CURATED, SERVING, conform
 from noteflow.sources import generator, readers, sinks
 
@@ -189,3 +192,36 @@ def test_packed_notes_are_read_from_few_files(spark, tmp_path):
     assert {r.length for r in spark.read.parquet(packed).collect()} == {7, 8, 9}
     with pytest.raises(FileNotFoundError, match="packed notes"):
         readers.read_packed(spark, str(tmp_path / "none"))
+
+
+def _files_below(folder):
+    return sorted(str(p.relative_to(folder)) for p in pathlib.Path(folder).rglob("*") if p.is_file())
+
+
+def test_note_folder_is_written_by_the_tasks(spark, tmp_path, monkeypatch):
+    """One file per number and nothing beside it; repeated and NULL keys as the writer by folder has them."""
+    spark.createDataFrame([(5,), (5,), (7,), (None,), (1_000_009,)], "o_orderkey long").write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    mine, other = tmp_path / "mine", tmp_path / "other"
+    driver_queries._note_folder(keys, str(mine))
+    assert _files_below(mine) == sorted(f"name={n}/note.txt" for n in ("5", "7", "9", "__HIVE_DEFAULT_PARTITION__"))
+    monkeypatch.setattr(sinks, "write_text_files", lambda *args: False)
+    driver_queries._note_folder(keys, str(other))
+    read = lambda folder: sorted(map(tuple, readers.read_notes(spark, str(folder), nested=True, name=readers.folder_name()).collect()))
+    assert read(mine) == read(other)
+
+
+def test_text_files_hold_the_bytes_of_their_value(spark, tmp_path):
+    texts = spark.createDataFrame([("a.txt", "one\r\ntwo"), ("deep/b.txt", None), ("c.txt", "")], "path string, value string")
+    assert sinks.write_text_files(texts, str(tmp_path))
+    found = {name: (tmp_path / name).read_bytes() for name in _files_below(tmp_path)}
+    assert found == {"a.txt": b"one\r\ntwo\n", "deep/b.txt": b"\n", "c.txt": b"\n"}
+
+
+def test_text_file_scan_keeps_repeated_documents(spark, tmp_path):
+    rows = [(1, "a\nb"), (1, "a\nb"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = driver_queries.text_file_scan(spark, str(tmp_path))
+    assert sorted(r.raw_text for r in found.collect()) == ["", "", "a\nb", "a\nb"]
+    [folder] = {os.path.dirname(p) for p in map(str, found.inputFiles())}
+    assert len(_files_below(folder.removeprefix("file:").replace("///", "/"))) == 4
