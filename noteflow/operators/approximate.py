@@ -6,13 +6,17 @@ one or more planes, in the order of the squared distances to the planes crossed.
 on (family, bucket), and each bucket ranks its own by exact distance, so what comes out are true distances of
 most, not all, of the nearest vectors. :func:`neighbours.nearest` is the exact way.
 
+Buckets travel in groups of as many vectors as a task holds. A query goes out once per group that holds a bucket it
+visits, and finds its buckets there anew, from the planes: vectors without structure, of which it visits thousands, cost
+comparisons, not copies of rows.
+
 How many buckets a query visits is measured: the true neighbours of ``CALIBRATION`` queries at most are found by
 comparing them with all vectors, and the queries' own order of buckets says how many visits meet the share ``recall``
 of them. Vectors in clear groups need a few, vectors without structure a large part of all buckets.
 
 Scale: ``bits`` grows with the logarithm of the number of vectors, so buckets do not grow until ``MOST_BITS``.
-Vectors are shuffled once per family. Of equal vectors only the first ``k`` go into the join. A bucket of more
-than ``block`` vectors or visits is cut into parts on both sides. What each task knows are the planes and the buckets'
+Vectors are shuffled once per family. Of equal vectors only the first ``k`` go into the join. A group of more
+vectors or queries than a task holds is cut into parts on both sides; ``block`` rows are compared at once. What each task knows are the planes and the buckets'
 sizes, 2 ** ``MOST_BITS`` numbers per family at most.
 """
 
@@ -23,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_matrix
+from ..functions.vectors import as_matrix, top_k_in_groups
 from ..sources.work import written
 from . import neighbours
 
@@ -60,6 +65,41 @@ class Families:
         weights = 1 << np.arange(self.bits, dtype=np.int64)
         return np.stack([((rows @ n > o) * weights).sum(1) for n, o in zip(self.normals, self.offsets)], 1)
 
+    def visited(self, queries: np.ndarray, many: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For some queries at a time, where they begin and which buckets are among the first ``many`` that :meth:`visits` gives.
+
+        Columns follow :meth:`buckets`. A bucket's distance is the sum over the planes on whose other side it lies.
+        """
+        family, bucket = self.buckets()
+        sides = (bucket[:, None] >> np.arange(self.bits) & 1).astype(np.float64)
+        step = max(1, min(1024, (1 << 21) // max(1, len(family))))
+        for start in range(0, len(queries), step):
+            block = queries[start : start + step]
+            if many >= len(family):
+                yield start, np.ones((len(block), len(family)), bool)
+                continue
+            away = np.empty((len(block), len(family)))
+            for f, (normal, offset) in enumerate(zip(self.normals, self.offsets)):
+                margin = block @ normal - offset
+                own, price, at = (margin > 0).astype(np.float64), margin**2, family == f
+                away[:, at] = (price * own).sum(1)[:, None] + (price * (1.0 - 2.0 * own)) @ sides[at].T
+                # its own bucket costs nothing, whatever the sums round to
+                away[:, at] = np.where((own @ sides[at].T + (1 - own) @ (1 - sides[at]).T) == self.bits, 0.0, away[:, at])
+            near = np.zeros(away.shape, bool)
+            # ties go to the smaller family, then bucket
+            first = np.argpartition(away, many - 1, axis=1)[:, :many]
+            last = np.take_along_axis(away, first, 1).max(1)[:, None]
+            near |= away < last
+            ties = away == last
+            near |= ties & (np.cumsum(ties, axis=1) <= many - near.sum(1)[:, None])
+            yield start, near
+
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Family and number of every bucket that holds vectors, in order."""
+        listed = [(f, b) for f, own in enumerate(self.sizes) for b in sorted(own)]
+        family, bucket = np.array(listed, dtype=np.int64).reshape(-1, 2).T
+        return family, bucket
+
     def visits(self, query: np.ndarray) -> Iterator[tuple[int, int]]:
         """(family, bucket) from the nearest on, buckets without vectors left out.
 
@@ -166,37 +206,51 @@ def _visits_needed(queries: DataFrame, held: DataFrame, made: Families, k: int,
 
 def _hits(queries, held, made: Families, many: int, width: int, k: int, block: int | None) -> DataFrame:
     spark = held.sparkSession
-    block = block or max(1024, neighbours.BLOCK_BYTES // (8 * width))
+    family, bucket = made.buckets()
+    size = np.array([made.sizes[f][b] for f, b in zip(family, bucket)], dtype=np.int64)
+    # by family, so that a place is found by its bucket
+    starts = np.searchsorted(family, np.arange(len(made.sizes) + 1))
 
+    # ``place`` numbers the buckets that hold vectors
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                for family, codes in enumerate(made.codes(as_matrix(batch.column(1))).T):
-                    numbers = pa.array(np.full(len(codes), family, np.int32))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, numbers, pa.array(codes)], [*batch.schema.names, "family", "bucket"])
+                for f, codes in enumerate(made.codes(as_matrix(batch.column(1))).T):
+                    own = starts[f] + np.searchsorted(bucket[starts[f] : starts[f + 1]], codes)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], [*batch.schema.names, "place"])
 
-    def visit(batches):
+    def count(batches):
+        total = np.zeros(len(family) + 1, np.int64)
         for batch in batches:
-            of, family, bucket = [], [], []
-            for row, query in enumerate(as_matrix(batch.column(1))):
-                for visits, (f, b) in enumerate(made.visits(query), 1):
-                    of.append(row)
-                    family.append(f)
-                    bucket.append(b)
-                    if visits >= many:
-                        break
-            taken = [c.take(pa.array(of, pa.int64())) for c in batch.columns]
-            extra = [pa.array(family, pa.int32()), pa.array(bucket, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*taken, *extra], [*batch.schema.names, "family", "bucket"])
+            total[-1] += batch.num_rows
+            if batch.num_rows:
+                for _, near in made.visited(as_matrix(batch.column(0)), many):
+                    total[:-1] += near.sum(0)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["place", "n"])
 
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (held, "vec_id"))}
-    rows = held.select("vec_id", "embedding").mapInArrow(place, f"vec_id {kinds['vec_id']}, embedding array<double>, family int, bucket long")
-    asked = queries.select("query_id", "embedding").mapInArrow(visit, f"query_id {kinds['query_id']}, embedding array<double>, family int, bucket long")
-    asked = written(asked, "approximate-visits")
+    visits = np.zeros(len(family) + 1, np.int64)
     # one row per bucket at most; buckets are bounded by MOST_BITS
-    counted = asked.groupBy("family", "bucket").count().collect()
-    cuts = [(r.family, r.bucket, *neighbours._parts(made.sizes[r.family][r.bucket], r["count"], block)) for r in counted]
-    cut = spark.createDataFrame(cuts, "family int, bucket long, vector_parts int, query_parts int")
+    for row in queries.select("embedding").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        visits[row.place] = row.n
+    group, parts = neighbours._grouped(np.arange(len(family)), family, size, visits, width, spark.sparkContext.defaultParallelism)
+    n_groups = len(parts)
+
+    def visit(batches):
+        for batch in batches:
+            rows = as_matrix(batch.column(1)) if batch.num_rows else np.zeros((0, width))
+            for start, near in made.visited(rows, many):
+                met = np.zeros((len(near), n_groups + 1), bool)
+                row, own = np.nonzero(near)
+                met[row, group[own]] = True  # buckets of no group are the last column
+                row, groups = np.nonzero(met[:, :n_groups])
+                taken = [c.take(pa.array(row + start)) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(groups.astype(np.int32))], [*batch.schema.names, "group"])
+
+    of_place = [(int(p), int(group[p]), *parts[group[p]]) for p in np.flatnonzero(group >= 0)]
+    of_place = spark.createDataFrame(of_place, "place int, group int, vector_parts int, query_parts int")
+    of_group = spark.createDataFrame([(g, *p) for g, p in enumerate(parts)], "group int, vector_parts int, query_parts int")
 
     def part(key: str, parts: str):
         return F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
@@ -204,23 +258,34 @@ def _hits(queries, held, made: Families, many: int, width: int, k: int, block: i
     def every(parts: str):
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
-    keys, group = ["family", "bucket"], ["family", "bucket", "query_part", "vector_part"]
-    rows = rows.join(cut, keys).select(
-        *keys, "vec_id", "embedding", every("query_parts").alias("query_part"), part("vec_id", "vector_parts").alias("vector_part")
+    keys = ["group", "query_part", "vector_part"]
+    rows = held.select("vec_id", "embedding").mapInArrow(place, f"vec_id {kinds['vec_id']}, embedding array<double>, place int")
+    rows = rows.join(F.broadcast(of_place), "place").select(
+        "group", "place", "vec_id", "embedding", every("query_parts").alias("query_part"), part("vec_id", "vector_parts").alias("vector_part")
     )
-    asked = asked.join(cut, keys).select(
-        *keys, "query_id", "embedding", part("query_id", "query_parts").alias("query_part"), every("vector_parts").alias("vector_part")
+    asked = queries.select("query_id", "embedding").mapInArrow(visit, f"query_id {kinds['query_id']}, embedding array<double>, group int")
+    asked = asked.join(F.broadcast(of_group), "group").select(
+        "group", "query_id", "embedding", part("query_id", "query_parts").alias("query_part"), every("vector_parts").alias("vector_part")
     )
     schema = neighbours._hit_schema(queries, held)
 
+    def of_some(wanted: np.ndarray, some: np.ndarray):
+        near = np.concatenate([near[:, some] for _, near in made.visited(wanted, many)])
+        return near, np.zeros(near.shape)
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
             empty = [left["query_id"].slice(0, 0), right["vec_id"].slice(0, 0), pa.array([], pa.float64())]
             return pa.Table.from_arrays(empty, names=schema.names)
-        vec_ids, found = neighbours._in_id_order(right["vec_id"].combine_chunks(), as_matrix(right["embedding"]))
-        wanted = as_matrix(left["embedding"])
-        return pa.Table.from_batches([neighbours._hits(left["query_id"].combine_chunks(), wanted, vec_ids, found, k, schema)])
-
-    hits = asked.groupBy(*group).cogroup(rows.groupBy(*group)).applyInArrow(search, schema)
+        ids = right["vec_id"].combine_chunks()
+        order = pc.array_sort_indices(ids)
+        vectors, places = as_matrix(right["embedding"])[order], right["place"].to_numpy()[order]
+        found, cols, square = top_k_in_groups(as_matrix(left["embedding"]), vectors, places, of_some, k, block or neighbours.COMPARED)
+        columns = [left["query_id"].combine_chunks().take(pa.array(found)), ids.take(order).take(pa.array(cols)), pa.array(square)]
+        return pa.Table.from_arrays(columns, names=schema.names)
+
+    tasks = max(1, 2 * sum(v * q for v, q in parts))
+    asked, rows = asked.repartition(tasks, *keys), rows.repartition(tasks, *keys)
+    hits = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(search, schema)
     # families repeat each other's hits
     return hits.distinct()

@@ -76,3 +76,31 @@ def test_registered_query_has_recall(spark):
     hits = driver_queries.knn_approximate(spark, sf_dir).collect()
     met = [exact[r.query_id, r.vec_id] == r.distance for r in hits if (r.query_id, r.vec_id) in exact]
     assert all(met) and len(met) >= 0.9 * len(exact)
+
+
+def test_buckets_of_many_queries_are_the_first_visits():
+    rows = sample(400, seed=4)
+    made = approximate.Families(8, 5, 2, rows)
+    for own, codes in zip(made.sizes, made.codes(rows).T):
+        own.update({int(c): int(n) for c, n in zip(*np.unique(codes, return_counts=True))})
+    places = list(zip(*(x.tolist() for x in made.buckets())))
+    for many in (1, 2, 7, 30, 1000):
+        near = np.concatenate([found for _, found in made.visited(rows[:50], many)])
+        for query, own in zip(rows, near):
+            assert {places[i] for i in np.flatnonzero(own)} == set(itertools.islice(made.visits(query), many))
+
+
+def test_a_query_travels_once_per_group_of_buckets(spark, monkeypatch):
+    """Vectors without structure: most buckets of all four families are visited."""
+    vectors = np.random.default_rng(6).normal(size=(2000, 16))
+    parts, made = [], neighbours._grouped
+
+    def grouped(*args):
+        parts.append(made(*args)[1])
+        return made(*args)
+
+    monkeypatch.setattr(neighbours, "_grouped", grouped)
+    hits = approximate.nearest_approximate(frame(spark, "query_id", vectors[:100]), frame(spark, "vec_id", vectors), bucket=16)
+    assert share(found(hits), brute(vectors[:100], vectors, 3)) >= 0.9
+    assert [len(p) for p in parts] == [4]  # each family is one group, though it has a hundred buckets
+    assert all(len(own) > 50 for own in approximate._families(neighbours._prepared(frame(spark, "vec_id", vectors), "vec_id"), 2000, 16, 4, 16).sizes)
