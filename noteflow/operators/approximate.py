@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_matrix, top_k_in_groups
+from ..functions.vectors import as_matrix, top_k, top_k_in_groups
 from ..sources.work import written
 from . import neighbours
 
@@ -278,10 +278,20 @@ def _hits(queries, held, made: Families, many: int, width: int, k: int, block: i
             empty = [left["query_id"].slice(0, 0), right["vec_id"].slice(0, 0), pa.array([], pa.float64())]
             return pa.Table.from_arrays(empty, names=schema.names)
         ids = right["vec_id"].combine_chunks()
-        order = pc.array_sort_indices(ids)
+        order = pc.array_sort_indices(ids).to_numpy()
+        ids, wanted = ids.take(pa.array(order)), as_matrix(left["embedding"])
         vectors, places = as_matrix(right["embedding"])[order], right["place"].to_numpy()[order]
-        found, cols, square = top_k_in_groups(as_matrix(left["embedding"]), vectors, places, of_some, k, block or neighbours.COMPARED)
-        columns = [left["query_id"].combine_chunks().take(pa.array(found)), ids.take(order).take(pa.array(cols)), pa.array(square)]
+        # a bucket gives its k nearest rows: where it repeats one, these are fewer hits
+        spoilt = np.isin(places, places[_repeated(ids, vectors)])
+        plain = np.flatnonzero(~spoilt)
+        found, cols, square = top_k_in_groups(wanted, vectors[plain], places[plain], of_some, k, block or neighbours.COMPARED)
+        cols = plain[cols]
+        for own in np.unique(places[spoilt]):
+            rows = np.flatnonzero(places == own)
+            asked = np.flatnonzero(of_some(wanted, np.array([own]))[0][:, 0])
+            more = top_k(wanted[asked], vectors[rows], k) if len(asked) else (asked, asked, np.zeros(0))
+            found, cols, square = _k_hits(ids, vectors, [found, asked[more[0]]], [cols, rows[more[1]]], [square, more[2]], k)
+        columns = [left["query_id"].combine_chunks().take(pa.array(found)), ids.take(pa.array(cols)), pa.array(square)]
         return pa.Table.from_arrays(columns, names=schema.names)
 
     tasks = max(1, 2 * sum(v * q for v, q in parts))
@@ -289,3 +299,23 @@ def _hits(queries, held, made: Families, many: int, width: int, k: int, block: i
     hits = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(search, schema)
     # families repeat each other's hits
     return hits.distinct()
+
+
+def _repeated(ids: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Rows whose id and vector another row before them has; ids come in order."""
+    code = pc.dictionary_encode(ids).indices.to_numpy()
+    order = np.lexsort(((vectors * np.cos(np.arange(vectors.shape[1]))).sum(1), code))
+    same = (code[order[1:]] == code[order[:-1]]) & (vectors[order[1:]] == vectors[order[:-1]]).all(1)
+    return order[1:][same]
+
+
+def _k_hits(ids: pa.Array, vectors: np.ndarray, found, cols, square, k: int):
+    """The ``k`` nearest hits per query, those of equal rows once; ids come in order."""
+    found, cols, square = (np.concatenate(parts) for parts in (found, cols, square))
+    code = pc.dictionary_encode(ids).indices.to_numpy()[cols]
+    order = np.lexsort((code, square, found))
+    found, cols, square, code = found[order], cols[order], square[order], code[order]
+    new = np.append(True, (found[1:] != found[:-1]) | (square[1:] != square[:-1]) | (code[1:] != code[:-1]))[: len(found)]
+    found, cols, square = found[new], cols[new], square[new]
+    kept = np.arange(len(found)) - np.searchsorted(found, found) < k
+    return found[kept], cols[kept], square[kept]

@@ -104,3 +104,11 @@ def test_a_query_travels_once_per_group_of_buckets(spark, monkeypatch):
     assert share(found(hits), brute(vectors[:100], vectors, 3)) >= 0.9
     assert [len(p) for p in parts] == [4]  # each family is one group, though it has a hundred buckets
     assert all(len(own) > 50 for own in approximate._families(neighbours._prepared(frame(spark, "vec_id", vectors), "vec_id"), 2000, 16, 4, 16).sizes)
+
+
+def test_repeated_rows_are_one_hit(spark):
+    vectors = sample(300, seed=7)
+    held = frame(spark, "vec_id", vectors)
+    hits = found(approximate.nearest_approximate(frame(spark, "query_id", vectors[:20]), held.union(held.where("vec_id < 100")), recall=1.0, bucket=32))
+    assert len({(q, i) for q, i, *_ in hits}) == len(hits) == 60
+    assert share(hits, brute(vectors[:20], vectors, 3)) >= 0.9
