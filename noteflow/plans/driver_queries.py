@@ -116,9 +116,12 @@ def _note_tasks(spark: SparkSession, sf_dir: str) -> int:
     return tables.tasks_for(tables.table(spark, sf_dir, "orders").select("o_orderkey"), tables.NOTE_BYTES)
 
 
-def _note_folder(keys: DataFrame, folder: str) -> None:
-    """A note per key, each in a file below a folder that bears its number, the key's rest; others stay as they are."""
-    number = F.regexp_extract("file_name", "([0-9]+)", 1).cast("long") % REWRITTEN
+def _note_folder(keys: DataFrame, folder: str, named=lambda number: number % REWRITTEN) -> None:
+    """A note per key, each in a file below a folder that bears its number, the key's rest; others stay as they are.
+
+    ``named`` makes another number of the key's own. Notes of one number share a file, so it must keep keys apart.
+    """
+    number = named(F.regexp_extract("file_name", "([0-9]+)", 1).cast("long"))
     keys = tables.spread(keys, "o_orderkey", bytes_a_row=tables.FILE_BYTES)
     made = tables.notes_from_orders(keys).select("raw_text", number.alias("name"))
     # notes of one number are one file, as the writer by folder makes it
@@ -141,10 +144,13 @@ def changed_files(spark, sf_dir):
         keys = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_orderkey"))
         anew = keys.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") + REWRITTEN).alias("o_orderkey"))
         name = lambda path: F.regexp_extract(path, "name=([^/]+)/", 1)
-        for version in (keys, anew):
-            _note_folder(version, folder)
+        # a file keeps its supplier's whole number, whatever its note is made of
+        supplier = lambda n: F.when(n >= REWRITTEN, n - REWRITTEN).otherwise(n)
+        for version, named in ((keys, lambda n: n), (anew, supplier)):
+            _note_folder(version, folder, named)
             changes.ingest_changes(spark, folder, table, nested=True, name=name)
-    return changes.current(spark, table)
+    shown = F.when(F.col("file_name").rlike("^[0-9]+$"), (F.col("file_name").try_cast("long") % REWRITTEN).cast("string"))
+    return changes.current(spark, table).withColumn("file_name", F.coalesce(shown, "file_name"))
 
 
 def text_file_scan(spark, sf_dir):
@@ -183,7 +189,7 @@ def packed_note_scan(spark, sf_dir):
     path = _own_path(spark, sf_dir, "packed-notes")
     if not sinks.is_complete(spark, path):
         folder = work_path(spark, "note-files")
-        _note_folder(tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_orderkey")), folder)
+        _note_folder(tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_orderkey")), folder, lambda n: n)
         sinks.pack_notes(spark, path, lambda: readers.read_notes(spark, folder, nested=True, name=readers.folder_name()))
     return readers.read_packed(spark, path).withColumn("file_name", F.regexp_replace("file_name", "^name=", ""))
 
