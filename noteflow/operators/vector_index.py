@@ -93,7 +93,7 @@ def search(
     """``query_id, vec_id, rank, distance`` of the ``k`` nearest vectors of the index; exact.
 
     ``small`` queries or fewer (and ``SMALL_BYTES`` of them) travel to the cells that some of them visits, and nothing
-    but the winners is shuffled; more of them meet the vectors cell by cell.
+    but the winners is shuffled; more of them travel in lots.
     """
     spark = queries.sparkSession
     centres = _centres(spark, path)
@@ -108,7 +108,7 @@ def search(
     few = neighbours._few(asked, min(small, neighbours.SMALL_BYTES // (8 * centres.shape[1])))
     if few is not None:
         return neighbours._ranked(neighbours._queries_to_vectors(asked, placed.select("vec_id", "embedding"), few, k), k)
-    return neighbours._ranked(neighbours._search_cells(asked, visits, placed, centres, cells, k, block), k)
+    return neighbours._ranked(neighbours._search_cells(asked, placed, centres, cells, k, block), k)
 
 
 def _usable(vectors: DataFrame) -> DataFrame:

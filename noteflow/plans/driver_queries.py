@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.text import HashedWords
 from ..operators import approximate, conversations, neighbours, records, reports, retrieval, vector_index
 from ..schemas import SERVING
 from ..sources import readers, sinks, tables
@@ -44,10 +45,19 @@ def _query_id():
 def chunk_index(spark: SparkSession, sf_dir: str) -> str:
     """Path of the vector index of all document chunks, built once per application."""
     path = _own_path(spark, sf_dir, "chunk-index")
-    # the model runs once: pivots and placement both read the vectors
-    vector_index.build_once(
-        spark, path, lambda: written(retrieval.vector_table(tables.documents(spark, sf_dir)), "chunk-vectors")
-    )
+    made = []
+
+    def vectors() -> DataFrame:
+        # the model runs once: pivots and placement both read the vectors. The Python form, since chunks come from Python
+        made.append(written(retrieval.vector_table(tables.documents(spark, sf_dir), HashedWords()), "chunk-vectors"))
+        return made[0]
+
+    if vector_index.build_once(spark, path, vectors):
+        # the index has every column of it
+        for file in made[0].inputFiles():
+            place = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            break
     return path
 
 
