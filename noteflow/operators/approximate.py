@@ -7,8 +7,8 @@ on (family, bucket), and each bucket ranks its own by exact distance, so what co
 most, not all, of the nearest vectors. :func:`neighbours.nearest` is the exact way.
 
 Buckets travel in groups of as many vectors as a task holds. A query goes out once per group that holds a bucket it
-visits, and finds its buckets there anew, from the planes: vectors without structure, of which it visits thousands, cost
-comparisons, not copies of rows.
+visits, with a bit for each of the group's buckets: vectors without structure, of which it visits thousands, cost
+comparisons, not copies of rows, and its order of buckets is made once, not in every task.
 
 How many buckets a query visits is measured: the true neighbours of ``CALIBRATION`` queries at most are found by
 comparing them with all vectors, and the queries' own order of buckets says how many visits meet the share ``recall``
@@ -81,17 +81,19 @@ class Families:
             away = np.empty((len(block), len(family)))
             for f, (normal, offset) in enumerate(zip(self.normals, self.offsets)):
                 margin = block @ normal - offset
-                own, price, at = (margin > 0).astype(np.float64), margin**2, family == f
-                away[:, at] = (price * own).sum(1)[:, None] + (price * (1.0 - 2.0 * own)) @ sides[at].T
+                own, price, at = margin > 0, margin**2, slice(*np.searchsorted(family, [f, f + 1]))
+                away[:, at] = (price * own).sum(1)[:, None] + np.where(own, -price, price) @ sides[at].T
                 # its own bucket costs nothing, whatever the sums round to
-                away[:, at] = np.where((own @ sides[at].T + (1 - own) @ (1 - sides[at]).T) == self.bits, 0.0, away[:, at])
-            near = np.zeros(away.shape, bool)
+                code = (own << np.arange(self.bits)).sum(1)
+                place = np.minimum(np.searchsorted(bucket[at], code), max(at.stop - at.start - 1, 0))
+                row = np.flatnonzero(bucket[at][place] == code) if at.stop > at.start else np.zeros(0, int)
+                away[row, at.start + place[row]] = 0.0
+            last = np.partition(away, many - 1, axis=1)[:, many - 1 : many]
+            near = away <= last
             # ties go to the smaller family, then bucket
-            first = np.argpartition(away, many - 1, axis=1)[:, :many]
-            last = np.take_along_axis(away, first, 1).max(1)[:, None]
-            near |= away < last
-            ties = away == last
-            near |= ties & (np.cumsum(ties, axis=1) <= many - near.sum(1)[:, None])
+            for row in np.flatnonzero(near.sum(1) > many):
+                ties = np.flatnonzero(away[row] == last[row])
+                near[row, ties[many - int((away[row] < last[row]).sum()) :]] = False
             yield start, near
 
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -235,18 +237,19 @@ def _hits(queries, held, made: Families, many: int, width: int, k: int, block: i
     for row in queries.select("embedding").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         visits[row.place] = row.n
     group, parts = neighbours._grouped(np.arange(len(family)), family, size, visits, width, spark.sparkContext.defaultParallelism)
-    n_groups = len(parts)
+    of_groups = [np.flatnonzero(group == g) for g in range(len(parts))]
 
     def visit(batches):
         for batch in batches:
             rows = as_matrix(batch.column(1)) if batch.num_rows else np.zeros((0, width))
             for start, near in made.visited(rows, many):
-                met = np.zeros((len(near), n_groups + 1), bool)
-                row, own = np.nonzero(near)
-                met[row, group[own]] = True  # buckets of no group are the last column
-                row, groups = np.nonzero(met[:, :n_groups])
-                taken = [c.take(pa.array(row + start)) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*taken, pa.array(groups.astype(np.int32))], [*batch.schema.names, "group"])
+                for g, own in enumerate(of_groups):
+                    met = near[:, own]
+                    row = np.flatnonzero(met.any(1))
+                    bits = [x.tobytes() for x in np.packbits(met[row], axis=1)]
+                    taken = [c.take(pa.array(row + start)) for c in batch.columns]
+                    taken += [pa.array(np.full(len(row), g, np.int32)), pa.array(bits, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(taken, [*batch.schema.names, "group", "visited"])
 
     of_place = [(int(p), int(group[p]), *parts[group[p]]) for p in np.flatnonzero(group >= 0)]
     of_place = spark.createDataFrame(of_place, "place int, group int, vector_parts int, query_parts int")
@@ -263,16 +266,12 @@ def _hits(queries, held, made: Families, many: int, width: int, k: int, block: i
     rows = rows.join(F.broadcast(of_place), "place").select(
         "group", "place", "vec_id", "embedding", every("query_parts").alias("query_part"), part("vec_id", "vector_parts").alias("vector_part")
     )
-    asked = queries.select("query_id", "embedding").mapInArrow(visit, f"query_id {kinds['query_id']}, embedding array<double>, group int")
+    asked = queries.select("query_id", "embedding").mapInArrow(visit, f"query_id {kinds['query_id']}, embedding array<double>, group int, visited binary")
     asked = asked.join(F.broadcast(of_group), "group").select(
-        "group", "query_id", "embedding", part("query_id", "query_parts").alias("query_part"), every("vector_parts").alias("vector_part")
+        "group", "query_id", "embedding", "visited", part("query_id", "query_parts").alias("query_part"), every("vector_parts").alias("vector_part")
     )
     schema = neighbours._hit_schema(queries, held)
 
-    def of_some(wanted: np.ndarray, some: np.ndarray):
-        near = np.concatenate([near[:, some] for _, near in made.visited(wanted, many)])
-        return near, np.zeros(near.shape)
-
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
             empty = [left["query_id"].slice(0, 0), right["vec_id"].slice(0, 0), pa.array([], pa.float64())]
@@ -281,14 +280,23 @@ def _hits(queries, held, made: Families, many: int, width: int, k: int, block: i
         order = pc.array_sort_indices(ids).to_numpy()
         ids, wanted = ids.take(pa.array(order)), as_matrix(left["embedding"])
         vectors, places = as_matrix(right["embedding"])[order], right["place"].to_numpy()[order]
+        visited = np.frombuffer(b"".join(left["visited"].to_pylist()), np.uint8).reshape(len(wanted), -1)
+        own_places = of_groups[left["group"][0].as_py()]
+
+        def of_some(wanted: np.ndarray, some: np.ndarray, visited: np.ndarray):
+            # ``visited`` has a bit for each place of the group
+            at = np.searchsorted(own_places, some)
+            near = visited[:, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            return near.astype(bool), np.zeros(near.shape)
+
         # a bucket gives its k nearest rows: where it repeats one, these are fewer hits
         spoilt = np.isin(places, places[_repeated(ids, vectors)])
         plain = np.flatnonzero(~spoilt)
-        found, cols, square = top_k_in_groups(wanted, vectors[plain], places[plain], of_some, k, block or neighbours.COMPARED)
+        found, cols, square = top_k_in_groups(wanted, vectors[plain], places[plain], of_some, k, block or neighbours.COMPARED, about=visited)
         cols = plain[cols]
         for own in np.unique(places[spoilt]):
             rows = np.flatnonzero(places == own)
-            asked = np.flatnonzero(of_some(wanted, np.array([own]))[0][:, 0])
+            asked = np.flatnonzero(of_some(wanted, np.array([own]), visited)[0][:, 0])
             more = top_k(wanted[asked], vectors[rows], k) if len(asked) else (asked, asked, np.zeros(0))
             found, cols, square = _k_hits(ids, vectors, [found, asked[more[0]]], [cols, rows[more[1]]], [square, more[2]], k)
         columns = [left["query_id"].combine_chunks().take(pa.array(found)), ids.take(pa.array(cols)), pa.array(square)]
