@@ -170,15 +170,49 @@ def text_file_scan(spark, sf_dir):
     """
     folder = work_path(spark, "text-files")
     documents = tables.documents(spark, sf_dir).select("text")
+    lots = -(-tables.table(spark, sf_dir, "documents").count() // LOT_FILES)
+    if lots > 1:
+        return _texts_in_lots(documents, folder, lots)
     name = F.concat(F.lit("part-"), F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"), F.lit(".txt"))
     if not sinks.write_text_files(documents.select(name.alias("path"), F.col("text").alias("value")), folder):
         documents.write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+    return _scanned(spark, folder)
+
+
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
     found = readers.read_notes(spark, folder)
     return found.select(
         F.regexp_replace("raw_text", r"\n\z", "").alias("raw_text"), F.col("file_name").endswith(".txt").alias("is_text_file")
     )
 
 
+#: Text files that are listed at once: the driver holds a status and a split of each.
+LOT_FILES = 1 << 15
+
+
+def _texts_in_lots(documents: DataFrame, folder: str, lots: int) -> DataFrame:
+    """A file per document as ever, in folders of about ``LOT_FILES``, which are scanned one after the other.
+
+    What a lot gives is kept in a table; then its files go, so that the disk does not hold all texts twice.
+    """
+    spark = documents.sparkSession
+    kept = work_path(spark, "scanned-texts")
+    named = documents.withColumn("id", F.monotonically_increasing_id())
+    lot = F.concat(F.lit("lot="), F.pmod(F.xxhash64("id"), F.lit(lots)).cast("string"))
+    path = F.concat(lot, F.lit("/part-"), F.lpad(F.col("id").cast("string"), 19, "0"), F.lit(".txt"))
+    if not sinks.write_text_files(named.select(path.alias("path"), F.col("text").alias("value")), folder):
+        by_lot = named.select("text", F.pmod(F.xxhash64("id"), F.lit(lots)).alias("lot"))
+        by_lot.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("lot").text(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    tasks = tables.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    for own in [f.getPath() for f in files.listStatus(place) if f.isDirectory()]:
+        # the scan makes a task of a few files
+        _scanned(spark, own.toString()).coalesce(tasks).write.mode("append").parquet(kept)
+        files.delete(own, True)
+    return spark.read.schema("raw_text string, is_text_file boolean").parquet(kept)
+
+
 def stream_counts(spark, sf_dir):
     """The counts that a stream leaves per micro-batch, added up: those of the batch job but for the serving set."""
     path = _own_path(spark, sf_dir, "counted-stream")

@@ -25,6 +25,8 @@ MEDICATION_LINES = (
 #: Bytes of a note, about, and of the rows that one task makes or takes in.
 NOTE_BYTES = 500
 TASK_BYTES = 16 << 20
+#: Tasks that share many small files.
+TASKS_PER_CORE = 4
 #: Bytes that a file of one note counts as: making it is most of its work.
 FILE_BYTES = 16 << 10
 
